@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["filters_and_totals", "chains_and_checks"]
+MODULES = ["filters_and_totals", "chains_and_checks", "matching_and_values"]
 
 
 def load():

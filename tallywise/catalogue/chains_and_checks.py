@@ -663,11 +663,11 @@ def currency_integrity(spark, d):
 
 @query("rate_checks", "Q13 X24", """
 SELECT sheet, row, formula, unnest(list_filter([
-  CASE WHEN NOT simple THEN 'rate_formula_unexpected' END, CASE WHEN simple AND at <> row THEN 'rate_row_mismatch' END,
+  CASE WHEN NOT simple THEN 'rate_formula_unexpected' END, CASE WHEN simple AND at_row <> row THEN 'rate_row_mismatch' END,
   CASE WHEN simple AND abs(den - CAST(original_amount AS DOUBLE)) > 1e-9 THEN 'rate_denominator_mismatch' END,
   CASE WHEN simple AND original_amount IS NULL AND currency IS NULL THEN 'rate_without_currency' END,
   CASE WHEN simple AND abs(num / den - cached) > 1e-6 THEN 'rate_cached_value_wrong' END], lambda x: x IS NOT NULL)) AS kind
-FROM (SELECT *, ok % 11 <> 0 AS simple, CASE WHEN ok % 7 = 0 THEN row + 1 ELSE row END AS at,
+FROM (SELECT *, ok % 11 <> 0 AS simple, CASE WHEN ok % 7 = 0 THEN row + 1 ELSE row END AS at_row,
   CASE WHEN ok % 5 = 4 THEN CAST(ok % 900 + 1 AS DOUBLE) WHEN ok % 9 = 0 THEN CAST(ok % 900 + 2 AS DOUBLE) ELSE coalesce(CAST(original_amount AS DOUBLE), 3) END AS den
   FROM (SELECT source_sheet AS sheet, transaction_id % 100000 AS row, currency, original_amount, transaction_id // 10 AS ok,
     CAST(abs(amount_aed) AS DOUBLE) AS num, coalesce(CAST(exchange_rate AS DOUBLE), 1) AS cached,
@@ -716,13 +716,15 @@ SELECT transaction_id, unnest(list_filter([
   CASE WHEN transaction_id % 53 = 0 AND status <> 'confirmed' THEN {'field': 'status', 'was': status, 'became': 'confirmed'} END,
   CASE WHEN transaction_id % 59 = 0 AND payment_ref IS NOT NULL THEN {'field': 'payment_ref', 'was': payment_ref, 'became': NULL} END,
   CASE WHEN transaction_id % 61 = 0 THEN {'field': 'amount_aed', 'was': CAST(amount_aed AS VARCHAR), 'became': CAST(CAST(amount_aed + 1 AS DECIMAL(18,2)) AS VARCHAR)} END],
-  lambda x: x IS NOT NULL), recursive := true) FROM fx_transactions WHERE transaction_id % 67 <> 0
-UNION ALL SELECT transaction_id, '(row)', 'present', NULL FROM fx_transactions WHERE transaction_id % 67 = 0""",
+  lambda x: x IS NOT NULL), recursive := true) FROM fx_transactions WHERE entry_type = 'source_transaction'
+UNION ALL SELECT transaction_id, '(row)', 'present', NULL FROM fx_transactions WHERE entry_type <> 'source_transaction'""",
        "transaction_id field was became")
 def compare_snapshots(spark, d):
     i = F.col("transaction_id")
-    t = transactions(spark, d).select("transaction_id", "status", "payment_ref", "amount_aed", "currency")
-    damaged = t.filter(i % 67 != 0).withColumns({
+    whole = transactions(spark, d)
+    columns = ["transaction_id", "status", "payment_ref", "amount_aed", "currency"]
+    t = whole.select(*columns)
+    damaged = whole.filter("entry_type = 'source_transaction'").select(*columns).withColumns({
         "status": F.when(i % 53 == 0, "confirmed").otherwise(F.col("status")),
         "payment_ref": F.when(i % 59 != 0, F.col("payment_ref")),
         "amount_aed": (F.col("amount_aed") + F.when(i % 61 == 0, 1).otherwise(0)).cast("decimal(18,2)")})

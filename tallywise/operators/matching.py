@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import swapped
 from ..functions.keys import content_signature, copy_key
 from ..functions.text import is_narrative, squeeze, supplier_key, voucher_of
-from ..plans.scan import HOT_ROWS, Measure, id_block, position, scan, settle
+from ..plans.scan import HOT_ROWS, Measure, cut_lineage, id_block, position, scan, settle
 from ..schema import MONEY_SUM, TOLERANCE
 
 
@@ -64,7 +64,8 @@ def repoint_suppliers(txn: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def counted_match(lines: DataFrame, ledger: DataFrame, keys: Sequence[str], line: str = "line",
-                  row_id: str = "transaction_id", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                  row_id: str = "transaction_id", hot_rows: int | None = HOT_ROWS,
+                  ledger_hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The k-th copy in the file meets the k-th copy in the ledger.
 
     Adds ``copy`` (which copy of its key the line is), ``held`` (copies in the
@@ -76,7 +77,7 @@ def counted_match(lines: DataFrame, ledger: DataFrame, keys: Sequence[str], line
     ours = scan(lines, keys, [line], [id_block(line)],
                 [position("copy"), Measure("_first", "max", -F.col(line), "bigint")], hot_rows)
     theirs = scan(ledger.select(*keys, F.col(row_id).alias("held_id")), keys, ["held_id"], [id_block("held_id")],
-                  [position("copy")], hot_rows)
+                  [position("copy")], ledger_hot_rows)
     held = ledger.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
     met = ours.join(theirs, keys + ["copy"], "left").join(held, keys, "left")
     return met.withColumns({
@@ -176,12 +177,18 @@ def classify_duplicates(lines: DataFrame, ledger: DataFrame, hot_rows: int | Non
         .filter(F.col("day").isNotNull())
     ours = keyed(whole, supplier_key(F.col("supplier_raw")))
 
-    first = counted_match(ours, held_rows, key, hot_rows=hot_rows)
+    # Crowding is looked for on the part of the key that costs nothing to read;
+    # a key that is not crowded there cannot be crowded with the supplier added.
+    cheap = ["card_id", "day", "cents"]
+    first = counted_match(ours, held_rows, key, hot_rows=settle(ours, cheap, hot_rows),
+                          ledger_hot_rows=settle(held_rows, cheap, hot_rows))
     turned = held_rows.groupBy(*key).agg(F.min("transaction_id").alias("swapped_id"))
     rest = [k for k in key if k != "day"]
     asked = first.withColumn("_turned", F.when((F.col("held") == 0) & (swapped(F.col("day")) != F.col("day")),
                                                swapped(F.col("day"))))
-    second = asked.join(turned.withColumnRenamed("day", "_turned"), rest + ["_turned"], "left")
+    # Three later steps read this; computing it once and keeping it in the
+    # shared folder is cheaper than three times the joins above.
+    second = cut_lineage(asked.join(turned.withColumnRenamed("day", "_turned"), rest + ["_turned"], "left"))
 
     matched = F.coalesce("held_id", "swapped_id")
     spoken_for = second.filter(matched.isNotNull()).select(matched.alias("transaction_id")).distinct()
