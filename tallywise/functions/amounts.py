@@ -6,39 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import MONEY, NO_MINOR_UNIT, PARSED_NUMBER, RATE, THREE_DECIMALS
-from .text import squeeze
+from .text import let, squeeze
 
 
 def parse_amount(col: Column) -> Column:
     """``1,234.56``, ``1.234,56``, ``(500)``, ``AED 12`` or ``7.6E-2``; else null."""
-    text = squeeze(col)
-    bracketed = text.rlike(r"^\(.*\)$")
-    inner = F.when(bracketed, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
-    packed = F.regexp_replace(inner, r"(?U)\s", "")
-    scientific = packed.rlike(r"^[+-]?\d+([.,]\d+)?[eE][+-]?\d+$")
-    kept = F.regexp_replace(inner, r"[^\d.,\-]", "")
-    backwards = F.reverse(kept)
-    comma, dot = F.instr(backwards, ","), F.instr(backwards, ".")
-    # The separator nearest the end is the decimal one.
-    european = (comma > 0) & ((dot == 0) | (comma < dot))
-    # One comma becomes the point; a second one makes the text unreadable.
-    plain = F.when(european, F.regexp_replace(F.regexp_replace(kept, r"\.", ""), r"^([^,]*),", "$1.")) \
-        .otherwise(F.regexp_replace(kept, ",", ""))
-    digits = F.when(scientific, F.regexp_replace(packed, ",", ".")).otherwise(plain)
-    number = F.when(digits.rlike(r"\d"), digits).try_cast(PARSED_NUMBER)
-    return F.when(bracketed, -F.abs(number)).otherwise(number)
+    def plain(kept: Column) -> Column:
+        def decide(comma: Column, dot: Column) -> Column:
+            # The separator nearest the end is the decimal one.  One comma becomes
+            # the point; a second one makes the text unreadable.
+            european = (comma > 0) & ((dot == 0) | (comma < dot))
+            return F.when(european, F.regexp_replace(F.regexp_replace(kept, r"\.", ""), r"^([^,]*),", "$1.")) \
+                .otherwise(F.regexp_replace(kept, ",", ""))
+        return let(F.reverse(kept), lambda back: decide(F.instr(back, ","), F.instr(back, ".")))
+
+    def number(inner: Column) -> Column:
+        return let(F.regexp_replace(inner, r"(?U)\s", ""), lambda packed: F.when(
+            packed.rlike(r"^[+-]?\d+([.,]\d+)?[eE][+-]?\d+$"), F.regexp_replace(packed, ",", "."))
+            .otherwise(let(F.regexp_replace(inner, r"[^\d.,\-]", ""), plain))).try_cast(PARSED_NUMBER)
+
+    return let(squeeze(col), lambda text: F.when(
+        text.rlike(r"^\(.*\)$"), -F.abs(number(F.regexp_replace(text, r"^\(|\)$", "")))).otherwise(number(text)))
 
 
 def parse_currency_cell(col: Column) -> Column:
     """struct(code, amount, raw) of a cell such as ``USD  240``."""
-    text = squeeze(F.coalesce(col, F.lit("")))
     pattern = r"^([A-Za-z]{3})\b[\s:]*(.*)$"
-    coded = text.rlike(pattern)
-    return F.struct(
-        F.when(coded, F.upper(F.regexp_extract(text, pattern, 1))).alias("code"),
-        parse_amount(F.when(coded, F.regexp_extract(text, pattern, 2)).otherwise(text)).alias("amount"),
-        text.alias("raw"),
-    )
+
+    def cell(text: Column) -> Column:
+        coded = text.rlike(pattern)
+        return F.struct(
+            F.when(coded, F.upper(F.regexp_extract(text, pattern, 1))).alias("code"),
+            parse_amount(F.when(coded, F.regexp_extract(text, pattern, 2)).otherwise(text)).alias("amount"),
+            text.alias("raw"))
+
+    return let(squeeze(F.coalesce(col, F.lit(""))), cell)
 
 
 def round_to_minor_units(amount: Column, currency: Column) -> Column:

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often it is named.
+
+    Deep text rules name their input many times over; spelled out, the expression
+    outgrows what one compiled method may hold.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(col: Column) -> Column:
     """Trim, counting every Unicode white space."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
@@ -87,12 +96,14 @@ def supplier_key(col: Column) -> Column:
     A narrative is named by its voucher, or else by what remains without the
     noise lines.  A merchant name loses its country code and punctuation.
     """
-    raw = F.coalesce(col, F.lit(""))
-    voucher = voucher_of(raw)
-    told = F.array_join(F.filter(_lines(raw), lambda x: ~x.rlike(STATEMENT_NOISE)), " ")
-    return (F.when(raw.contains("\n") & voucher.isNotNull(), F.concat(F.lit("voucher:"), F.lower(voucher)))
-            .when(raw.contains("\n"), _flatten(told))
-            .otherwise(_flatten(F.regexp_replace(raw, r"(?U)\s+\d{3}\s*$", ""))))
+    def narrative(raw: Column) -> Column:
+        told = lambda lines: _flatten(F.array_join(F.filter(lines, lambda x: ~x.rlike(STATEMENT_NOISE)), " "))
+        named = lambda lines: F.get(F.reverse(F.filter(lines, lambda x: x.rlike(r"^[A-Z]{3,5}\d{4,6}$"))), F.lit(0))
+        return let(_lines(raw), lambda lines: F.coalesce(
+            F.concat(F.lit("voucher:"), F.lower(named(lines))), told(lines)))
+
+    return let(F.coalesce(col, F.lit("")), lambda raw: F.when(raw.contains("\n"), narrative(raw)).otherwise(
+        _flatten(F.regexp_replace(raw, r"(?U)\s+\d{3}\s*$", ""))))
 
 
 def bank_charge_line(narrative: Column) -> Column:
