@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["filters_and_totals", "chains_and_checks", "matching_and_values", "imports_and_edits"]
+MODULES = ["filters_and_totals", "chains_and_checks", "matching_and_values", "imports_and_edits", "raw_sheets"]
 
 
 def load():

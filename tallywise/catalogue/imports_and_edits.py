@@ -695,12 +695,15 @@ def load_extraction(spark, d):
 
 # ------------------------------------------------------------------ streams
 
-@query("suppress_double_submits", "T1", """
-SELECT submission_id FROM fx_submissions s WHERE allow_duplicate OR EXISTS (SELECT 1 FROM accepted a WHERE a.sig = concat_ws('|', card_id, txn_date, kind, amount, supplier) AND a.at = s.submitted_at)""".replace(
-    "SELECT submission_id", """WITH RECURSIVE e AS (SELECT concat_ws('|', card_id, txn_date, kind, amount, supplier) AS sig, submitted_at AS at, allow_duplicate AS al FROM fx_submissions),
-accepted AS (SELECT sig, min(at) AS at FROM e GROUP BY sig UNION ALL
-  SELECT x.sig, min(y.at) FROM accepted x JOIN e y ON y.sig = x.sig AND y.at > x.at AND (y.al OR y.at >= x.at + INTERVAL 30 MINUTE) GROUP BY x.sig, x.at)
-SELECT submission_id""", 1), "submission_id")
+SIG = "concat_ws('|', card_id, txn_date, kind, amount, supplier)"
+
+
+@query("suppress_double_submits", "T1", f"""
+WITH RECURSIVE handed_in AS (SELECT {SIG} AS sig, submitted_at AS moment, allow_duplicate AS allowed FROM fx_submissions),
+accepted AS (SELECT sig, min(moment) AS moment FROM handed_in GROUP BY sig UNION ALL
+  SELECT x.sig, min(y.moment) FROM accepted x JOIN handed_in y ON y.sig = x.sig AND y.moment > x.moment
+    AND (y.allowed OR y.moment >= x.moment + INTERVAL 30 MINUTE) GROUP BY x.sig, x.moment)
+SELECT s.submission_id FROM fx_submissions s JOIN accepted a ON a.sig = {SIG} AND a.moment = s.submitted_at""", "submission_id")
 def suppress_double_submits(spark, d):
     return ST.suppress_double_submits(submissions(spark, d), seconds=1800).select("submission_id")
 

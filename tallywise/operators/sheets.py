@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date, proves_day_first, proves_month_first
-from ..functions.text import one_line, squeeze
+from ..functions.text import let, one_line, squeeze
 
 SHEET = ["file", "sheet"]
 
@@ -68,13 +68,17 @@ def detect_header(cells: DataFrame, rows: int = 30) -> DataFrame:
     A header has at least three cells and a score of three; the earliest wins a
     tie.  Only the top of each sheet is ever grouped.
     """
-    words = F.lit(0)
-    for hint in HEADER_HINTS:
-        words = words + F.col("_t").rlike("(?i)" + hint).cast("int")
-    numeric = F.col("_t").try_cast("double").isNotNull() & ~F.col("_t").rlike("(?i)^[+-]?nan$|[df]$")
+    def points(t: Column) -> Column:
+        words = F.lit(0)
+        for hint in HEADER_HINTS:
+            words = words + t.rlike("(?i)" + hint).cast("int")
+        # A row full of numbers is data, whatever words it holds.
+        number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+        return words - number.cast("int")
+
     top = _filled(cells.filter(F.col("row") <= rows))
     scored = top.groupBy(*SHEET, "row").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(words - numeric.cast("int")).alias("score"))
+        F.count(F.lit(1)).alias("n"), F.sum(let(F.col("_t"), points)).alias("score"))
     good = scored.filter("n >= 3 AND score >= 3")
     return good.groupBy(*SHEET).agg(
         F.max_by("row", F.struct(F.col("score"), -F.col("row"))).alias("header_row"), F.max("score").alias("score"))
@@ -92,13 +96,15 @@ def map_columns(headings: DataFrame) -> DataFrame:
     DEBIT, CREDIT and BALANCE are kept as what they say; which of the first two
     lowers the balance is decided by ``bind_direction``.
     """
-    h = F.col("heading")
-    alias = F.lit(None).cast("string")
-    for name, pattern in reversed(FIELD_NAMES):
-        alias = F.when(h.rlike("(?i)" + pattern), F.lit(name)).otherwise(alias)
-    field = (F.when(h.rlike(r"(?i)\bbalance\b"), "statement_balance")
-             .when(h.rlike(r"(?i)\bdebit\b") & ~h.rlike("(?i)notes?"), "debit")
-             .when(h.rlike(r"(?i)\bcredit\b"), "credit").otherwise(alias))
+    def meaning(h: Column) -> Column:
+        alias = F.lit(None).cast("string")
+        for name, pattern in reversed(FIELD_NAMES):
+            alias = F.when(h.rlike("(?i)" + pattern), F.lit(name)).otherwise(alias)
+        return (F.when(h.rlike(r"(?i)\bbalance\b"), "statement_balance")
+                .when(h.rlike(r"(?i)\bdebit\b") & ~h.rlike("(?i)notes?"), "debit")
+                .when(h.rlike(r"(?i)\bcredit\b"), "credit").otherwise(alias))
+
+    field = let(F.col("heading"), meaning)
     named = headings.withColumn("field", field).filter("field IS NOT NULL")
     return named.groupBy(*SHEET, "field").agg(F.min("col").alias("col"), F.min_by("heading", "col").alias("heading"))
 
@@ -156,7 +162,8 @@ def direction_from_formula(formulas: DataFrame) -> DataFrame:
     letters of the two money columns).  A sheet with more than one sign pattern
     is reported as ``mixed``; the most frequent pattern decides.
     """
-    sign = lambda c: F.regexp_extract("formula", F.concat(F.lit(r"([+-])\s*"), F.col(c), F.lit(r"\d+")), 1)
+    sign = lambda c: F.call_function("regexp_extract", F.col("formula"), F.concat(
+        F.lit(r"([+-])\s*"), F.col(c), F.lit(r"\d+")), F.lit(1))
     signed = formulas.filter(F.col("formula").startswith("=")).withColumns(
         {"_a": sign("first_col"), "_b": sign("second_col")}).filter("_a <> '' AND _b <> ''")
     shapes = signed.groupBy(*SHEET, "first_col", "second_col", "_a", "_b").agg(F.count(F.lit(1)).alias("n"),

@@ -137,13 +137,19 @@ def _workbook_cells(path: str, content: bytes) -> Iterator[tuple]:
             el.clear()
 
 
-def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xls[xm]") -> DataFrame:
-    """Many workbooks at once as cells: dates as ISO text, formulas beside their values."""
+def workbook_cells(books: DataFrame) -> DataFrame:
+    """Cells of workbooks given as ``path, content``: dates as ISO text, formulas
+    beside their values.  Workbooks are read in parallel, each as a stream of rows."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path_, content in zip(b["path"], b["content"]):
                 yield from _frames(_workbook_cells(path_, content))
-    return _binary(spark, path, pattern).mapInPandas(read, CELLS)
+    return books.select("path", "content").mapInPandas(read, CELLS)
+
+
+def read_workbooks(spark: SparkSession, path: str, pattern: str = "*.xls[xm]") -> DataFrame:
+    """Every workbook under a folder as cells."""
+    return workbook_cells(_binary(spark, path, pattern))
 
 
 # Everything a screen or report reads; the derived search text and key stay behind.
