@@ -8,125 +8,84 @@ projections in DuckDB's dialect for the checks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.scan import id_block, running_sum, scan
-from .schema import MONEY, ORIGINAL, RATE
+from .schema import MONEY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _null(dtype: str = "string") -> Column:
-    return F.lit(None).cast(dtype)
-
-
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n = F.col("c_custkey"), F.col("c_nationkey")
-    seg = F.col("c_mktsegment")
-    currency = lambda k: (F.when(k % 4 == 0, "AED").when(k % 4 == 1, "SAR")
-                          .when(k % 4 == 2, "EUR").otherwise("USD"))
-    customers = table(spark, sf_dir, "customer").select(
-        c.alias("card_id"), F.col("c_name").alias("card_name"),
-        F.when(seg == "BUILDING", "bank_account").when(seg == "FURNITURE", "payment_account")
-        .otherwise("card").alias("card_type"),
-        currency(n).alias("settlement_currency"),
-        F.when(seg == "FURNITURE", F.lit(0)).otherwise(F.col("c_acctbal")).cast(MONEY).alias("opening_balance"),
-        F.when(c % 3 == 0, F.lit("1995-06-01").cast("date"))
-        .when(c % 3 == 1, F.lit("1995-01-01").cast("date")).alias("opening_date"),
-        F.when(~seg.isin("BUILDING", "FURNITURE") & (c % 7 == 0), -1).otherwise(1).alias("balance_sign"),
-        (seg != "FURNITURE").alias("tracks_balance"),
-        F.when(c % 10 == 9, "inactive").otherwise("active").alias("status"),
-        F.concat(F.lit("ISSUER "), n.cast("string")).alias("bank_issuer"),
-        F.when(c % 4 == 3, None).otherwise(F.lpad((c % 10000).cast("string"), 4, "0")).alias("account_reference"),
-        F.when(seg == "BUILDING", None).when(c % 2 == 0, "DEBIT").otherwise("CREDIT").alias("decreasing_header"),
-    )
+    currency = "CASE {k} % 4 WHEN 0 THEN 'AED' WHEN 1 THEN 'SAR' WHEN 2 THEN 'EUR' ELSE 'USD' END AS settlement_currency"
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS card_id", "c_name AS card_name",
+        "CASE c_mktsegment WHEN 'BUILDING' THEN 'bank_account' WHEN 'FURNITURE' THEN 'payment_account' ELSE 'card' END AS card_type",
+        currency.format(k="c_nationkey"),
+        "CAST(CASE WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE c_acctbal END AS DECIMAL(18,2)) AS opening_balance",
+        "CASE c_custkey % 3 WHEN 0 THEN DATE '1995-06-01' WHEN 1 THEN DATE '1995-01-01' END AS opening_date",
+        "CASE WHEN c_mktsegment NOT IN ('BUILDING', 'FURNITURE') AND c_custkey % 7 = 0 THEN -1 ELSE 1 END AS balance_sign",
+        "c_mktsegment <> 'FURNITURE' AS tracks_balance",
+        "CASE WHEN c_custkey % 10 = 9 THEN 'inactive' ELSE 'active' END AS status",
+        "concat('ISSUER ', c_nationkey) AS bank_issuer",
+        "CASE WHEN c_custkey % 4 <> 3 THEN lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') END AS account_reference",
+        "CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_custkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS decreasing_header")
     # Suppliers stand for accounts that never moved.
-    idle = table(spark, sf_dir, "supplier").select(
-        (-F.col("s_suppkey") - 1).alias("card_id"), F.col("s_name").alias("card_name"),
-        F.lit("card").alias("card_type"), currency(F.col("s_nationkey")).alias("settlement_currency"),
-        F.col("s_acctbal").cast(MONEY).alias("opening_balance"), _null("date").alias("opening_date"),
-        F.lit(1).alias("balance_sign"), F.lit(True).alias("tracks_balance"),
-        F.lit("active").alias("status"),
-        F.concat(F.lit("ISSUER "), F.col("s_nationkey").cast("string")).alias("bank_issuer"),
-        _null().alias("account_reference"), F.lit("DEBIT").alias("decreasing_header"),
-    )
+    idle = table(spark, sf_dir, "supplier").selectExpr(
+        "-s_suppkey - 1 AS card_id", "s_name AS card_name", "'card' AS card_type", currency.format(k="s_nationkey"),
+        "CAST(s_acctbal AS DECIMAL(18,2)) AS opening_balance", "CAST(NULL AS DATE) AS opening_date", "1 AS balance_sign",
+        "true AS tracks_balance", "'active' AS status", "concat('ISSUER ', s_nationkey) AS bank_issuer",
+        "CAST(NULL AS STRING) AS account_reference", "'DEBIT' AS decreasing_header")
     return customers.unionByName(idle)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order, a second copy of some and a tenfold slip of others."""
-    ok = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders")
-    copies = F.filter(
-        F.array(F.lit(0), F.when(ok % 23 == 0, 1), F.when(ok % 29 == 0, 2)), lambda x: x.isNotNull())
-    base = orders.select(
-        ok.alias("ok"), F.explode(copies).alias("k"), F.col("o_custkey").alias("card_id"),
-        F.col("o_orderdate").cast("date").alias("txn_date"),
-        F.col("o_totalprice").cast(MONEY).alias("price"),
-        F.col("o_orderstatus").alias("os"), F.col("o_orderpriority").alias("crm"))
-    ok, k = F.col("ok"), F.col("k")
-    mag = F.col("mag")
-    base = base.select(
-        "*", (ok * 10 + k).alias("transaction_id"),
-        (F.col("price") * F.when(k == 2, 10).otherwise(1)).cast(MONEY).alias("mag"),
-        ((k == 1) & (ok % 2 == 0)).alias("manual"))
-    s = lambda col: col.cast("string")
-    adjusted = ok % 97 == 0
-    line_key = F.dayofmonth("txn_date").cast("bigint") * F.lit(10_000_000_000_000) + F.col("transaction_id")
-    return base.select(
+    base = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS ok", "o_custkey AS card_id", "CAST(o_orderdate AS DATE) AS txn_date", "o_orderpriority AS crm",
+        "o_orderstatus AS os", "CAST(o_totalprice AS DECIMAL(18,2)) AS price",
+        "explode(filter(array(0, CASE WHEN o_orderkey % 23 = 0 THEN 1 END, CASE WHEN o_orderkey % 29 = 0 THEN 2 END), x -> x IS NOT NULL)) AS k")
+    base = base.selectExpr(
+        "*", "ok * 10 + k AS transaction_id", "CAST(price * CASE WHEN k = 2 THEN 10 ELSE 1 END AS DECIMAL(18,2)) AS mag",
+        "k = 1 AND ok % 2 = 0 AS manual", "day(txn_date) * 10000000000000 + ok * 10 + k AS line_key")
+    return base.selectExpr(
         "transaction_id", "card_id", "txn_date",
-        F.when(adjusted, "reconciliation_adjustment").otherwise("source_transaction").alias("entry_type"),
-        F.when(ok % 13 == 0, "voided").when(ok % 17 == 0, "needs_review")
-        .when(ok % 19 == 0, "excluded_from_source_balance").otherwise("confirmed").alias("status"),
-        F.when((ok % 17 == 0) | adjusted,
-               F.element_at(F.array(*[F.lit(x) for x in (
-                   "rate_without_currency: no code", "rate_denominator_mismatch: 2 and 3",
-                   "rate_formula_unexpected: =1/2", "currency_unparseable: '??'",
-                   "currency_unrecognised: 'XYZ'", "date_invalid: '31/02'")]),
-                   (ok % 6 + 1).cast("int"))).alias("review_reason"),
-        F.when(adjusted, "Manual balance overwrite in source workbook").alias("description"),
-        F.when(adjusted, None).when(F.col("os") == "F", "funding").otherwise("spend").alias("direction"),
-        F.when(F.col("os") == "F", mag).otherwise(-mag).cast(MONEY).alias("amount_aed"),
-        (ok % 19 != 0).alias("included_in_source_balance"),
-        F.when(ok % 5 == 0, "USD").when(ok % 5 == 1, "EUR").when(ok % 5 == 2, "JPY").alias("currency"),
-        F.when(ok % 5 == 0, mag * F.lit("0.25").cast("decimal(3,2)"))
-        .when(ok % 5 == 1, mag * F.lit("0.20").cast("decimal(3,2)"))
-        .when(ok % 5 == 2, mag * F.when(ok % 41 == 0, 4).otherwise(40)).cast(ORIGINAL).alias("original_amount"),
-        F.when(ok % 5 == 0, F.concat(F.lit("USD  "), s((mag * F.lit("0.25").cast("decimal(3,2)")).cast(ORIGINAL))))
-        .when(ok % 5 == 3, "XYZ 500").alias("currency_raw"),
-        F.when(ok % 5 == 0, F.lit("4")).when(ok % 5 == 1, F.lit("5")).when(ok % 5 == 2, F.lit("0.025"))
-        .when((ok % 5 == 3) & (ok % 37 == 0), F.lit("3.6725")).when((ok % 5 == 4) & (ok % 31 == 0), F.lit("1"))
-        .cast(RATE).alias("exchange_rate"),
-        F.when(ok % 5 == 0, F.concat(F.lit("=E5/"), s(ok))).alias("exchange_rate_formula"),
-        F.when(adjusted, None)
-        .when(ok % 10 == 3, F.concat(F.lit("CHARGES AND FEES\nVALUE DATE: 01 JAN\nTRF"), F.lpad(s(ok % 9000), 4, "0")))
-        .when(ok % 10 == 7, F.concat(F.lit("TRANSFER\nVALUE DATE : X\nACME TRADING "), s(ok % 40)))
-        .otherwise(F.concat(F.lit("SUPPLIER "), s(ok % 50), F.when(ok % 4 == 0, " 840").otherwise("")))
-        .alias("supplier_raw"),
-        F.when(ok % 6 == 0, None).when(ok % 6 == 1, "BAC").when(ok % 6 == 2, "bac ")
-        .otherwise(F.concat(F.lit("SA 9 | REQ "), s(ok % 300))).alias("req_number"),
-        F.when(ok % 3 == 1, "  ").when(ok % 3 == 2, F.concat(F.lit("LPO "), s(ok % 90))).alias("lpo_number"),
-        F.when(ok % 4 != 1, F.concat(F.lit("INV-"), s(ok % 1000))).alias("invoice"),
-        F.when(ok % 3 != 0, F.concat(F.lit("PAY "), s(ok % 700))).alias("payment_ref"),
-        F.concat(F.lit("ACC "), s(ok % 8)).alias("account"), "crm",
-        F.concat(F.lit("CLIENT "), s(ok % 120)).alias("client"),
-        _null().alias("event_end"), F.when(ok % 9 == 0, "Gala Dinner").alias("sales_operation"),
-        F.when(ok % 6 == 5, F.concat(F.lit("sheet note: done "), s(ok % 7), F.lit(" — the sheet dated this x")))
-        .alias("notes"),
-        F.when(F.col("manual"), None).otherwise(F.date_format("txn_date", "MM-yyyy")).alias("source_sheet"),
+        "CASE WHEN ok % 97 = 0 THEN 'reconciliation_adjustment' ELSE 'source_transaction' END AS entry_type",
+        "CASE WHEN ok % 13 = 0 THEN 'voided' WHEN ok % 17 = 0 THEN 'needs_review' WHEN ok % 19 = 0 THEN 'excluded_from_source_balance' ELSE 'confirmed' END AS status",
+        """CASE WHEN ok % 17 = 0 OR ok % 97 = 0 THEN CASE ok % 6 WHEN 0 THEN 'rate_without_currency: no code'
+           WHEN 1 THEN 'rate_denominator_mismatch: 2 and 3' WHEN 2 THEN 'rate_formula_unexpected: =1/2'
+           WHEN 3 THEN "currency_unparseable: '??'" WHEN 4 THEN "currency_unrecognised: 'XYZ'" ELSE "date_invalid: '31/02'" END END AS review_reason""",
+        "CASE WHEN ok % 97 = 0 THEN 'Manual balance overwrite in source workbook' END AS description",
+        "CASE WHEN ok % 97 = 0 THEN NULL WHEN os = 'F' THEN 'funding' ELSE 'spend' END AS direction",
+        "CAST(CASE WHEN os = 'F' THEN mag ELSE -mag END AS DECIMAL(18,2)) AS amount_aed",
+        "ok % 19 <> 0 AS included_in_source_balance",
+        "CASE ok % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'JPY' END AS currency",
+        """CASE ok % 5 WHEN 0 THEN CAST(mag * 0.25BD AS DECIMAL(18,4)) WHEN 1 THEN CAST(mag * 0.20BD AS DECIMAL(18,4))
+           WHEN 2 THEN CAST(mag * CASE WHEN ok % 41 = 0 THEN 4 ELSE 40 END AS DECIMAL(18,4)) END AS original_amount""",
+        "CASE ok % 5 WHEN 0 THEN concat('USD  ', CAST(mag * 0.25BD AS DECIMAL(18,4))) WHEN 3 THEN 'XYZ 500' END AS currency_raw",
+        """CAST(CASE WHEN ok % 5 = 0 THEN 4BD WHEN ok % 5 = 1 THEN 5BD WHEN ok % 5 = 2 THEN 0.025BD WHEN ok % 5 = 3 AND ok % 37 = 0 THEN 3.6725BD
+           WHEN ok % 5 = 4 AND ok % 31 = 0 THEN 1BD END AS DECIMAL(20,10)) AS exchange_rate""",
+        "CASE WHEN ok % 5 = 0 THEN concat('=E5/', ok) END AS exchange_rate_formula",
+        """CASE WHEN ok % 97 = 0 THEN NULL
+           WHEN ok % 10 = 3 THEN concat('CHARGES AND FEES', char(10), 'VALUE DATE: 01 JAN', char(10), 'TRF', lpad(CAST(ok % 9000 AS STRING), 4, '0'))
+           WHEN ok % 10 = 7 THEN concat('TRANSFER', char(10), 'VALUE DATE : X', char(10), 'ACME TRADING ', ok % 40)
+           ELSE concat('SUPPLIER ', ok % 50, CASE WHEN ok % 4 = 0 THEN ' 840' ELSE '' END) END AS supplier_raw""",
+        "CASE ok % 6 WHEN 0 THEN NULL WHEN 1 THEN 'BAC' WHEN 2 THEN 'bac ' ELSE concat('SA 9 | REQ ', ok % 300) END AS req_number",
+        "CASE ok % 3 WHEN 1 THEN '  ' WHEN 2 THEN concat('LPO ', ok % 90) END AS lpo_number",
+        "CASE WHEN ok % 4 <> 1 THEN concat('INV-', ok % 1000) END AS invoice",
+        "CASE WHEN ok % 3 <> 0 THEN concat('PAY ', ok % 700) END AS payment_ref",
+        "concat('ACC ', ok % 8) AS account", "crm", "concat('CLIENT ', ok % 120) AS client", "CAST(NULL AS STRING) AS event_end",
+        "CASE WHEN ok % 9 = 0 THEN 'Gala Dinner' END AS sales_operation",
+        "CASE WHEN ok % 6 = 5 THEN concat('sheet note: done ', ok % 7, ' — the sheet dated this x') END AS notes",
+        "CASE WHEN NOT manual THEN date_format(txn_date, 'MM-yyyy') END AS source_sheet",
         # Odd accounts print their newest line first.
-        F.when(F.col("manual"), None).when(F.col("card_id") % 2 == 0, line_key)
-        .otherwise(F.lit(1_000_000_000_000_000) - line_key).alias("source_row"),
-        F.when(ok % 71 == 0, F.date_format("txn_date", "dd/MM/yyyy")).alias("source_date_raw"),
-        (ok % 142 == 0).alias("date_repaired"),
-        F.when(ok % 53 == 0, "normalized rate calculated").alias("rate_review_note"),
-        (F.col("txn_date").cast("timestamp_ntz") + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(0),
-            ok % 80000 + F.when(k == 1, 30 + 60 * (ok % 2)).otherwise(0))).alias("created_at"),
-    )
+        "CASE WHEN manual THEN NULL WHEN card_id % 2 = 0 THEN line_key ELSE 1000000000000000 - line_key END AS source_row",
+        "CASE WHEN ok % 71 = 0 THEN date_format(txn_date, 'dd/MM/yyyy') END AS source_date_raw",
+        "ok % 142 = 0 AS date_repaired", "CASE WHEN ok % 53 = 0 THEN 'normalized rate calculated' END AS rate_review_note",
+        "CAST(txn_date AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, ok % 80000 + CASE WHEN k = 1 THEN 30 + 60 * (ok % 2) ELSE 0 END) AS created_at")
 
 
 def statement_lines(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:

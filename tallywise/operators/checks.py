@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import (content_signature, dedup_key, rate_formula_denominator, review_kind,
                               shown_supplier)
 from ..functions.text import is_blank
-from ..plans.scan import HOT_ROWS, Measure, id_block, numbered, scan
+from ..plans.scan import HOT_ROWS, Measure, id_block, numbered, scan, settle
 from ..schema import (ADJUSTMENT, DIRECTIONS, ENTRY_TYPES, MONEY_SUM, RATE, SOURCE, STATUSES, TOLERANCE)
 from .filters import with_account
 from .matching import cross_check, only_new
@@ -160,6 +160,8 @@ def suspect_amounts(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_
         "supplier": shown_supplier(), "cents": F.round(F.abs("amount_aed") * 100).cast("bigint")})
     partner = F.struct(F.col("transaction_id").alias("id"), F.col("amount_aed").alias("amount"))
     days = rows.groupBy("card_id", "supplier", "cents", "txn_date").agg(F.min(partner).alias("held"))
+    # A partner amount meets at most the charge days of its own supplier, twice.
+    hot_rows = settle(days, ["card_id", "supplier"], hot_rows and hot_rows // 2)
     amounts = days.select("card_id", "supplier", "cents").distinct()
     pairs = _amount_pairs(amounts)
 
