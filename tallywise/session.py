@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,12 +29,15 @@ def local_session(cores: str = "8", app: str = "tallywise") -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``.  Only where
-    that is unset, as in tests on one machine, a temporary folder stands in.
+    The cluster names its shared folder in ``spark.checkpoint.dir``.  Only a session
+    on one machine may go without: there a folder under the warehouse stands in.
+    Elsewhere executors would write where the others cannot read, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    leaf = f"{name}-{uuid.uuid4().hex}"
-    if base:
-        return f"{base.rstrip('/')}/{leaf}"
-    return os.path.join(tempfile.mkdtemp(prefix="tallywise-"), leaf)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
