@@ -76,8 +76,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "joined": F.array_join("w", ""),
         "rows": F.filter(F.split("t", "\n"), lambda x: x.rlike(GAP.replace("[", "[^"))),
     })
-    return split.select(
-        "doc_id",
+    # Filters on a generated row stay above it: pushed into the counts, they would split the text anew for each word.
+    return split.select("doc_id", F.inline(F.array(F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.length("joined").cast("long").alias("word_chars"),
         F.regexp_count("joined", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -86,8 +86,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.expr(_repeat_words()).cast("long").alias("n_repeat_words"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(FUNCTION_WORDS))).cast("long").alias("n_function_words"),
         F.length(F.regexp_replace("joined", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
-        F.length(F.regexp_replace("joined", r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals"),
-    )
+        F.length(F.regexp_replace("joined", r"[^\p{Lu}]+", "")).cast("long").alias("n_capitals")))))
 
 
 def votes(measured: DataFrame) -> DataFrame:
