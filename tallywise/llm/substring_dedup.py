@@ -7,8 +7,7 @@ into stretches of windows, each owned by one run:
 
 1. Runs that own windows are counted over all documents; those that occur once
    cannot belong to a repeated window and go.
-2. The words of the remaining stretches are sent to their shards, equal stretches
-   once with their count.
+2. Equal stretches are counted by hash, and one of each is sent to its shard in words.
 3. A shard indexes its stretches and streams them through the index: backward search
    over the wavelet matrix gives the matching statistics, and every window of full
    length that occurs twice is reported.
@@ -32,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,23 +46,42 @@ SHARD_WORDS = 1_000_000
 MOST = 4096
 
 
-def stretches(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run hash, first window, windows) of each stretch of windows owned by one run."""
+#: Low bits that hold a place while least hashes are looked for.
+_PLACE = np.uint64((1 << 28) - 1)
+
+
+def _owners(runs: np.ndarray, inside: int) -> np.ndarray:
+    """The place of the least of each ``inside`` neighbours, the rightmost on ties."""
+    if len(runs) > int(_PLACE):
+        raise ValueError("a text has more words than a place can hold")
+    # Of equal hashes the later has the smaller value; minima of 1, 2, 4 ... neighbours, then two that overlap.
+    least, width = (runs & ~_PLACE) | (_PLACE - np.arange(len(runs), dtype=np.uint64)), 1
+    while 2 * width <= inside:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = inside - width
+    least = np.minimum(least[:-rest], least[rest:]) if rest else least
+    return (_PLACE - (least & _PLACE)).astype(np.int64)
+
+
+def stretches(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(run hash, hash of all words, first window, windows) of each stretch of windows owned by one run."""
     n = len(words)
     if n < window:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
     hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
     runs = np.zeros(n - gram + 1, np.uint64)
     for k in range(gram):
         runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + len(runs)]
     runs = _mixed(runs)
     inside = window - gram + 1
-    # Rightmost least run of each window: the first least one, read backwards.
-    back = np.lib.stride_tricks.sliding_window_view(runs[::-1], inside).argmin(axis=1)[::-1]
-    owner = np.arange(n - window + 1) + inside - 1 - back
+    owner = _owners(runs, inside)
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    return (runs[owner[first]].view(np.int64), first.astype(np.int32),
-            np.diff(np.append(first, len(owner))).astype(np.int32))
+    count = np.diff(np.append(first, len(owner)))
+    raw = hashes.tobytes()
+    content = [xxhash.xxh3_64_intdigest(raw[8 * a:8 * (a + c + window - 1)]) for a, c in zip(first.tolist(), count.tolist(), strict=True)]
+    return (runs[owner[first]].view(np.int64), np.array(content, np.uint64).view(np.int64), first.astype(np.int32),
+            count.astype(np.int32))
 
 
 def _split(column: pa.Array) -> list[list[bytes]]:
@@ -76,26 +95,29 @@ def _runs(window: int, gram: int):
             if not found:
                 continue
             owner = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-            run, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            run, content, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(run), batch.column("key").take(owner), batch.column("check").take(owner), pa.array(first),
-                 pa.array(n)], names=["run", "key", "check", "first", "n"])
+                [pa.array(run), pa.array(content), batch.column("key").take(owner), batch.column("check").take(owner),
+                 pa.array(first), pa.array(n)], names=["run", "content", "key", "check", "first", "n"])
     return each
 
 
 def _texts(window: int):
+    """The words of the wanted stretches; those of a crowded run window by window."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, (words, own) in enumerate(zip(_split(batch.column("text")), batch.column("own").to_pylist(), strict=True)):
-                rows += [(i, x["run"], x["first"], x["n"], b" ".join(words[x["first"]:x["first"] + x["n"] + window - 1]).decode())
-                         for x in own]
-            i, run, first, n, text = list(zip(*rows, strict=True)) or [()] * 5
-            owner = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(owner), batch.column("check").take(owner), pa.array(run, pa.int64()),
-                 pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.string())],
-                names=["key", "check", "run", "first", "n", "words"])
+            for words, own in zip(_split(batch.column("text")), batch.column("own").to_pylist(), strict=True):
+                for x in own:
+                    a, n = x["first"], x["n"]
+                    for at, size in [(k, 1) for k in range(n)] if x["crowded"] else [(0, n)]:
+                        cut = b" ".join(words[a + at:a + at + size + window - 1])
+                        route = xxhash.xxh3_64_intdigest(cut) - (1 << 63) if x["crowded"] else x["run"]
+                        rows.append((x["run"], x["content"], at, cut.decode(), x["copies"], route))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
+                                             names=["run", "content", "at", "words", "copies", "route"])
     return each
 
 
@@ -151,40 +173,37 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
         raise ValueError("a stretch's windows must fit the bits of a long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
-    id_col = [F.col(f"row.`{c}`").cast("string") for c in docs.columns if c == "doc_id"]
-    keyed = rows.select("row", whole.alias("text"), F.xxhash64(*id_col, whole).alias("key"),
+    ids = [F.col(f"row.`{f.name}`").cast("long") if f.dataType.typeName() in ("long", "integer") else
+           F.xxhash64(F.when(F.col(f"row.`{f.name}`").isNotNull(), F.col(f"row.`{f.name}`").cast("string")))
+           for f in docs.schema.fields if f.name == "doc_id"]
+    # Rows are told apart by id and text; rows alike in both are alike in all that matters here.
+    keyed = rows.select("row", whole.alias("text"), F.coalesce(*ids, F.xxhash64(whole)).alias("key"),
                         F.crc32(whole.cast("binary")).alias("check"))
     texts = keyed.select("key", "check", "text")
 
-    runs = texts.mapInArrow(_runs(window, gram), "run long, key long, check long, first int, n int")
+    runs = texts.mapInArrow(_runs(window, gram), "run long, content long, key long, check long, first int, n int")
     often = runs.select("run").groupBy("run").agg(F.count("*").alias("times")).filter("times > 1").select("run")
     candidates = materialise(runs.join(often, "run"), "runs")
 
-    # Stretches of one text: as many as it is long, however often the row repeats.
-    own = candidates.groupBy("key", "check").agg(F.collect_set(F.struct("first", "n", "run")).alias("own"))
-    found = texts.join(own, ["key", "check"]).mapInArrow(
-        _texts(window), "key long, check long, run long, first int, n int, words string")
-    found = materialise(found.withColumn("content", F.xxhash64("words")), "stretches")
-
-    contents = materialise(found.groupBy("run", "content").agg(F.first("words").alias("words"), F.first("n").alias("n"),
-                                                               F.count("*").alias("copies")), "contents")
+    contents = materialise(candidates.groupBy("run", "content").agg(
+        F.count("*").alias("copies"), F.min(F.struct("key", "check", "first", "n")).alias("x"))
+        .select("run", "content", "copies", "x.*"), "contents")
     crowded = contents.groupBy("run").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select(
         "run", F.lit(True).alias("crowded"))
-    contents = contents.join(crowded, "run", "left")
-    whole_ones = contents.filter("crowded IS NULL").select("run", "content", F.lit(0).alias("at"), "words", "copies",
-                                                           F.col("run").alias("route"))
-    single = contents.filter("crowded").select(
-        "run", "content", F.posexplode(F.expr(
-            f"transform(sequence(0, n - 1), i -> array_join(slice(split(words, ' '), i + 1, {window}), ' '))"))
-        .alias("at", "words"), "copies").withColumn("route", F.xxhash64("words"))
-    pieces = whole_ones.unionByName(single)
     size = contents.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = max(1, -(-size // shard_words))
+
+    # Stretches of one text: as many as it is long.
+    own = contents.join(crowded, "run", "left").groupBy("key", "check").agg(F.collect_list(F.struct(
+        "first", "n", "run", "content", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("own"))
+    # Rows that repeat an id and text would send their stretches again.
+    pieces = texts.join(own, ["key", "check"]).mapInArrow(
+        _texts(window), "run long, content long, at int, words string, copies long, route long")
     verdict = pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).groupBy("shard") \
         .applyInArrow(_search(window), "run long, content long, at int, mask long").filter("mask <> 0")
     verdict = verdict.groupBy("run", "content").agg(F.bit_or(F.expr("shiftleft(mask, at)")).alias("mask"))
 
-    marks = found.select("key", "check", "first", "run", "content").join(verdict, ["run", "content"]) \
+    marks = candidates.select("key", "check", "first", "run", "content").join(verdict, ["run", "content"]) \
         .groupBy("key", "check").agg(F.collect_set(F.struct("first", "mask")).alias("own"))
     names = ["row", "n_words", "n_removed", "kept_text"]
     row_type = keyed.schema["row"].dataType.simpleString()
