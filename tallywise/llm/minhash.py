@@ -9,15 +9,15 @@ that when it stands for the similarity.
 Candidates come from buckets without listing the pairs of a bucket:
 
 1. Documents with equal sets are one node, known by its smallest id.
-2. Each node of a bucket is held against the bucket's smallest node.  Pairs whose
-   signatures are too unlike for the wanted similarity go; for each node the likeliest
-   pair is confirmed on full sets first, the others only if still unconnected.
+2. Each node of a bucket is held against the bucket's leaders, ``LEADERS`` nodes.  Pairs
+   whose signatures are too unlike for the wanted similarity go; for each node the
+   likeliest pair is confirmed on full sets first, the others only if still unconnected.
 3. Buckets whose nodes are then in more than one component are searched for pairs
    across components.  A large bucket is dealt into blocks, so one task sees two blocks
    at a time; pairs leave a task only if their signatures are alike enough.
 
 With 40 bands of 5 rows a pair at similarity 0.8 is missed with probability 1.2e-7;
-the signature bar lies six standard deviations below the similarity.
+the signature bar lies five standard deviations below the similarity.
 
 Nulls and edge cases: a text with fewer words than a shingle is one shingle; a
 text without words, or null, has an empty set and is linked with nothing.  A row
@@ -41,7 +41,9 @@ from .common import materialise
 
 BANDS, ROWS, BITS = 40, 5, 4
 #: Standard deviations between the wanted similarity and the bar for signatures.
-MARGIN = 6.0
+MARGIN = 5.0
+#: Nodes of a bucket that all others are held against: the smallest, and some by hash.
+LEADERS = 4
 #: Nodes of a bucket that are dealt to one block.
 BLOCK = 512
 _REMEMBERED = 1_000_000
@@ -263,17 +265,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pair_schema, bar = "a long, b long, like double", signature_bar(percent)
 
     rows = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    shared = materialise(rows.join(buckets, "key"), "shared")
+    leaders = [F.min("node")] + [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(1, LEADERS)]
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), *[x.alias(f"leader{i}") for i, x in enumerate(leaders)]) \
+        .select("key", "size", F.array_distinct(F.array(*[f"leader{i}" for i in range(LEADERS)])).alias("leaders"))
+    shared = materialise(rows.join(buckets.filter("size > 1"), "key"), "shared")
 
-    star = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    star = shared.select("node", F.explode("leaders").alias("leader")).filter("node <> leader") \
+        .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     sized = _pairs_with(_pairs_with(star, nodes, "n"), nodes, "sig") \
         .filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
     star = materialise(sized.mapInArrow(_alike(percent, bar), pair_schema), "star")
 
     def sets_of(ids: DataFrame) -> DataFrame:
+        # The same plan at every size: the ids are not broadcast while they are few.
         wanted = docs.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node") \
-            .join(ids.distinct(), "node", "left_semi")
+            .join(ids.distinct().hint("merge"), "node", "left_semi")
         return materialise(wanted.mapInArrow(_sets(shingle), "node long, items array<long>"), "sets")
 
     def ends(pairs: DataFrame) -> DataFrame:
@@ -285,16 +291,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            "links")
 
     sets = sets_of(ends(star))
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b"))
-    links = confirm(best, sets)
-    found = connected(links)
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
         return _labelled(_labelled(pairs, found, "a", "of_a"), found, "b", "of_b").filter("of_a <> of_b")
 
-    rest = confirm(apart(star.join(best, ["a", "b"], "left_anti"), found), sets)
-    links = links.unionByName(rest)
-    found = connected(links)
+    def linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None):
+        """Links and components with those of ``pairs``: the likeliest of each node, then what is still apart."""
+        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b"))
+        new = confirm(best, sets)
+        links = new if links is None else links.unionByName(new)
+        found = connected(links)
+        links = links.unionByName(confirm(apart(pairs.join(best, ["a", "b"], "left_anti"), found), sets))
+        return links, connected(links)
+
+    links, found = linked(star, sets)
 
     # Buckets of two are settled: their one pair has been judged.
     wide = _labelled(shared.filter("size > 2").select("key", "node", "size"), found, "node", "component")
@@ -315,8 +325,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(star.select("a", "b"), ["a", "b"], "left_anti")
     more = materialise(more, "more")
     if more.take(1):
-        links = links.unionByName(confirm(more, sets_of(ends(more))))
-        found = connected(links)
+        links, found = linked(more, sets_of(ends(more)), links)
 
     verdict = _labelled(nodes.select("set_x", "set_y", "node"), found, "node", "component_id").drop("node")
     judged = features.select("doc_id", "n_shingles", "set_x", "set_y").join(verdict, ["set_x", "set_y"], "left")
