@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +37,10 @@ def let(value: str, name: str, body: str) -> str:
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP + "+"), "")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so the words of few texts are objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -46,7 +46,7 @@ MARGIN = 5.0
 LEADERS = 4
 #: Nodes of a bucket that are dealt to one block.
 BLOCK = 512
-_REMEMBERED = 1_000_000
+_REMEMBERED = 200_000
 _RNG = np.random.default_rng(20260101)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 _ODD = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .fm_index import FMIndex, repeated_windows
 from .minhash import _WORDS, _mixed
 
@@ -90,7 +90,7 @@ def _split(column: pa.Array) -> list[list[bytes]]:
 
 def _runs(window: int, gram: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [stretches(x, window, gram) for x in _split(batch.column("text"))]
             if not found:
                 continue
@@ -105,7 +105,7 @@ def _runs(window: int, gram: int):
 def _texts(window: int):
     """The words of the wanted stretches; those of a crowded run window by window."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for words, own in zip(_split(batch.column("text")), batch.column("own").to_pylist(), strict=True):
                 for x in own:
@@ -147,7 +147,7 @@ def _search(window: int):
 
 def _kept(window: int, names: list[str]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             total, removed, texts = [], [], []
             for words, own in zip(_split(batch.column("text")), batch.column("own").to_pylist(), strict=True):
                 change = np.zeros(len(words) + 1, np.int64)

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 #: Runs that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Added for each character spelled in bytes, below the least score of a piece.
 PENALTY = 10.0
 
