@@ -18,6 +18,7 @@ Only the id and text columns are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, slices
 
 CAPACITY = 4096
 OPEN_BINS = 1024
@@ -35,7 +36,12 @@ OPEN_BINS = 1024
 GROUP_TOKENS = 4096 * CAPACITY
 END_ID = 1
 #: Chunks that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Chunks coded at a time; each comes back with its offsets and tokens.
+CODED = 2_000
+
+#: Marks at the end of a chunk, behind a letter or digit: a token of their own wherever they stand.
+_MARKS = re.compile(r"(?<=[A-Za-z0-9])[.,;:!?]+(?=[\s]|$)")
 
 _CODERS: dict[str, "Coder"] = {}
 
@@ -64,11 +70,15 @@ class Coder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(chunks)
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[x] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        for at in range(0, len(new), CODED):
+            part = new[at:at + CODED]
+            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.known[x] = b"".join(i.to_bytes(4, "little") for i in e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in x for s in self.special) else x.split() for x in texts]
+        # The tokenizer lowers A-Z itself; done before, fewer chunks differ.
+        split = [None if any(s in x for s in self.special) else
+                 _MARKS.sub(r" \g<0>", x).encode().lower().decode().split() for x in texts]
         chunks: set[str] = set()
         for x in split:
             chunks.update(x or ())
@@ -91,7 +101,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             rows = []
             for i, ids in enumerate(code.encode(texts)):
