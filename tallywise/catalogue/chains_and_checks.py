@@ -200,7 +200,7 @@ def latest_stated(spark, d):
 def _daily(last: str) -> str:
     return f"""
 SELECT l.card_id, a.card_name AS account, a.settlement_currency AS currency, l.txn_date AS last_transaction_date,
-  left(l.supplier_raw, 60) AS last_transaction, l.amount_aed AS last_amount, l.statement_balance AS bank_says, b.ledger_balance AS ledger_says,
+  coalesce(l.supplier_raw, '') AS last_transaction, l.amount_aed AS last_amount, l.statement_balance AS bank_says, b.ledger_balance AS ledger_says,
   l.statement_balance - b.ledger_balance AS difference,
   (SELECT count(*) FROM fx_statement x WHERE x.card_id = l.card_id AND x.statement_balance IS NULL) AS rows_without_a_stated_balance
 FROM ({last}) l JOIN fx_accounts a ON a.card_id = l.card_id JOIN ({BALANCES}) b ON b.card_id = l.card_id"""

@@ -114,12 +114,13 @@ def match_by_voucher(spark, d):
 
 
 @query("resolve_accounts", "J16", """
-SELECT s.statement_id, coalesce(n.card_id, r.card_id, i.card_id) AS card_id,
-  CASE WHEN n.card_id IS NOT NULL THEN 'name' WHEN r.card_id IS NOT NULL THEN 'reference' WHEN i.card_id IS NOT NULL THEN 'issuer and currency' END AS resolved_by
+SELECT s.statement_id, CASE WHEN n.k > 0 THEN n.card_id WHEN r.k > 0 THEN r.card_id ELSE i.card_id END AS card_id,
+  CASE WHEN n.k > 1 THEN 'ambiguous name' WHEN n.k = 1 THEN 'name' WHEN r.k > 1 THEN 'ambiguous reference' WHEN r.k = 1 THEN 'reference'
+    WHEN i.card_id IS NOT NULL THEN 'issuer and currency' END AS resolved_by
 FROM (SELECT card_id AS statement_id, CASE WHEN card_id % 3 = 0 THEN card_name ELSE 'BANK ' || CAST(card_id AS VARCHAR) END AS nm,
   CASE WHEN card_id % 2 = 0 AND account_reference IS NOT NULL THEN '99' || account_reference ELSE 'ZZ' END AS num, bank_issuer, settlement_currency FROM fx_accounts) s
-LEFT JOIN (SELECT card_name, min(card_id) AS card_id FROM fx_accounts GROUP BY 1) n ON n.card_name = s.nm
-LEFT JOIN (SELECT account_reference AS ref, min(card_id) AS card_id FROM fx_accounts WHERE account_reference IS NOT NULL GROUP BY 1) r ON right(s.num, 4) = r.ref
+LEFT JOIN (SELECT card_name, CASE WHEN count(*) = 1 THEN min(card_id) END AS card_id, count(*) AS k FROM fx_accounts GROUP BY 1) n ON n.card_name = s.nm
+LEFT JOIN (SELECT account_reference AS ref, CASE WHEN count(*) = 1 THEN min(card_id) END AS card_id, count(*) AS k FROM fx_accounts WHERE account_reference IS NOT NULL GROUP BY 1) r ON right(s.num, 4) = r.ref
 LEFT JOIN (SELECT bank_issuer, settlement_currency, min(card_id) AS card_id FROM fx_accounts WHERE status = 'active' GROUP BY 1, 2 HAVING count(*) = 1) i
   ON i.bank_issuer = s.bank_issuer AND i.settlement_currency = s.settlement_currency""", "statement_id card_id resolved_by")
 def resolve_accounts(spark, d):

@@ -250,7 +250,7 @@ def bank_daily_check(txn: DataFrame, acct: DataFrame, balances: DataFrame, order
     return named.join(balances.select("card_id", "ledger_balance"), "card_id").select(
         "card_id", F.col("card_name").alias("account"), F.col("settlement_currency").alias("currency"),
         F.col("txn_date").alias("last_transaction_date"),
-        F.substring(F.coalesce("supplier_raw", F.lit("")), 1, 60).alias("last_transaction"),
+        F.coalesce("supplier_raw", F.lit("")).alias("last_transaction"),
         F.col("amount_aed").alias("last_amount"), F.col("statement_balance").alias("bank_says"),
         F.col("ledger_balance").alias("ledger_says"),
         F.round(F.col("statement_balance") - F.col("ledger_balance"), 2).cast(MONEY_SUM).alias("difference"),

@@ -280,25 +280,32 @@ def match_by_voucher(ledger: DataFrame, statement: DataFrame, hot_rows: int | No
 
 def resolve_accounts(statements: DataFrame, acct: DataFrame) -> DataFrame:
     """The account a statement is for: its name, else the reference its number
-    ends on, else the one active account of that issuer and currency.
+    ends on, else the one active account of that issuer and currency.  A name or
+    reference that two accounts share names neither.
 
     ``statements`` holds ``statement_id, account_name, account_number,
     bank_issuer, currency``.  Adds ``card_id`` and ``resolved_by``.
     """
-    by_name = acct.groupBy(F.col("card_name").alias("account_name")).agg(F.min("card_id").alias("_by_name"))
-    tails = statements.select("statement_id", "account_number", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("_n")) \
-        .filter(F.length("account_number") >= F.col("_n")) \
+    # Two accounts of one name or reference: neither is taken.
+    only = F.when(F.count(F.lit(1)) == 1, F.min("card_id"))
+    by_name = acct.groupBy(F.col("card_name").alias("account_name")).agg(only.alias("_by_name"), F.lit(True).alias("_named"))
+    tails = statements.filter("length(account_number) > 0") \
+        .select("statement_id", "account_number", F.explode(F.expr("sequence(1, length(account_number))")).alias("_n")) \
         .select("statement_id", F.expr("right(account_number, _n)").alias("account_reference"), "_n")
-    refs = acct.filter("account_reference <> ''").groupBy("account_reference").agg(F.min("card_id").alias("_id"))
-    by_ref = tails.join(refs, "account_reference").groupBy("statement_id").agg(F.max_by("_id", "_n").alias("_by_ref"))
+    refs = acct.filter("account_reference <> ''").groupBy("account_reference").agg(only.alias("_id"))
+    by_ref = tails.join(refs, "account_reference").groupBy("statement_id").agg(
+        F.max_by(F.struct("_id"), "_n")["_id"].alias("_by_ref"), F.lit(True).alias("_ended"))
     lone = acct.filter("status = 'active'").groupBy("bank_issuer", F.col("settlement_currency").alias("currency")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("card_id").alias("_by_issuer")).filter("_n = 1").drop("_n")
     found = statements.join(by_name, "account_name", "left").join(by_ref, "statement_id", "left") \
         .join(lone, ["bank_issuer", "currency"], "left")
+    named, ended = F.col("_named").isNotNull(), F.col("_ended").isNotNull()
     return found.withColumns({
-        "card_id": F.coalesce("_by_name", "_by_ref", "_by_issuer"),
-        "resolved_by": F.when(F.col("_by_name").isNotNull(), "name").when(F.col("_by_ref").isNotNull(), "reference")
-        .when(F.col("_by_issuer").isNotNull(), "issuer and currency")}).drop("_by_name", "_by_ref", "_by_issuer")
+        "card_id": F.when(named, F.col("_by_name")).when(ended, F.col("_by_ref")).otherwise(F.col("_by_issuer")),
+        "resolved_by": F.when(named & F.col("_by_name").isNull(), "ambiguous name").when(named, "name")
+        .when(ended & F.col("_by_ref").isNull(), "ambiguous reference").when(ended, "reference")
+        .when(F.col("_by_issuer").isNotNull(), "issuer and currency")}) \
+        .drop("_by_name", "_by_ref", "_by_issuer", "_named", "_ended")
 
 
 def match_sheet_accounts(sheets: DataFrame, acct: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def sort_transactions(txn: DataFrame, acct: DataFrame, key: str, direction: str
     return named.withColumn("_v", value).orderBy(way("_v"), way("transaction_id")).drop("_v", "_name")
 
 
-def export_columns(txn: DataFrame, acct: DataFrame) -> DataFrame:
+def export_columns(txn: DataFrame, acct: DataFrame, *extra: str) -> DataFrame:
     """The export: numbers as numbers, ISO dates, one row per transaction."""
     named = txn.join(acct.select("card_id", "card_name"), "card_id", "left")
     held = set(named.columns)
@@ -84,12 +84,16 @@ def export_columns(txn: DataFrame, acct: DataFrame) -> DataFrame:
         "Occurrence": F.coalesce(F.col("occurrence"), F.lit(1)) if "occurrence" in held else F.lit(1),
         "Source sheet": F.coalesce("source_sheet", F.lit("manual entry")), "Review note": blank("rate_review_note"),
         "Review reason": blank("review_reason"), "Notes": blank("notes")}
-    return named.select(*[c.alias(n) for n, c in columns.items()])
+    return named.select(*[c.alias(n) for n, c in columns.items()], *extra)
 
 
 def export_transactions(txn: DataFrame, acct: DataFrame, path: str, key: str = "date", direction: str = "desc") -> None:
-    """Write the export as CSV files, sorted as viewed (range-partitioned, one sorted file per task)."""
-    export_columns(sort_transactions(txn, acct, key, direction), acct) \
+    """Write the export as CSV files, sorted as viewed (range-partitioned, one sorted file per task).
+
+    The order is numbered before the accounts are joined, which undoes it, and restored last.
+    """
+    viewed = sort_transactions(txn, acct, key, direction).withColumn("_at", F.monotonically_increasing_id())
+    export_columns(viewed, acct, "_at").orderBy("_at").drop("_at") \
         .write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 

@@ -62,11 +62,11 @@ def _filled(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_t", squeeze(F.coalesce("text", F.lit("")))).filter("_t <> ''")
 
 
-def detect_header(cells: DataFrame, rows: int = 30) -> DataFrame:
-    """The row with the most header words, less its numbers, among the first thirty.
+def detect_header(cells: DataFrame) -> DataFrame:
+    """The row with the most header words, less its numbers.
 
     A header has at least three cells and a score of three; the earliest wins a
-    tie.  Only the top of each sheet is ever grouped.
+    tie.  All rows are scored, so a header may stand anywhere.
     """
     def points(t: Column) -> Column:
         words = F.lit(0)
@@ -76,8 +76,7 @@ def detect_header(cells: DataFrame, rows: int = 30) -> DataFrame:
         number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
         return words - number.cast("int")
 
-    top = _filled(cells.filter(F.col("row") <= rows))
-    scored = top.groupBy(*SHEET, "row").agg(
+    scored = _filled(cells).groupBy(*SHEET, "row").agg(
         F.count(F.lit(1)).alias("n"), F.sum(let(F.col("_t"), points)).alias("score"))
     good = scored.filter("n >= 3 AND score >= 3")
     return good.groupBy(*SHEET).agg(
@@ -113,12 +112,12 @@ def _body(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return _filled(cells).join(headers.select(*SHEET, "header_row"), SHEET).filter(F.col("row") > F.col("header_row"))
 
 
-def find_date_column(cells: DataFrame, headers: DataFrame, taken: DataFrame, sample: int = 60) -> DataFrame:
-    """A column that is dates by its contents: four in five of the first sixty rows, three at least.
+def find_date_column(cells: DataFrame, headers: DataFrame, taken: DataFrame) -> DataFrame:
+    """A column that is dates by its contents: four in five of its cells, three at least.
 
     ``taken`` holds ``file, sheet, col`` already understood.
     """
-    rows = _body(cells, headers).filter(F.col("row") <= F.col("header_row") + sample)
+    rows = _body(cells, headers)
     free = rows.join(taken.select(*SHEET, "col").distinct(), SHEET + ["col"], "left_anti")
     hit = parse_date(F.col("_t"), F.lit(True))["iso"].isNotNull()
     per = free.groupBy(*SHEET, "col").agg(F.count(F.lit(1)).alias("filled"), F.count_if(hit).alias("hits"))

@@ -293,3 +293,42 @@ def test_bank_order_reads_a_sheet_that_lists_the_newest_line_first(spark):
     for hot in (None, 1):
         got = C.bank_order(t.withColumn("statement_balance", printed), hot).orderBy("line_no")
         assert [r.transaction_id for r in got.collect()] == [1, 2, 3, 4]
+
+
+def test_export_keeps_the_order(spark, tmp_path):
+    from tallywise.fixtures import accounts, transactions
+    from tallywise.operators.reports import export_transactions
+    d = "/root/testdata/sf0.001"
+    path = str(tmp_path / "out")
+    export_transactions(transactions(spark, d), accounts(spark, d), path)
+    days = [r.Date for r in spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+            .select("Date").collect()]
+    assert days == sorted(days, reverse=True) and len(days) > 100
+
+
+def test_header_far_down(spark):
+    from tallywise.operators.sheets import detect_header
+    cells = [("f", "S", 1, c, "note") for c in (1, 2)] + [("f", "S", 33, c, t) for c, t in enumerate(
+        ("Date", "Description", "Debit", "Credit", "Balance"), 1)]
+    found = detect_header(spark.createDataFrame(cells, "file string, sheet string, row int, col int, text string"))
+    assert [r.header_row for r in found.collect()] == [33]
+
+
+def test_long_and_shared_references(spark):
+    from tallywise.operators.matching import resolve_accounts
+    accounts = spark.createDataFrame(
+        [(1, "A", "123456789", "active", "B", "AED"), (2, "C", "77", "active", "B", "AED"), (3, "D", "77", "active", "B", "AED")],
+        "card_id long, card_name string, account_reference string, status string, bank_issuer string, settlement_currency string")
+    asked = spark.createDataFrame([(1, "?", "00123456789", "X", "USD"), (2, "?", "0077", "X", "USD"), (3, "?", "", "X", "USD")],
+                                  "statement_id long, account_name string, account_number string, bank_issuer string, currency string")
+    out = {r.statement_id: (r.card_id, r.resolved_by) for r in resolve_accounts(asked, accounts).collect()}
+    assert out == {1: (1, "reference"), 2: (None, "ambiguous reference"), 3: (None, None)}
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+    from tallywise.session import shared_dir
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        shared_dir(far, "x")
