@@ -36,12 +36,12 @@ OPEN_BINS = 1024
 GROUP_TOKENS = 4096 * CAPACITY
 END_ID = 1
 #: Chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Chunks coded at a time; each comes back with its offsets and tokens.
 CODED = 2_000
 
 #: Marks at the end of a chunk, behind a letter or digit: a token of their own wherever they stand.
-_MARKS = re.compile(r"(?<=[A-Za-z0-9])[.,;:!?]+(?=[\s]|$)")
+_MARKS = re.compile(r"(?<=[^\W_])[.,;:!?]+(?=[\s]|$)")
 
 _CODERS: dict[str, "Coder"] = {}
 
