@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +40,16 @@ GROUP_TOKENS = 4096 * CAPACITY
 END_ID = 1
 #: Chunks that a worker remembers.
 REMEMBERED = 500_000
-#: Chunks coded at a time; each comes back with its offsets and tokens.
+#: Chunks coded at a time.
 CODED = 2_000
 
-#: Marks at the end of a chunk, behind a letter or digit: a token of their own wherever they stand.
-_MARKS = re.compile(r"(?<=[^\W_])[.,;:!?]+(?=[\s]|$)")
+#: Letters that end in a mark once composed and lowered, as U+0130 does; it belongs to the marks that follow.
+_OPEN = "".join(x for x in map(chr, range(sys.maxunicode + 1))
+                if x.isalnum() and not unicodedata.normalize("NFC", x.lower())[-1].isalnum())
+#: Marks at the end of a chunk, behind any other letter or digit: a token of their own wherever they stand.
+_MARKS = re.compile(rf"(?<=[^\W_{_OPEN}])[.,;:!?]+(?=[\s]|$)")
+#: Controls that ``str.split`` takes for white space and tokenizers do not.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 _CODERS: dict[str, "Coder"] = {}
 
@@ -59,11 +67,25 @@ class Coder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        # Special tokens may hold white space or span it; texts with one are coded whole.
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Special tokens may hold white space or span it; texts with one, in any case, are coded whole.
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode().lower().decode() for t in added.values()]
+        # A token cut out of the text as it stands parts chunks that are coded in one call.
+        self.between = next(((i, t.content) for i, t in added.items() if t.special and not (
+            t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def code(self, chunks: list[str]) -> list[bytes]:
+        if self.between is None:
+            return [self.whole(x) for x in chunks]
+        token, content = self.between
+        joined = self.tokenizer.encode_batch_fast([content.join(chunks)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, "<u4")
+        ends = [*(4 * np.flatnonzero(ids == token)).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     def learn(self, chunks: set[str]) -> None:
         new = [x for x in chunks if x not in self.known]
@@ -72,16 +94,18 @@ class Coder:
             new = list(chunks)
         for at in range(0, len(new), CODED):
             part = new[at:at + CODED]
-            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[x] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            self.known.update(zip(part, self.code(part), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # The tokenizer lowers A-Z itself; done before, fewer chunks differ.
-        split = [None if any(s in x for s in self.special) else
-                 _MARKS.sub(r" \g<0>", x).encode().lower().decode().split() for x in texts]
+        split: list[list[str] | None] = []
+        for x in texts:
+            low = x.encode().lower().decode()
+            odd = any(s in low for s in self.special) or _SEPARATORS.search(low)
+            split.append(None if odd else _MARKS.sub(r" \g<0>", low).split())
         chunks: set[str] = set()
-        for x in split:
-            chunks.update(x or ())
+        for s in split:
+            chunks.update(s or ())
         self.learn(chunks)
         get = self.known.__getitem__
         return [self.whole(x) if s is None else b"".join(map(get, s)) for x, s in zip(texts, split, strict=True)]

@@ -284,6 +284,15 @@ def test_shuffle_writes_whole_rows(spark, docs, tmp_path):
     assert back.select(*docs.columns).exceptAll(docs).count() == 0 == docs.exceptAll(back.select(*docs.columns)).count()
 
 
+def test_chunks_code_as_whole_texts():
+    coder = packing.Coder(packing.tokenizer_path())
+    texts = ["<|STARTOFTEXT|> a", "<|startoftext|>b", "x\x1cy", "a\x85b", "\u0130!", "a \u0130?, b", "\u0a33; \u0958.", "\u0130stanbul \u03a3\u0391\u03a3.",
+             "e\u0301. a\u0301!", "\u0338 \u2260", "5.\u0301 a,\u0301 b.,\u0308", "don't. 'S x'5's", "", "  ", "\ufeffa \u3000b"]
+    assert coder.encode(texts) == [coder.whole(x) for x in texts]
+    coder.between, coder.known = None, {}
+    assert coder.encode(texts) == [coder.whole(x) for x in texts]
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
