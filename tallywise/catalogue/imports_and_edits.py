@@ -15,7 +15,7 @@ from ..operators import imports as I
 from ..operators import matching as M
 from ..operators import reports as R
 from ..operators import statistics as S
-from ..schema import WORKBOOK_CURRENCIES
+from ..schema import ISO_CURRENCIES
 from ..session import shared_dir
 from ..sources import files as files_
 from ..streaming import streams as ST
@@ -59,11 +59,11 @@ SELECT i AS line, card_id, CASE WHEN i % 41 = 0 OR i % 43 = 0 THEN NULL ELSE txn
   CASE WHEN i % 59 <> 0 AND i % 53 <> 0 AND original_amount > 0 AND currency IS NOT NULL THEN round(CAST(abs(amount_aed) AS DOUBLE) / CAST(original_amount AS DOUBLE), 10) END AS exchange_rate,
   CASE WHEN trim(coalesce(req_number, '')) = '' THEN CASE WHEN a.card_type = 'bank_account' AND starts_with(supplier_raw, 'CHARGES AND FEES') AND i % 47 <> 0 THEN 'BAC' ELSE '' END ELSE trim(req_number) END AS req_number,
   array_to_string(list_filter([
-    CASE WHEN i % 53 = 0 THEN 'This row has an amount in both the decreasing and the increasing column.' END,
-    CASE WHEN i % 53 = 0 THEN 'No amount in either amount column.' END,
-    CASE WHEN i % 41 = 0 THEN 'No date.' WHEN i % 43 = 0 THEN 'Cannot read the date "31/02/2020".' END,
-    CASE WHEN i % 47 = 0 THEN 'No supplier or description.' END,
-    CASE WHEN i % 61 = 0 THEN 'This row is settled in XAF, but ' || a.card_name || ' settles in ' || a.settlement_currency || '.' END], lambda x: x IS NOT NULL), ',') AS errors
+    CASE WHEN i % 53 = 0 THEN 'Money in and money out are both filled in.' END,
+    CASE WHEN i % 53 = 0 THEN 'Neither money in nor money out is known.' END,
+    CASE WHEN i % 41 = 0 THEN 'The date is missing.' WHEN i % 43 = 0 THEN 'Not a date: "31/02/2020".' END,
+    CASE WHEN i % 47 = 0 THEN 'Nobody is named as payee.' END,
+    CASE WHEN i % 61 = 0 THEN 'Settled in XAF, unlike the account ' || a.card_name || ', which uses ' || a.settlement_currency || '.' END], lambda x: x IS NOT NULL), ',') AS errors
 FROM (SELECT *, transaction_id AS i FROM fx_transactions) t JOIN fx_accounts a USING (card_id)
 WHERE entry_type = 'source_transaction' AND NOT (i % 41 = 0 AND i % 53 = 0) AND NOT (i % 53 = 0 AND i % 47 = 0))""",
        "line card_id @txn_date kind $amount_aed currency $original_amount $exchange_rate req_number errors include")
@@ -134,7 +134,7 @@ def anomaly_counts(spark, d):
 
 @query("apply_review_status", "I4", f"""
 SELECT b.card_id AS sheet, b.row, CASE WHEN ok % 19 = 0 THEN 'excluded_from_source_balance' WHEN w.why IS NOT NULL THEN 'needs_review' ELSE 'confirmed' END AS status,
-  CASE WHEN ok % 19 = 0 THEN 'Present in source workbook but not included in its running-balance formula' ELSE w.why END AS review_reason
+  CASE WHEN ok % 19 = 0 THEN 'Left out of the sheet''s own balance formula' ELSE w.why END AS review_reason
 FROM ({BOOK}) b LEFT JOIN (SELECT sheet, row, array_to_string(list_sort(list(kind || ': ' || detail)), '; ') AS why FROM ({BOOK_ANOMALIES})
   WHERE kind <> 'balance_chain_broken' GROUP BY 1, 2) w ON w.sheet = b.card_id AND w.row = b.row""", "sheet #row status review_reason")
 def apply_review_status(spark, d):
@@ -166,7 +166,7 @@ FROM (SELECT *, CASE WHEN original_amount > 0 THEN CAST(round(CAST(abs(amount_ae
        "transaction_id $normalized_exchange_rate status note")
 def normalise_rates(spark, d):
     n = F.col("rate_review_note")
-    short = (F.when(n.startswith("Source exchange"), "source").when(n.startswith("normalized rate"), "kept")
+    short = (F.when(n.startswith("The stated rate"), "source").when(n.startswith("normalized rate"), "kept")
              .when(n.contains("no currency code") & n.contains("bare 1"), "no code, bare 1").when(n.contains("no currency code"), "no code"))
     return I.normalise_rates(transactions(spark, d)).select(
         "transaction_id", "normalized_exchange_rate", "status", short.alias("note"))
@@ -208,9 +208,9 @@ def import_report(spark, d):
 
 
 @query("rejected_rows", "A15", """
-SELECT transaction_id, unnest(list_filter([CASE WHEN entry_type = 'reconciliation_adjustment' AND dir IS NOT NULL THEN 'an adjustment must carry no direction' END,
-  CASE WHEN dir = 'spend' AND amount_aed > 0 THEN 'spend with a positive amount' END, CASE WHEN dir = 'funding' AND amount_aed < 0 THEN 'funding with a negative amount' END,
-  CASE WHEN exchange_rate IS NOT NULL AND status <> 'needs_review' AND (currency IS NULL OR original_amount IS NULL) THEN 'a rate without both currency and original amount' END], lambda x: x IS NOT NULL)) AS why
+SELECT transaction_id, unnest(list_filter([CASE WHEN entry_type = 'reconciliation_adjustment' AND dir IS NOT NULL THEN 'adjustment with a direction' END,
+  CASE WHEN dir = 'spend' AND amount_aed > 0 THEN 'money out above zero' END, CASE WHEN dir = 'funding' AND amount_aed < 0 THEN 'money in below zero' END,
+  CASE WHEN exchange_rate IS NOT NULL AND status <> 'needs_review' AND (currency IS NULL OR original_amount IS NULL) THEN 'rate of an incomplete conversion' END], lambda x: x IS NOT NULL)) AS why
 FROM (SELECT *, CASE WHEN transaction_id % 500 = 0 THEN 'spend' ELSE direction END AS dir FROM fx_transactions)""", "transaction_id why")
 def rejected_rows(spark, d):
     t = transactions(spark, d)
@@ -233,7 +233,7 @@ def upsert_accounts(spark, d):
 LEFT_OUT = f"""
 SELECT q.line, 'import_unticked' AS kind, concat_ws(' — ', nullif(f.supplier_raw, ''), CAST(f.amount_aed AS VARCHAR) || ' AED', 'already in the ledger') AS detail
 FROM ({CLASSIFY_SQL}) q JOIN fx_file f ON f.line = q.line WHERE outcome IN ('held', 'held_swapped', 'held_other_date', 'several_near') AND q.line % 97 <> 0
-UNION ALL SELECT line, 'import_stopped', concat_ws(' — ', nullif(supplier_raw, ''), CAST(amount_aed AS VARCHAR) || ' AED', 'No date.') FROM fx_file WHERE line % 97 = 0
+UNION ALL SELECT line, 'import_stopped', concat_ws(' — ', nullif(supplier_raw, ''), CAST(amount_aed AS VARCHAR) || ' AED', 'The date is missing.') FROM fx_file WHERE line % 97 = 0
 UNION ALL SELECT line, 'import_refused', concat_ws(' — ', nullif(supplier_raw, ''), CAST(amount_aed AS VARCHAR) || ' AED', 'the ledger said no') FROM fx_file WHERE line % 89 = 0"""
 
 
@@ -241,7 +241,7 @@ UNION ALL SELECT line, 'import_refused', concat_ws(' — ', nullif(supplier_raw,
 def reconcile_import(spark, d):
     f = upload_lines(spark, d)
     done = M.classify_duplicates(f, transactions(spark, d)).withColumn(
-        "errors", F.when(F.col("line") % 97 == 0, F.array(F.lit("No date."))).otherwise(F.array().cast("array<string>")))
+        "errors", F.when(F.col("line") % 97 == 0, F.array(F.lit("The date is missing."))).otherwise(F.array().cast("array<string>")))
     refused = f.filter(F.col("line") % 89 == 0).select("line", F.lit("the ledger said no").alias("message"))
     return I.reconcile_import(done, refused)
 
@@ -295,6 +295,10 @@ def file_projection(spark, d):
 
 # ------------------------------------------------------------------ changes
 
+def currency_table(spark):
+    return spark.createDataFrame([(c,) for c in ISO_CURRENCIES], "code string")
+
+
 def entries(spark, d):
     """Orders' rows handed in again by a person, some of them wrongly."""
     i = F.col("transaction_id")
@@ -304,24 +308,24 @@ def entries(spark, d):
         F.when(ok() % 103 == 0, "gift").when(F.col("amount_aed") < 0, "purchase").otherwise("funding").alias("kind"),
         F.when(ok() % 107 == 0, 0).otherwise(F.abs("amount_aed")).cast("decimal(18,2)").alias("amount"),
         F.coalesce(F.col("supplier_raw"), F.lit(" ")).alias("supplier"), "req_number", "payment_ref",
-        F.when(ok() % 109 == 0, "GPB").otherwise(F.col("currency")).alias("currency"), "original_amount",
+        F.when(ok() % 109 == 0, "GPB").when(ok() % 127 == 0, "AUD").otherwise(F.col("currency")).alias("currency"), "original_amount",
         F.when(ok() % 113 != 0, F.when(F.col("currency").isNotNull(), F.col("exchange_rate"))).alias("exchange_rate"),
         (ok() % 17 == 0).alias("needs_review"), F.col("created_at").alias("submitted_at"))
 
 
-ENTRY_ERROR = f"""CASE WHEN ok % 101 = 0 THEN 'A card and a transaction date are required'
-  WHEN ok % 107 = 0 THEN 'Enter a positive AED amount; the direction comes from the type' WHEN supplier_raw IS NULL THEN 'A supplier or merchant name is required'
-  WHEN ok % 103 = 0 THEN 'Unknown transaction type: gift'
-  WHEN cur IS NOT NULL AND ok % 17 <> 0 AND original_amount IS NULL THEN 'Enter the amount in ' || cur || ', or mark the row for review'
-  WHEN cur IS NOT NULL AND ok % 17 <> 0 AND (ok % 113 = 0 OR currency IS NULL) THEN 'Enter the exchange rate used, or mark the row for review'
-  WHEN cur IS NULL AND original_amount IS NOT NULL THEN 'Select the currency these figures are in'
-  WHEN cur = 'GPB' THEN 'Unrecognised currency: GPB' END"""
-ENTRIES = f"""SELECT *, {ENTRY_ERROR} AS error FROM (SELECT *, {OK} AS ok, CASE WHEN {OK} % 109 = 0 THEN 'GPB' ELSE currency END AS cur FROM fx_transactions)"""
+ENTRY_ERROR = f"""CASE WHEN ok % 101 = 0 THEN 'Name the account and the day'
+  WHEN ok % 107 = 0 THEN 'The amount must be above zero; its sign follows from the kind' WHEN supplier_raw IS NULL THEN 'Nobody is named as payee'
+  WHEN ok % 103 = 0 THEN 'Not a kind of entry: gift'
+  WHEN cur IS NOT NULL AND ok % 17 <> 0 AND original_amount IS NULL THEN 'No amount in ' || cur || ' is given, and the entry is not flagged'
+  WHEN cur IS NOT NULL AND ok % 17 <> 0 AND (ok % 113 = 0 OR currency IS NULL) THEN 'No exchange rate is given, and the entry is not flagged'
+  WHEN cur IS NULL AND original_amount IS NOT NULL THEN 'An original amount or rate stands without its currency'
+  WHEN cur = 'GPB' THEN 'Not a known currency: GPB' END"""
+ENTRIES = f"""SELECT *, {ENTRY_ERROR} AS error FROM (SELECT *, {OK} AS ok, CASE WHEN {OK} % 109 = 0 THEN 'GPB' WHEN {OK} % 127 = 0 THEN 'AUD' ELSE currency END AS cur FROM fx_transactions)"""
 
 
 @query("refused_submissions", "I6", f"SELECT transaction_id + 1000000000000 AS submission_id, error FROM ({ENTRIES}) WHERE error IS NOT NULL", "submission_id error")
 def refused_submissions(spark, d):
-    return E.refused_submissions(entries(spark, d))
+    return E.refused_submissions(entries(spark, d), currency_table(spark))
 
 
 NEW_SIGNATURE = """concat_ws('|', CAST(card_id AS VARCHAR), CAST(txn_date AS VARCHAR), CAST(amt AS VARCHAR), upper(trim(supplier_raw)),
@@ -336,7 +340,7 @@ SELECT *, row_number() OVER (PARTITION BY sig ORDER BY transaction_id) AS k FROM
 LEFT JOIN (SELECT regexp_replace({SIGNATURE}, '\\|[a-z_]*$', '') AS hsig, count(*) AS held FROM fx_transactions GROUP BY 1) h ON h.hsig = n.sig""",
        "transaction_id $amount_aed direction status #occurrence dedup_key")
 def apply_submissions(spark, d):
-    return E.apply_submissions(transactions(spark, d), entries(spark, d)).select(
+    return E.apply_submissions(transactions(spark, d), entries(spark, d), currency_table(spark)).select(
         "transaction_id", "amount_aed", "direction", "status", "occurrence", "dedup_key")
 
 
@@ -354,11 +358,11 @@ def edits(spark, d):
 
 
 EDITED = f"""
-SELECT *, CASE WHEN entry_type = 'reconciliation_adjustment' THEN 'A reconciliation adjustment is not edited. Resolve it, or replace it with the real transaction.'
-  WHEN nkind = 'gift' THEN 'Unknown transaction type: gift'
+SELECT *, CASE WHEN entry_type = 'reconciliation_adjustment' THEN 'Adjustments are closed to edits'
+  WHEN nkind = 'gift' THEN 'Not a kind of entry: gift'
   WHEN exchange_rate IS NOT NULL AND status <> 'needs_review' AND (currency IS NULL OR original_amount IS NULL)
-    THEN 'An exchange rate needs the currency and original amount it applied to, or the row must be marked for review'
-  WHEN to_pay IS NOT DISTINCT FROM payment_ref AND to_amount = amount_aed AND to_dir = direction THEN 'Nothing was changed' END AS error FROM (
+    THEN 'The rate lacks a currency or an original amount, and the entry is not under review'
+  WHEN to_pay IS NOT DISTINCT FROM payment_ref AND to_amount = amount_aed AND to_dir = direction THEN 'The edit changes no value' END AS error FROM (
 SELECT *, CASE WHEN to_dir = 'spend' THEN -coalesce(namt, abs(amount_aed)) ELSE coalesce(namt, abs(amount_aed)) END AS to_amount FROM (
 SELECT *, CASE WHEN nkind = 'refund' THEN 'funding' WHEN nkind IS NULL THEN direction END AS to_dir,
   CASE WHEN npay IS NULL THEN payment_ref WHEN npay = ' ' THEN NULL ELSE npay END AS to_pay FROM (
@@ -387,7 +391,7 @@ def edit_log(spark, d):
 
 @query("refused_edits", "I7", f"""
 SELECT transaction_id, error FROM ({EDITED}) WHERE error IS NOT NULL UNION ALL
-SELECT -transaction_id, 'No such transaction' FROM fx_transactions WHERE {OK} % 91 = 0 AND transaction_id <> 0""", "transaction_id error")
+SELECT -transaction_id, 'No entry has this id' FROM fx_transactions WHERE {OK} % 91 = 0 AND transaction_id <> 0""", "transaction_id error")
 def refused_edits(spark, d):
     return E.refused_edits(transactions(spark, d), edits(spark, d))
 
@@ -418,9 +422,9 @@ def decisions(spark, d):
 DECIDED = f"""
 SELECT *, CASE WHEN goal1 IS NOT NULL THEN goal1 ELSE status END AS s1, CASE WHEN n = 2 AND {OK} % 3 = 0 THEN 'confirmed' END AS goal2 FROM (
 SELECT t.*, a.card_type, a.card_name, CASE WHEN t.status = 'needs_review' THEN 2 ELSE 1 END AS n, CASE
-  WHEN {OK} % 23 = 0 THEN 'A reason is required. A balance changed without a stated reason is not auditable.'
-  WHEN {OK} % 4 = 0 AND a.card_type = 'bank_account' THEN a.card_name || ' is a bank account. A line on a bank statement cannot be taken off the balance — the ledger has to agree with the bank.'
-  WHEN {OK} % 4 = 2 AND review_reason IS NULL THEN 'Say what needs reviewing. A row in the queue with no stated question is a chore, not a decision.' END AS error1,
+  WHEN {OK} % 23 = 0 THEN 'Every decision needs its reason written down'
+  WHEN {OK} % 4 = 0 AND a.card_type = 'bank_account' THEN a.card_name || ' follows a bank''s statement, so none of its lines may be voided'
+  WHEN {OK} % 4 = 2 AND review_reason IS NULL THEN 'Reopening needs a question to answer' END AS error1,
   CASE WHEN {OK} % 23 = 0 OR ({OK} % 4 = 0 AND a.card_type = 'bank_account') OR ({OK} % 4 = 2 AND review_reason IS NULL) OR {OK} % 4 = 3 THEN NULL
     WHEN {OK} % 4 = 0 THEN 'voided' WHEN {OK} % 4 = 1 THEN 'confirmed' ELSE 'needs_review' END AS goal1
 FROM fx_transactions t JOIN fx_accounts a USING (card_id))"""
@@ -428,7 +432,7 @@ FROM fx_transactions t JOIN fx_accounts a USING (card_id))"""
 
 @query("judge_decisions", "I8", f"""
 SELECT transaction_id * 2 AS decision_id, error1 AS error, status AS from_status, s1 AS to_status FROM ({DECIDED})
-UNION ALL SELECT transaction_id * 2 + 1, CASE WHEN goal2 IS NULL THEN 'Unknown action: erase' END, s1, coalesce(goal2, s1) FROM ({DECIDED}) WHERE n = 2""",
+UNION ALL SELECT transaction_id * 2 + 1, CASE WHEN goal2 IS NULL THEN 'Not an action: erase' END, s1, coalesce(goal2, s1) FROM ({DECIDED}) WHERE n = 2""",
        "decision_id error from_status to_status")
 def judge_decisions(spark, d):
     return E.judge_decisions(transactions(spark, d), accounts(spark, d), decisions(spark, d)).select(
@@ -474,8 +478,8 @@ def repair_statement_dates(spark, d):
 @query("build_update_rows_by_id", "I9 J14", """
 SELECT line, held_id, error, unchanged FROM (SELECT *, coalesce(error IS NULL AND value = coalesce(payment_ref, ''), FALSE) AS unchanged FROM (
 SELECT transaction_id AS line, card_id, payment_ref, CASE WHEN transaction_id % 19 = 0 THEN NULL ELSE transaction_id END AS held_id, value,
-  CASE WHEN transaction_id % 19 = 0 THEN 'No transaction in the ledger has this id.' WHEN transaction_id % 23 = 0 THEN 'This line disagrees with the ledger on something other than the field being updated.'
-   WHEN value = '' THEN 'Nothing to write: the field is still empty on this line.' END AS error
+  CASE WHEN transaction_id % 19 = 0 THEN 'The ledger has no row of this id.' WHEN transaction_id % 23 = 0 THEN 'Sheet and ledger differ in a field that this update leaves alone'
+   WHEN value = '' THEN 'The sheet gives no value to fill in' END AS error
 FROM (SELECT *, CASE transaction_id % 4 WHEN 0 THEN '' WHEN 1 THEN coalesce(payment_ref, '') ELSE 'PAY 9' END AS value FROM fx_transactions)))""", "line held_id error unchanged")
 def build_update_rows_by_id(spark, d):
     i = F.col("transaction_id")
@@ -528,12 +532,12 @@ def fill_references(spark, d):
 
 @query("judge_accounts", "I20", """
 SELECT card_id AS request_id, array_to_string(list_filter([
-  CASE WHEN card_id % 3 = 0 THEN 'A card named "' || card_name || '" already exists' END,
-  CASE WHEN card_id % 5 = 0 AND tracks_balance THEN 'An opening balance is required' END,
-  CASE WHEN opening_date IS NULL AND tracks_balance THEN 'An opening balance date is required for a new card' END,
-  CASE WHEN card_id % 7 = 0 THEN 'Unrecognised settlement currency: ZZZ' END,
-  CASE WHEN card_id % 11 = 0 THEN 'Use a last-four or short reference, not a full account number' END,
-  CASE WHEN card_id % 13 = 0 THEN 'The balance convention must be 1 (the balance counts money available) or -1 (it counts money drawn)' END], lambda x: x IS NOT NULL), ',') AS errors FROM fx_accounts""",
+  CASE WHEN card_id % 3 = 0 THEN 'The name "' || card_name || '" is taken' END,
+  CASE WHEN card_id % 5 = 0 AND tracks_balance THEN 'Its opening balance is missing' END,
+  CASE WHEN opening_date IS NULL AND tracks_balance THEN 'The day of its opening balance is missing' END,
+  CASE WHEN card_id % 7 = 0 THEN 'It settles in an unknown currency: ZZZ' END,
+  CASE WHEN card_id % 11 = 0 THEN 'Its reference is longer than eight characters' END,
+  CASE WHEN card_id % 13 = 0 THEN 'Its balance sign is neither 1 nor -1' END], lambda x: x IS NOT NULL), ',') AS errors FROM fx_accounts""",
        "request_id errors")
 def judge_accounts(spark, d):
     a, c = accounts(spark, d), F.col("card_id")

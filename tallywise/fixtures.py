@@ -58,7 +58,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE WHEN ok % 17 = 0 OR ok % 97 = 0 THEN CASE ok % 6 WHEN 0 THEN 'rate_without_currency: no code'
            WHEN 1 THEN 'rate_denominator_mismatch: 2 and 3' WHEN 2 THEN 'rate_formula_unexpected: =1/2'
            WHEN 3 THEN "currency_unparseable: '??'" WHEN 4 THEN "currency_unrecognised: 'XYZ'" ELSE "date_invalid: '31/02'" END END AS review_reason""",
-        "CASE WHEN ok % 97 = 0 THEN 'Manual balance overwrite in source workbook' END AS description",
+        "CASE WHEN ok % 97 = 0 THEN 'Balance typed over in the sheet' END AS description",
         "CASE WHEN ok % 97 = 0 THEN NULL WHEN os = 'F' THEN 'funding' ELSE 'spend' END AS direction",
         "CAST(CASE WHEN os = 'F' THEN mag ELSE -mag END AS DECIMAL(18,2)) AS amount_aed",
         "ok % 19 <> 0 AS included_in_source_balance",
@@ -168,7 +168,7 @@ SELECT transaction_id, card_id, txn_date,
        WHEN 1 THEN 'rate_denominator_mismatch: 2 and 3' WHEN 2 THEN 'rate_formula_unexpected: =1/2'
        WHEN 3 THEN 'currency_unparseable: ''??''' WHEN 4 THEN 'currency_unrecognised: ''XYZ'''
        ELSE 'date_invalid: ''31/02''' END END AS review_reason,
-  CASE WHEN ok % 97 = 0 THEN 'Manual balance overwrite in source workbook' END AS description,
+  CASE WHEN ok % 97 = 0 THEN 'Balance typed over in the sheet' END AS description,
   CASE WHEN ok % 97 = 0 THEN NULL WHEN os = 'F' THEN 'funding' ELSE 'spend' END AS direction,
   CAST(CASE WHEN os = 'F' THEN mag ELSE -mag END AS DECIMAL(18,2)) AS amount_aed,
   ok % 19 <> 0 AS included_in_source_balance,

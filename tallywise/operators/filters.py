@@ -90,6 +90,15 @@ def with_account(txn: DataFrame, acct: DataFrame, *columns: str) -> DataFrame:
     return txn.join(acct.select("card_id", *columns), "card_id")
 
 
+def with_known_currency(rows: DataFrame, code: Column, currencies: DataFrame | Sequence[str]) -> DataFrame:
+    """Adds ``_known``: whether ``code`` is in a list of codes or a table with a column ``code``."""
+    if isinstance(currencies, DataFrame):
+        listed = currencies.select(F.col("code").alias("_code"), F.lit(True).alias("_known")).distinct()
+        return rows.join(listed, code == F.col("_code"), "left").drop("_code") \
+            .withColumn("_known", F.coalesce("_known", F.lit(False)))
+    return rows.withColumn("_known", F.coalesce(code.isin(list(currencies)), F.lit(False)))
+
+
 def search(txn: DataFrame, acct: DataFrame, query: str) -> DataFrame:
     if not query.strip():
         return txn

@@ -233,7 +233,7 @@ def match_by_id(lines: DataFrame, ledger: DataFrame, hot_rows: int | None = HOT_
     """
     given = squeeze(F.coalesce("ledger_id", F.lit("")))
     blank = lines.filter(given == "").withColumns({
-        "held_id": F.lit(None).cast("bigint"), "error": F.lit("No ledger id on this line.")})
+        "held_id": F.lit(None).cast("bigint"), "error": F.lit("The line gives no id.")})
     named = lines.filter(given != "").withColumn("_gid", given)
     numbered_ = scan(named, ["_gid"], ["line"], [id_block("line")],
                      [Measure("_first", "max", -F.col("line"), "bigint")], hot_rows)
@@ -241,10 +241,9 @@ def match_by_id(lines: DataFrame, ledger: DataFrame, hot_rows: int | None = HOT_
                          F.col("transaction_id").alias("_id"), F.col("card_id").alias("_card"))
     met = numbered_.join(rows, "_gid", "left")
     repeat = -F.col("_first") != F.col("line")
-    error = (F.when(repeat, F.concat(F.lit("The same ledger id appears on row "),
-                                     (-F.col("_first")).cast("string"), F.lit(" of this file.")))
-             .when(F.col("_id").isNull(), "No transaction in the ledger has this id.")
-             .when(F.col("_card") != F.col("card_id"), "That transaction belongs to a different card."))
+    error = (F.when(repeat, F.concat(F.lit("Given before, in line "), (-F.col("_first")).cast("string")))
+             .when(F.col("_id").isNull(), "The ledger has no row of this id.")
+             .when(F.col("_card") != F.col("card_id"), "The row of this id is in another account."))
     return met.select(*lines.columns, F.when(error.isNull(), F.col("_id")).alias("held_id"), error.alias("error")) \
         .unionByName(blank)
 

@@ -20,9 +20,18 @@ DIRECTIONS = ["spend", "funding"]
 
 BASE_CURRENCY = "AED"
 
-# The codes the audited workbook contained, with the number of
-# decimals each one uses when it is not two.  ``currencies`` tables passed by a
-# caller replace these; they are the set used when none is given.
+# The codes in use by ISO 4217.  A ``currencies`` table passed by a
+# caller replaces them.
+ISO_CURRENCIES = (
+    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF "
+    "CLP CNY COP CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG "
+    "HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA "
+    "MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD "
+    "RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX "
+    "USD UYU UZS VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWG").split()
+
+# The codes the audited workbook contained, for reading that
+# workbook, and the number of decimals of a code when it is not two.
 WORKBOOK_CURRENCIES = [
     "AED", "USD", "EUR", "GBP", "SAR", "JPY", "EGP", "CHF", "TRY", "OMR",
     "QAR", "BHD", "KRW", "MYR", "SGD", "KWD", "VND", "HKD", "MOP", "JOD",

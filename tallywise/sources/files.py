@@ -40,6 +40,8 @@ def _frames(records: Iterator[tuple]) -> Iterator[pd.DataFrame]:
 
 def _csv_cells(path: str, content: bytes) -> Iterator[tuple]:
     name = posixpath.basename(path)
+    # A quoted field may be as long as its file.
+    csv.field_size_limit(2**31 - 1)
     text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", newline="", errors="replace")
     for i, row in enumerate(csv.reader(text), 1):
         for j, value in enumerate(row, 1):
@@ -57,6 +59,12 @@ def read_csv_grid(spark: SparkSession, path: str, pattern: str = "*.{csv,txt}")
     return _binary(spark, path, pattern).mapInPandas(read, CELLS)
 
 
+def undecodable_files(spark: SparkSession, path: str, pattern: str = "*.{csv,txt}") -> DataFrame:
+    """Files that are not UTF-8: their cells hold U+FFFD where bytes could not be read."""
+    return _binary(spark, path, pattern).filter(~F.is_valid_utf8(F.col("content").cast("string"))) \
+        .select(F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
 # Number formats a spreadsheet has built in for dates.
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 30, 36, 45, 46, 47, 50, 57}
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -83,6 +91,29 @@ def _column(ref: str) -> int:
     return n
 
 
+# A quoted text or sheet name, or a cell reference that is no part of a longer name.
+_REFERENCE = re.compile(r'''"[^"]*"|'[^']*'|(?<![\w.$])(\$?)([A-Z]{1,3})(\$?)(\d+)(?![\w(.!])''')
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n > 0:
+        n, k = divmod(n - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
+def _shifted(formula: str, down: int, right: int) -> str:
+    """A formula as it reads in a cell further down and right; what a dollar sign fixes stays."""
+    def moved(m: re.Match) -> str:
+        if m[2] is None:
+            return m[0]
+        col = _column(m[2]) + (0 if m[1] else right)
+        row = int(m[4]) + (0 if m[3] else down)
+        return f"{m[1]}{_letters(col)}{m[3]}{row}" if col > 0 and row > 0 else "#REF!"
+    return _REFERENCE.sub(moved, formula)
+
+
 def _iso(serial: float) -> str | None:
     if not 1 <= serial <= 2958465:
         return None
@@ -111,6 +142,7 @@ def _workbook_cells(path: str, content: bytes) -> Iterator[tuple]:
         if part not in names:
             continue
         row_no = 0
+        filled: dict[str, tuple[int, int, str]] = {}
         # Streamed: a sheet is never held as a tree.
         for _, el in ElementTree.iterparse(book.open(part)):
             if el.tag != f"{_MAIN}row":
@@ -131,7 +163,15 @@ def _workbook_cells(path: str, content: bytes) -> Iterator[tuple]:
                     value = _iso(float(raw)) or raw
                 else:
                     value = raw
-                formula = "=" + f.text if f is not None and f.text else None
+                written = f.text if f is not None else None
+                if f is not None and f.get("t") == "shared":
+                    # The first cell of a filled range holds its formula; the others name it.
+                    if written:
+                        filled[f.get("si")] = (row_no, col, written)
+                    elif f.get("si") in filled:
+                        r0, c0, first = filled[f.get("si")]
+                        written = _shifted(first, row_no - r0, col - c0)
+                formula = "=" + written if written else None
                 if value != "" or formula:
                     yield posixpath.basename(path), sheet, row_no, col, value, formula
             el.clear()

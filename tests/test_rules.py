@@ -241,7 +241,7 @@ def test_bank_rows_cannot_be_voided_and_reasons_are_required(spark):
         .withColumns({"review_reason": F.lit(None).cast("string"), "decided_at": F.lit("2026-01-01").cast("timestamp_ntz")})
     judged = E.judge_decisions(t, a, d)
     errors = {r.decision_id: r.error for r in judged.collect()}
-    assert errors[1] is None and "bank account" in errors[2] and "reason is required" in errors[3] and "Say what needs" in errors[4]
+    assert errors[1] is None and "voided" in errors[2] and "reason written" in errors[3] and "question" in errors[4]
     assert {r.transaction_id: r.status for r in E.apply_decisions(t, judged).collect()} == {1: "voided", 2: "confirmed"}
 
 
@@ -249,7 +249,7 @@ def test_a_reference_can_be_removed_and_nothing_changed_is_refused(spark):
     t = editable(txn(spark, [{"amount": -5, "pay": "P1"}, {"amount": -5, "pay": "P1"}]))
     e = spark.createDataFrame([(1, 1, " "), (2, 2, "P1"), (3, 9, "x")], "edit_id long, transaction_id long, payment_ref string")
     assert {r.transaction_id: r.payment_ref for r in E.apply_edits(t, e).collect()} == {1: None, 2: "P1"}
-    assert {r.transaction_id: r.error for r in E.refused_edits(t, e).collect()} == {2: "Nothing was changed", 9: "No such transaction"}
+    assert {r.transaction_id: r.error for r in E.refused_edits(t, e).collect()} == {2: "The edit changes no value", 9: "No entry has this id"}
     log = E.edit_log(t, e).collect()
     assert [(r.field, r.was, r.became) for r in log] == [("payment_ref", "P1", None)]
 
@@ -275,7 +275,7 @@ def test_european_numbers_and_words_in_an_imported_sheet(spark):
                                  "line long, card_id long, day_first boolean, date string, supplier string, decrease string, increase string")
     got = {r.line: r for r in I.build_rows(rows, acct(spark)).collect()}
     assert got[1].amount_aed == Decimal("-1234.56") and got[1].include
-    assert got[2].errors == ["No amount in either amount column."] and not got[2].include
+    assert got[2].errors == ["Neither money in nor money out is known."] and not got[2].include
     assert 3 not in got and (got[4].kind, got[4].amount_aed) == ("refund", 500)
 
 
