@@ -67,18 +67,20 @@ class Model:
         """Ids of the best segmentation; ``literal`` are places of signs that stand for themselves."""
         n = len(run)
         best, back = [0.0] + [-1e300] * n, [None] * (n + 1)
-        outputs = self.automaton.iter(run)
-        pending = next(outputs, None)
-        for end in range(n):
-            while pending is not None and pending[0] == end:
-                i, score, length = pending[1]
-                at = end + 1 - length
-                if best[at] + score > best[end + 1] and not (literal and any(k in literal for k in range(at, end + 1))):
-                    best[end + 1], back[end + 1] = best[at] + score, (at, i)
-                pending = next(outputs, None)
-            if best[end + 1] == -1e300:
-                spelled = self.least * len(run[end].encode())
-                best[end + 1], back[end + 1] = best[end] + spelled, (end, None)
+        settled = 0
+        for end, (i, score, length) in self.automaton.iter(run):
+            # Places behind this one get no better any more; what no piece reached is spelled.
+            while settled < end:
+                settled += 1
+                if back[settled] is None:
+                    self._spell(run, settled, best, back)
+            total = best[end + 1 - length] + score
+            if total > best[end + 1] and not (literal and any(k in literal for k in range(end + 1 - length, end + 1))):
+                best[end + 1], back[end + 1] = total, (end + 1 - length, i)
+        while settled < n:
+            settled += 1
+            if back[settled] is None:
+                self._spell(run, settled, best, back)
         ids, at = [], n
         while at:
             start, i = back[at]
@@ -90,6 +92,10 @@ class Model:
             at = start
         return ids[::-1]
 
+    def _spell(self, run: str, end: int, best: list, back: list) -> None:
+        best[end] = best[end - 1] + self.least * len(run[end - 1].encode())
+        back[end] = (end - 1, None)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit bytes."""
         if not text:
