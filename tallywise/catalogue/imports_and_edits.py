@@ -357,41 +357,44 @@ def edits(spark, d):
     return first.unionByName(second)
 
 
+# The first edit can only take a reference out; the second starts from what the first left.
+CLOSED = """CASE WHEN entry_type = 'reconciliation_adjustment' THEN 'Adjustments are closed to edits' END"""
+BARE_RATE = """CASE WHEN exchange_rate IS NOT NULL AND status <> 'needs_review' AND (currency IS NULL OR original_amount IS NULL)
+  THEN 'The rate lacks a currency or an original amount, and the entry is not under review' END"""
 EDITED = f"""
-SELECT *, CASE WHEN entry_type = 'reconciliation_adjustment' THEN 'Adjustments are closed to edits'
-  WHEN nkind = 'gift' THEN 'Not a kind of entry: gift'
-  WHEN exchange_rate IS NOT NULL AND status <> 'needs_review' AND (currency IS NULL OR original_amount IS NULL)
-    THEN 'The rate lacks a currency or an original amount, and the entry is not under review'
-  WHEN to_pay IS NOT DISTINCT FROM payment_ref AND to_amount = amount_aed AND to_dir = direction THEN 'The edit changes no value' END AS error FROM (
-SELECT *, CASE WHEN to_dir = 'spend' THEN -coalesce(namt, abs(amount_aed)) ELSE coalesce(namt, abs(amount_aed)) END AS to_amount FROM (
+SELECT *, coalesce({CLOSED}, CASE WHEN nkind = 'gift' THEN 'Not a kind of entry: gift' END, {BARE_RATE},
+  CASE WHEN pay2 IS NOT DISTINCT FROM pay1 AND to_amount = amount_aed AND to_dir IS NOT DISTINCT FROM direction THEN 'The edit changes no value' END) AS error2 FROM (
+SELECT *, CASE WHEN error1 IS NULL THEN NULL ELSE payment_ref END AS pay1, CASE WHEN i % 5 = 0 THEN 'PAY 1' WHEN error1 IS NOT NULL THEN payment_ref END AS pay2,
+  CASE WHEN to_dir = 'spend' THEN -coalesce(namt, abs(amount_aed)) ELSE coalesce(namt, abs(amount_aed)) END AS to_amount FROM (
 SELECT *, CASE WHEN nkind = 'refund' THEN 'funding' WHEN nkind IS NULL THEN direction END AS to_dir,
-  CASE WHEN npay IS NULL THEN payment_ref WHEN npay = ' ' THEN NULL ELSE npay END AS to_pay FROM (
-SELECT *, CASE WHEN live AND i % 5 = 0 THEN 'PAY 1' WHEN i % 3 = 0 THEN ' ' END AS npay,
-  CASE WHEN NOT live THEN NULL WHEN i % 7 = 0 THEN 'refund' WHEN i % 11 = 0 THEN 'gift' END AS nkind, CASE WHEN live AND i % 13 = 0 THEN abs(amount_aed) + 1 END AS namt
-FROM (SELECT *, transaction_id AS i, {OK} % 91 <> 0 AS live FROM fx_transactions))))"""
+  coalesce({CLOSED}, {BARE_RATE}, CASE WHEN i % 3 <> 0 OR payment_ref IS NULL THEN 'The edit changes no value' END) AS error1 FROM (
+SELECT *, CASE WHEN i % 7 = 0 THEN 'refund' WHEN i % 11 = 0 THEN 'gift' END AS nkind, CASE WHEN i % 13 = 0 THEN abs(amount_aed) + 1 END AS namt
+FROM (SELECT *, transaction_id AS i, ({OK} % 91 <> 0 OR transaction_id = 0) AS live FROM fx_transactions))))"""
 
 
 @query("apply_edits", "I7 X17 X25", f"""
-SELECT transaction_id, CASE WHEN error IS NULL THEN to_amount ELSE amount_aed END AS amount_aed, CASE WHEN error IS NULL THEN to_dir ELSE direction END AS direction,
-  CASE WHEN error IS NULL THEN to_pay ELSE payment_ref END AS payment_ref FROM ({EDITED})""", "transaction_id $amount_aed direction payment_ref")
+SELECT transaction_id, CASE WHEN live AND error2 IS NULL THEN to_amount ELSE amount_aed END AS amount_aed,
+  CASE WHEN live AND error2 IS NULL THEN to_dir ELSE direction END AS direction,
+  CASE WHEN live AND error2 IS NULL THEN pay2 ELSE pay1 END AS payment_ref FROM ({EDITED})""", "transaction_id $amount_aed direction payment_ref")
 def apply_edits(spark, d):
     return E.apply_edits(transactions(spark, d), edits(spark, d)).select("transaction_id", "amount_aed", "direction", "payment_ref")
 
 
 @query("edit_log", "I7 X25", f"""
-SELECT transaction_id, CASE WHEN {OK} % 91 <> 0 THEN 'second look' ELSE 'first look' END AS rationale, unnest(list_filter([
+SELECT transaction_id, transaction_id * 2 AS edit_id, 'first look' AS rationale, 'payment_ref' AS field, payment_ref AS was, NULL AS became FROM ({EDITED}) WHERE error1 IS NULL
+UNION ALL SELECT transaction_id, transaction_id * 2 + 1, 'second look', unnest(list_filter([
   CASE WHEN to_amount <> amount_aed THEN {{'field': 'amount_aed', 'was': CAST(amount_aed AS VARCHAR), 'became': CAST(CAST(to_amount AS DECIMAL(18,2)) AS VARCHAR)}} END,
   CASE WHEN to_dir <> direction THEN {{'field': 'direction', 'was': direction, 'became': to_dir}} END,
-  CASE WHEN to_pay IS DISTINCT FROM payment_ref THEN {{'field': 'payment_ref', 'was': payment_ref, 'became': to_pay}} END,
-  CASE WHEN req_number <> trim(req_number) AND FALSE THEN {{'field': '', 'was': '', 'became': ''}} END], lambda x: x IS NOT NULL), recursive := true) FROM ({EDITED}) WHERE error IS NULL""",
-       "transaction_id rationale field was became")
+  CASE WHEN pay2 IS DISTINCT FROM pay1 THEN {{'field': 'payment_ref', 'was': pay1, 'became': pay2}} END], lambda x: x IS NOT NULL), recursive := true)
+FROM ({EDITED}) WHERE live AND error2 IS NULL""", "transaction_id edit_id rationale field was became")
 def edit_log(spark, d):
-    return E.edit_log(transactions(spark, d), edits(spark, d)).select("transaction_id", "rationale", "field", "was", "became")
+    return E.edit_log(transactions(spark, d), edits(spark, d)).select("transaction_id", "edit_id", "rationale", "field", "was", "became")
 
 
 @query("refused_edits", "I7", f"""
-SELECT transaction_id, error FROM ({EDITED}) WHERE error IS NOT NULL UNION ALL
-SELECT -transaction_id, 'No entry has this id' FROM fx_transactions WHERE {OK} % 91 = 0 AND transaction_id <> 0""", "transaction_id error")
+SELECT transaction_id, transaction_id * 2 AS edit_id, error1 AS error FROM ({EDITED}) WHERE error1 IS NOT NULL
+UNION ALL SELECT transaction_id, transaction_id * 2 + 1, error2 FROM ({EDITED}) WHERE live AND error2 IS NOT NULL
+UNION ALL SELECT -transaction_id, transaction_id * 2 + 1, 'No entry has this id' FROM fx_transactions WHERE {OK} % 91 = 0 AND transaction_id <> 0""", "transaction_id edit_id error")
 def refused_edits(spark, d):
     return E.refused_edits(transactions(spark, d), edits(spark, d))
 

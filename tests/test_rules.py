@@ -254,6 +254,18 @@ def test_a_reference_can_be_removed_and_nothing_changed_is_refused(spark):
     assert [(r.field, r.was, r.became) for r in log] == [("payment_ref", "P1", None)]
 
 
+def test_a_bad_edit_refuses_only_itself(spark):
+    t = editable(txn(spark, [{"amount": -5, "pay": "P1"}]))
+    e = spark.createDataFrame([(1, 1, "P2", None), (2, 1, None, "gift"), (3, 1, "P3", None), (4, 1, "P3", None), (5, 1, None, "refund")],
+                              "edit_id long, transaction_id long, payment_ref string, kind string")
+    row = E.apply_edits(t, e).first()
+    assert (row.payment_ref, row.amount_aed, row.direction) == ("P3", 5, "funding")
+    assert {r.edit_id: r.error for r in E.refused_edits(t, e).collect()} == {2: "Not a kind of entry: gift", 4: "The edit changes no value"}
+    log = {(r.edit_id, r.field): (r.was, r.became) for r in E.edit_log(t, e).collect()}
+    assert log == {(1, "payment_ref"): ("P1", "P2"), (3, "payment_ref"): ("P2", "P3"),
+                   (5, "amount_aed"): ("-5.00", "5.00"), (5, "direction"): ("spend", "funding")}
+
+
 def test_a_kind_change_turns_the_sign(spark):
     t = editable(txn(spark, [{"amount": -5}]))
     e = spark.createDataFrame([(1, 1, "refund")], "edit_id long, transaction_id long, kind string")
