@@ -162,7 +162,8 @@ def query_terms(query: str) -> list[str]:
 
 def matches_query(haystack: Column, query: str) -> Column:
     """Every term of the query occurs in the (lower-case) haystack."""
-    hit = F.lit(True)
-    for term in query_terms(query):
-        hit = hit & F.contains(haystack, F.lit(term))
-    return hit
+    terms = query_terms(query)
+    if not terms:
+        return F.lit(True)
+    # Bound once: apart, each term's condition would put the haystack together anew.
+    return let(haystack, lambda h: F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(h, t)))

@@ -71,8 +71,8 @@ def bank_order(txn: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
         "_p6": F.when(F.col("_loose"), F.col("txn_date"))})
     order = ["_p1", "_p2", "_p3", "_p4", "_loose", "_p6", "transaction_id"]
     return numbered(ordered, ["card_id"], order, "line_no",
-                    [F.col("_p1"), F.col("_p2"), id_block("_p3"), F.col("_p3"), F.col("_p4"), F.col("_p6")],
-                    hot_rows).drop("_sheet", "_row", "_place", "_anchor", "_loose", "_p1", "_p2", "_p3", "_p4", "_p6")
+                    [F.col("_p1"), F.col("_p2"), id_block("_p3"), F.col("_p3"), F.col("_p4"), F.col("_loose"), F.col("_p6"),
+                     id_block("transaction_id")], hot_rows).drop("_sheet", "_row", "_place", "_anchor", "_loose", "_p1", "_p2", "_p3", "_p4", "_p6")
 
 
 def in_bank_order(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:

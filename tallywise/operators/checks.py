@@ -102,7 +102,8 @@ def duplicate_members(txn: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFr
     rank = F.coalesce(F.col("source_row").cast("bigint"), F.lit(2**62))
     hour = F.date_trunc("hour", F.col("created_at"))
     return numbered(same, ALIKE, [rank, F.col("created_at"), F.col("transaction_id")], "member_no",
-                    [id_block(rank), rank, hour, F.date_trunc("minute", F.col("created_at"))], hot_rows).select(
+                    [id_block(rank), rank, hour, F.date_trunc("minute", F.col("created_at")), F.col("created_at"),
+                     id_block("transaction_id")], hot_rows).select(
         "card_id", "txn_date", "amount_aed", "supplier", F.col("_pay").alias("payment_ref"), "copies", "member_no",
         "transaction_id", F.coalesce("source_row", F.lit(0)).alias("source_row"))
 

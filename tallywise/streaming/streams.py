@@ -71,33 +71,33 @@ def suppress_double_submits(batch: DataFrame, seconds: int = 120, hot_rows: int
     return judged.filter(kept).select(*batch.columns)
 
 
-def suppress_double_submits_stream(stream: DataFrame, seconds: int = 120, watermark: str = "10 minutes") -> DataFrame:
-    """The same rule on a stream; state is the last accepted moment per signature,
-    dropped once the watermark has passed its window."""
+def suppress_double_submits_stream(stream: DataFrame, seconds: int = 120) -> DataFrame:
+    """The same rule on a stream; state is the last accepted moment per signature.
+    It is kept for good, one number a signature: what is dropped could be asked for
+    again by a late row.  Give a long-lived stream a state store on disk.
+
+    No submission is discarded for being late: one that arrives behind its equals is
+    left out only if an accepted one lies within the window on either side of it.
+    """
     window = seconds * 1_000_000
     columns = stream.columns
-    late = stream.withWatermark("submitted_at", watermark)
-    rows = _signed(late)
+    rows = _signed(stream)
     schema = stream.schema
 
     def guard(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(frames)).sort_values(["submitted_at", "submission_id"])
         keep = []
         for at, allow in zip(pdf["submitted_at"].astype("datetime64[us]").astype("int64"), pdf["allow_duplicate"]):
-            ok = bool(allow) or last is None or at - last >= window
+            ok = bool(allow) or last is None or abs(at - last) >= window
             keep.append(ok)
             if ok:
-                last = at
+                last = at if last is None else max(at, last)
         state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pdf[keep][columns]
 
     return rows.groupBy("_sig").applyInPandasWithState(
-        guard, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        guard, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 # ------------------------------------------------------------- foreachBatch

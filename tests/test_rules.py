@@ -231,6 +231,20 @@ def test_stream_and_batch_suppress_the_same(spark, tmp_path):
     assert got == {r.submission_id for r in ST.suppress_double_submits(df).collect()}
 
 
+def test_a_late_submission_is_kept(spark, tmp_path):
+    days = ["2026-01-05 10:00:00", "2026-01-05 10:01:00", "2026-01-09 10:00:00", "2026-01-01 10:00:00"]
+    df = spark.createDataFrame([(k, "X", False, d) for k, d in enumerate(days)],
+                               "submission_id long, supplier string, allow_duplicate boolean, at string") \
+        .select("submission_id", "supplier", "allow_duplicate", F.col("at").cast("timestamp").alias("submitted_at"))
+    for k in range(len(days)):
+        df.filter(F.col("submission_id") == k).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    live = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = ST.suppress_double_submits_stream(live).writeStream.format("memory").queryName("late").outputMode("append") \
+        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.submission_id for r in spark.table("late").collect()} == {0, 2, 3}
+
+
 # ---------------------------------------------------------------- changes
 
 def test_bank_rows_cannot_be_voided_and_reasons_are_required(spark):
