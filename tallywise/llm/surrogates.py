@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 KEY = "tallywise"
+#: Calling codes of one, two or three digits; no code is the beginning of another.
+CALLING_CODE = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Draws before the room for surrogates of a kind counts as used up.
 MOST_DRAWS = 64
 
@@ -92,9 +94,11 @@ def _parts(found: DataFrame) -> DataFrame:
              "IF(i = size(split(bare, ' ')) - 1, 'surname', concat('given ', gender)), 'canonical', lower(x), 'script', "
              + script.format(x="x") + "))")
     digits = "regexp_replace(value, '[^0-9]', '')"
+    # Calling code, blank, all digits behind it, wherever the separators stand; a number without a code has none.
+    called = f"regexp_extract({digits}, '^{CALLING_CODE}', 0)"
+    phone = f"IF(value LIKE '+%', concat('+', {called}, ' ', substr({digits}, length({called}) + 1)), concat(' ', {digits}))"
     canonical = (f"CASE kind WHEN 'email' THEN lower(value) WHEN 'iban' THEN replace(value, ' ', '') "
-                 f"WHEN 'phone' THEN concat(regexp_extract(value, '^[+][0-9]+', 0), ' ', "
-                 f"regexp_replace(regexp_replace(value, '^[+][0-9]+', ''), '[^0-9]', '')) "
+                 f"WHEN 'phone' THEN {phone} "
                  f"WHEN 'card' THEN {digits} WHEN 'ssn' THEN {digits} WHEN 'ipv6' THEN lower(value) ELSE value END")
     whole = ("array(named_struct('part', value, 'entity', kind, 'canonical', " + canonical + ", 'script', "
              + script.format(x="value") + "))")

@@ -187,6 +187,25 @@ def test_surrogates(spark):
     assert out[3] == people[3]
 
 
+def test_surrogates_of_phones(spark):
+    spellings = [["+442071234567", "+44 2071234567", "+44 20 7123 4567", "+4420 7123 4567", "+44 (20) 7123-4567", "+44.20.7123.4567"],
+                 ["+14375550689", "+1 (437) 555-0689", "+1-437-555-0689", "+1437 555 0689"],
+                 ["+353861234567", "+353 86 123 4567"], ["(437) 555-0690", "437-555-0690", "437.555.0690"]]
+    rows = [(100 * k + i, f"call {x} now") for k, own in enumerate(spellings) for i, x in enumerate(own)]
+    out = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fresh = set()
+    for k, (own, code) in enumerate(zip(spellings, ("44", "1", "353", ""), strict=True)):
+        digits = [re.sub(r"\D", "", out[100 * k + i].text) for i in range(len(own))]
+        real = re.sub(r"\D", "", own[0])
+        assert len(set(digits)) == 1 and len(digits[0]) == len(real) and digits[0].startswith(code)
+        assert digits[0][len(code):] != real[len(code):] and digits[0][:len(code) + 4] != real[:len(code) + 4]
+        for i, x in enumerate(own):
+            assert re.sub(r"\d", "0", out[100 * k + i].text) == re.sub(r"\d", "0", f"call {x} now")
+            assert out[100 * k + i].n_replaced == 1
+        fresh.add(digits[0])
+    assert len(fresh) == 4
+
+
 def test_surrogates_stay_distinct(spark):
     # A space of 9 one-digit octets four times over: collisions are certain.
     entities = spark.range(500).select(F.lit("ip").alias("entity"), F.concat(
