@@ -12,6 +12,12 @@ So surrogates are checked over the table of distinct entities: of equal draws on
 stays, the others draw again until none is left over.  Names consist of parts that
 are entities of their own, so a surname stands for the same surname in every name.
 
+Names grow by a syllable a draw.  Where the room of another form is used up after
+``MOST_DRAWS`` draws, or a value has no letter or digit to replace, the surrogate changes
+its form within its kind and is written as it is: numbers get a digit more with every
+draw, e-mails a drawn local part and domain, octets any length, and at last an address of
+four octets becomes one of eight groups.  So every entity gets a surrogate in the end.
+
 Texts without entities are returned as they are.  A text is cut at its entities and
 joined again, so replacements never meet each other.
 
@@ -31,7 +37,7 @@ from .common import materialise
 KEY = "tallywise"
 #: Calling codes of one, two or three digits; no code is the beginning of another.
 CALLING_CODE = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
-#: Draws before the room for surrogates of a kind counts as used up.
+#: Draws before the room for surrogates of a form counts as used up.
 MOST_DRAWS = 64
 
 #: Titles and common given names, by gender.
@@ -119,23 +125,35 @@ def _draw(key: str) -> str:
         return f"substr('{alphabet}', {number(i)} % {len(alphabet)} + 1, 1)"
 
     def shaped(text: str, letters: str = "latin") -> str:
-        return (f"array_join(transform(split({text}, ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' THEN {pick('0123456789', 'i')} "
+        return (f"array_join(transform(split({text}, ''), (c, i) -> CASE WHEN c RLIKE '\\\\p{{N}}' THEN {pick('0123456789', 'i')} "
                 f"WHEN c RLIKE '\\\\p{{IsCyrillic}}' THEN {pick(LETTERS['cyrillic'], 'i')} "
                 f"WHEN c RLIKE '[A-Z]' THEN upper({pick(LETTERS['latin'], 'i')}) "
                 f"WHEN c RLIKE '\\\\p{{L}}' THEN {pick(LETTERS[letters], 'i')} ELSE c END), '')")
 
     head = "regexp_replace(canonical, '[.][^.]*$', '')"
-    email = f"concat({shaped(head)}, regexp_extract(canonical, '[.][^.]*$', 0))"
+    def drawn_letters(n: str, start: int) -> str:
+        return f"array_join(transform(sequence(1, {n}), i -> {pick(LETTERS['latin'], f'(i + {start})')}), '')"
+
+    # The number of draws in the grown form, and as many places for digits.
+    more = "repeat('0', grown)"
+    email = (f"IF(grown > 0, concat({drawn_letters('7 + grown', 0)}, '@', {drawn_letters('8', 4096)}), {shaped(head)})")
+    email = f"concat({email}, regexp_extract(canonical, '[.][^.]*$', 0))"
     octet = (f"CASE length(o) WHEN 1 THEN 1 + {number('i')} % 9 WHEN 2 THEN 10 + {number('i')} % 90 "
              f"ELSE 100 + {number('i')} % 156 END")
-    ip = f"array_join(transform(split(canonical, '[.]'), (o, i) -> cast({octet} AS string)), '.')"
+    groups = f"transform(sequence(0, 7), g -> lower(substr({stream('128')}, g * 4 + 1, 4)))"
+    groups = f"array_join({groups}, ':')"
+    ip = (f"IF(grown > {MOST_DRAWS}, {groups}, array_join(transform(split(canonical, '[.]'), (o, i) -> "
+          f"cast(IF(grown > 0, 1 + {number('i')} % 255, {octet}) AS string)), '.'))")
     phone = (f"concat(split(canonical, ' ')[0], ' ', cast(2 + {number('40')} % 8 AS string), "
-             f"{shaped('substr(split(canonical, chr(32))[1], 2)')})")
-    drawn = f"concat(substr(canonical, 1, 1), {shaped('substr(canonical, 2)')})"
+             f"{shaped(f'concat(substr(split(canonical, chr(32))[1], 2), {more})')})")
+    ssn = shaped(f"concat(canonical, {more})")
+    ssn = f"IF(grown > 0, regexp_replace({ssn}, '^(...)(..)', '$1-$2-'), {ssn})"
+    drawn = f"concat(substr(canonical, 1, 1), {shaped(f'concat(substr(canonical, 2), {more})')})"
     luhn = (f"transform(array({drawn}), d -> concat(substr(d, 1, length(d) - 1), filter(transform(sequence(0, 9), "
             "k -> cast(k AS string)), k -> luhn_check(concat(substr(d, 1, length(d) - 1), k)))[0]))[0]")
     card = f"IF(luhn_check(canonical), {luhn}, {drawn})"
-    iban = f"concat(substr(canonical, 1, 2), {shaped('substr(canonical, 3)')})"
+    iban = f"concat(substr(canonical, 1, 2), {shaped(f'concat(substr(canonical, 3), {more})')})"
+    ipv6 = f"IF(grown > 0, {groups}, {shaped('canonical', 'hex')})"
 
     def name(script: str) -> str:
         table = ", ".join(f"'{s}'" for s in SYLLABLES[script])
@@ -147,28 +165,32 @@ def _draw(key: str) -> str:
 
     return (f"CASE WHEN entity = 'email' THEN {email} WHEN entity = 'ip' THEN {ip} WHEN entity = 'phone' THEN {phone} "
             f"WHEN entity = 'card' THEN {card} WHEN entity = 'iban' THEN {iban} "
-            f"WHEN entity = 'ipv6' THEN {shaped('canonical', 'hex')} WHEN entity = 'ssn' THEN {shaped('canonical')} "
+            f"WHEN entity = 'ipv6' THEN {ipv6} WHEN entity = 'ssn' THEN {ssn} "
             f"WHEN script = 'cyrillic' THEN {name('cyrillic')} ELSE {name('latin')} END")
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(entity, canonical, surrogate) for distinct (entity, canonical, script); no two surrogates of a kind are equal,
-    and none is the canonical form of an entity of the input."""
+def assign(entities: DataFrame, key: str = KEY, most: int = MOST_DRAWS) -> DataFrame:
+    """(entity, canonical, surrogate, grown) for distinct (entity, canonical, script); no two surrogates of a kind are
+    equal, and none is the canonical form of an entity of the input.  Forms grow after ``most`` draws."""
     # All names are one kind here: a given name must not become a surname in use.
     space = F.when(F.col("entity").startswith("given ") | (F.col("entity") == "surname"), "name").otherwise(F.col("entity"))
     real = entities.select(space.alias("space"), F.col("canonical").alias("surrogate")).distinct()
-    pending, done = entities.withColumn("space", space), None
-    for draw in range(MOST_DRAWS):
-        drawn = pending.withColumn("draw", F.lit(draw)).withColumn("surrogate", F.expr(_draw(key)))
+    # An e-mail without a letter or digit before its last dot leaves nothing to draw.
+    bare = F.expr("entity = 'email' AND regexp_replace(canonical, '[.][^.]*$', '') NOT RLIKE '[\\\\p{L}\\\\p{N}]'")
+    pending, done, draw = entities.withColumn("space", space), None, 0
+    while True:
+        drawn = pending.withColumns({"draw": F.lit(draw), "grown": F.when(bare, draw + 1).otherwise(max(0, draw - most + 1))}) \
+            .withColumn("surrogate", F.expr(_draw(key)))
         taken = real if done is None else real.unionByName(done.select("space", "surrogate"))
         free = drawn.join(taken, ["space", "surrogate"], "left_anti")
-        winner = free.groupBy("space", "surrogate").agg(F.min(F.struct("entity", "canonical", "script")).alias("x")) \
-            .select("space", "surrogate", "x.*")
-        done = materialise(winner if done is None else done.unionByName(winner), "surrogates")
-        pending = materialise(pending.join(done, ["entity", "canonical", "script"], "left_anti"), "pending")
+        winner = materialise(free.groupBy("space", "surrogate").agg(
+            F.min(F.struct("entity", "canonical", "script", (F.col("grown") > 0).alias("grown"))).alias("x"))
+            .select("space", "surrogate", "x.*"), "surrogates")
+        done = winner if done is None else done.unionByName(winner)
+        pending = materialise(pending.join(winner, ["entity", "canonical", "script"], "left_anti"), "pending")
         if not pending.take(1):
-            return done.select("entity", "canonical", "surrogate")
-    raise ValueError("there are too many entities of a kind for surrogates of their form")
+            return done.select("entity", "canonical", "surrogate", "grown")
+        draw += 1
 
 
 def _filled() -> str:
@@ -191,7 +213,8 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
 
     style = F.when(F.upper("part") == F.col("part"), F.upper("surrogate")).otherwise(F.initcap("surrogate"))
     drawn = parts.join(given, ["entity", "canonical"]) \
-        .withColumn("new", F.when(F.col("kind") == "name", style).otherwise(F.expr(_filled())))
+        .withColumn("new", F.when(F.col("kind") == "name", style).when(F.col("grown"), F.ltrim("surrogate"))
+                    .otherwise(F.expr(_filled())))
     title = F.regexp_extract("value", f"^{_TITLE}[ ]", 0)
     # At most a given name and a surname.
     whole = drawn.groupBy("value", "kind").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news")).select(

@@ -216,6 +216,26 @@ def test_surrogates_stay_distinct(spark):
     assert given.join(entities.select(F.col("canonical").alias("surrogate")), "surrogate").count() == 0
 
 
+def test_surrogates_without_room(spark):
+    # All 6,561 addresses of one form, e-mails with nothing to draw, all of one letter, and phones of two digits.
+    alike = {"ip": [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)],
+             "email": ["_@-.com", "%@-.com", *[f"{a}@-.org" for a in "abcdefghijklmnopqrstuvwxyz"]],
+             "phone": [f"+999 {n}" for n in range(10, 100)]}
+    values = [(k, x, "latin") for k, own in alike.items() for x in own]
+    given = surrogates.assign(spark.createDataFrame(values, "entity string, canonical string, script string"), most=2).collect()
+    assert sorted((r.entity, r.canonical) for r in given) == sorted(v[:2] for v in values)
+    assert len({(r.entity, r.surrogate) for r in given}) == len(values)
+    assert not {(r.entity, r.surrogate) for r in given} & {v[:2] for v in values}
+    for r in given:
+        assert re.fullmatch({"ip": r"(\d{1,3}\.){3}\d{1,3}", "email": r"[a-z]{8,}@[a-z]{8}\.(com|org)", "phone": r"\+999 \d{2,}"}[r.entity],
+                            r.surrogate) and (r.entity != "ip" or max(map(int, r.surrogate.split("."))) < 256)
+    texts = [(0, "to _@-.com now"), (1, "to \u0661@\u0662\u0663.com now"), (2, "to _@-.COM now")]
+    out = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [out[i].n_replaced for i in range(3)] == [1, 1, 1] and out[0].text == out[2].text
+    assert re.fullmatch(r"to [a-z]{8}@[a-z]{8}\.com now", out[0].text)
+    assert re.fullmatch(r"to [0-9]@[0-9]{2}\.com now", out[1].text)
+
+
 def test_winnowing(docs, rows):
     xxhash, regex = pytest.importorskip("xxhash"), pytest.importorskip("regex")
     dense = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
