@@ -13,11 +13,13 @@ into stretches of windows, each owned by one run:
    length that occurs twice is reported.
 4. The reported windows go back to the documents, which drop the words they cover.
 
-A run with more than ``most`` different stretches would burden one shard; its windows
-are sent one by one, by their own content, and pass through the same index.
+A run with more than ``most`` different stretches would burden one shard.  All places of
+a window have the same run, so its windows need no index: they are counted by their
+words, added up before they are shuffled, and those that occur twice go back to their
+stretches by hash.
 
-Hashes only route and compare runs and rows (64 and 96 bits); windows are compared by
-their words.
+Hashes only route and compare runs and rows (64 and 96 bits) and bring back the windows
+that were counted (128 bits); windows are compared by their words.
 
 Nulls and edge cases: a null or blank text has no words and nothing is removed;
 texts shorter than a window keep all; long texts are handled whole; rows that repeat
@@ -27,6 +29,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,21 +106,37 @@ def _runs(window: int, gram: int):
 
 
 def _texts(window: int):
-    """The words of the wanted stretches; those of a crowded run window by window."""
+    """The words of the wanted stretches."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for words, own in zip(_split(batch.column("text")), batch.column("own").to_pylist(), strict=True):
                 for x in own:
                     a, n = x["first"], x["n"]
-                    for at, size in [(k, 1) for k in range(n)] if x["crowded"] else [(0, n)]:
-                        cut = b" ".join(words[a + at:a + at + size + window - 1])
-                        route = xxhash.xxh3_64_intdigest(cut) - (1 << 63) if x["crowded"] else x["run"]
-                        rows.append((x["run"], x["content"], at, cut.decode(), x["copies"], route))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+                    rows.append((x["run"], x["content"], b" ".join(words[a:a + n + window - 1]).decode(), x["copies"]))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
-                                             names=["run", "content", "at", "words", "copies", "route"])
+                                             names=["run", "content", "words", "copies"])
+    return each
+
+
+def _windows(window: int, with_words: bool):
+    """The windows of stretches one by one: their words and copies, or their places."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for x in batch.to_pylist():
+                words = x["words"].encode().split()
+                for at in range(len(words) - window + 1):
+                    cut = b" ".join(words[at:at + window])
+                    low, high = struct.unpack("<qq", xxhash.xxh3_128_digest(cut))
+                    rows.append((low, high, cut.decode(), x["copies"]) if with_words else
+                                (low, high, x["run"], x["content"], at))
+            names = ["low", "high", "words", "copies"] if with_words else ["low", "high", "run", "content", "at"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()] if with_words else [pa.int64()] * 4 + [pa.int32()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
     return each
 
 
@@ -140,8 +159,7 @@ def _search(window: int):
         text, begin, end = np.array(flat, np.int64), np.array(begin), np.array(end)
         found = repeated_windows(FMIndex(text), text, begin, end, window)
         masks = [sum(1 << int(i) for i in np.flatnonzero(found[a:b - window + 1])) for a, b in zip(begin, end, strict=True)]
-        return pa.table([table["run"], table["content"], table["at"], pa.array(masks, pa.int64())],
-                        names=["run", "content", "at", "mask"])
+        return pa.table([table["run"], table["content"], pa.array(masks, pa.int64())], names=["run", "content", "mask"])
     return search
 
 
@@ -188,20 +206,29 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
     contents = materialise(candidates.groupBy("run", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "check", "first", "n")).alias("x"))
         .select("run", "content", "copies", "x.*"), "contents")
-    crowded = contents.groupBy("run").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select(
-        "run", F.lit(True).alias("crowded"))
-    size = contents.agg(F.sum(F.col("n") + window)).first()[0] or 0
+    crowded = materialise(contents.groupBy("run").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most)
+                          .select("run"), "crowded")
+    any_crowded = bool(crowded.take(1))
+    single = contents.join(crowded, "run", "left_anti") if any_crowded else contents
+    size = single.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = max(1, -(-size // shard_words))
 
-    # Stretches of one text: as many as it is long.
-    own = contents.join(crowded, "run", "left").groupBy("key", "check").agg(F.collect_list(F.struct(
-        "first", "n", "run", "content", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("own"))
-    # Rows that repeat an id and text would send their stretches again.
-    pieces = texts.join(own, ["key", "check"]).mapInArrow(
-        _texts(window), "run long, content long, at int, words string, copies long, route long")
-    verdict = pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).groupBy("shard") \
-        .applyInArrow(_search(window), "run long, content long, at int, mask long").filter("mask <> 0")
-    verdict = verdict.groupBy("run", "content").agg(F.bit_or(F.expr("shiftleft(mask, at)")).alias("mask"))
+    def in_words(stretches: DataFrame) -> DataFrame:
+        # Stretches of one text: as many as it is long.
+        own = stretches.groupBy("key", "check").agg(F.collect_list(F.struct("first", "n", "run", "content", "copies")).alias("own"))
+        # Rows that repeat an id and text send their stretches again.
+        return texts.join(own, ["key", "check"]).mapInArrow(_texts(window), "run long, content long, words string, copies long")
+
+    verdict = in_words(single).withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int")).groupBy("shard") \
+        .applyInArrow(_search(window), "run long, content long, mask long").filter("mask <> 0")
+    if any_crowded:
+        wide = materialise(in_words(contents.join(crowded, "run", "left_semi")), "crowded-words")
+        often = wide.mapInArrow(_windows(window, True), "low long, high long, words string, copies long") \
+            .groupBy("low", "high", "words").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("low", "high")
+        places = wide.mapInArrow(_windows(window, False), "low long, high long, run long, content long, at int")
+        found = places.join(often, ["low", "high"], "left_semi").select("run", "content", F.expr("shiftleft(1L, at)").alias("mask"))
+        verdict = verdict.unionByName(found)
+    verdict = verdict.groupBy("run", "content").agg(F.bit_or("mask").alias("mask"))
 
     marks = candidates.select("key", "check", "first", "run", "content").join(verdict, ["run", "content"]) \
         .groupBy("key", "check").agg(F.collect_set(F.struct("first", "mask")).alias("own"))

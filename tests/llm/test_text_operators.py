@@ -370,6 +370,29 @@ def test_substrings(docs, rows, most, shard_words):
         assert r.kept_text == b" ".join(x for p, x in enumerate(w) if p not in gone).decode()
 
 
+def test_windows_of_crowded_runs_meet_counted(spark, monkeypatch):
+    # One passage in many documents with other words around it: no task may see its windows once a document.
+    rng = random.Random(8)
+    other = lambda n: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+    passage = other(60)
+    texts = [f"{other(30)} {passage} {other(30)}" for _ in range(300)] + [other(50) for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    search = substring_dedup._search
+
+    def bounded(window):
+        inner = search(window)
+
+        def each(key, table):
+            if table.num_rows > 400:
+                raise ValueError(f"{table.num_rows} rows in one shard")
+            return inner(key, table)
+        return each
+    monkeypatch.setattr(substring_dedup, "_search", bounded)
+    for r in substring_dedup.remove_repeats(frame, most=20).collect():
+        assert r.n_removed == (60 if r.doc_id < 300 else 0)
+        assert r.kept_text == (texts[r.doc_id].replace(f" {passage} ", " ") if r.doc_id < 300 else texts[r.doc_id])
+
+
 def test_fm_index_counts():
     import numpy as np
     rng = np.random.default_rng(3)
