@@ -2,7 +2,8 @@
 
 The patterns find credentials by shape.  The lexer reads assignments of source and
 configuration syntax (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``export NAME=literal``) into names and literals, adds up joined literals, and
+``export NAME=literal``, ``name: type = literal``, ``var name type = literal``) into names
+and literals, prefixed, raw and triple-quoted ones too, adds up joined literals, and
 carries constants from name to name, in both directions of the text.  A literal is
 reported if the score of the most sensitive name that it reaches, plus points for
 looking random, attains ``LEAST_SCORE``.
@@ -48,11 +49,20 @@ LEAST_SCORE = 6.0
 LEAST_LENGTH = 6
 _DUMMIES = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|undefined|todo|your.*|<.*>|\$\{.*\}|%\(?.*)$")
 
-#: One token of an assignment: a name, an operator, a quoted or a bare literal.
+#: The type of a declaration: a name with its parameters, also a reference, an array, or several joined by ``|``.
+_PLAIN_TYPE = r"""(?:[^\W\d]\w{0,63}(?:(?:\.|::)\w{1,63}){0,6}(?:[<\[][^\n=;"`(){}]{0,80}[>\]])?|\[[^\n="'`(){}]{0,40}\])[?!]?"""
+_TYPE = rf"""[&*]{{0,2}}(?:'\w{{1,32}}\x20)?(?:(?:mut|const|dyn)\x20)?{_PLAIN_TYPE}(?:\x20?\|\x20?{_PLAIN_TYPE}){{0,4}}"""
+#: What may stand before the opening quote of a literal: Python, C, C#, Rust and Scala have such letters.
+_PREFIX = r"""(?:(?:[rRbBuUfFtT]{1,2}|u8R?|LR?|[uU]R|[sc]|raw|[@$]{1,2})(?=["'])|[bc]?r\#{0,3}(?="))?"""
+_QUOTE = r"""\"{3}|'{3}|["'`]"""
+#: One token of an assignment: a name, a type, an operator, a quoted or a bare literal.
 _SITE = re.compile(
+    rf"""(?:(?<![\w.-])(?P<var>var|const)[\x20\t]+)?"""
     r"""(?P<quote>["']?)(?P<name>[^\W\d][\w.-]{0,127})(?P=quote)(?:\[["']?(?P<part>\w{1,64})["']?\])?"""
-    r"""[\x20\t]*(?P<op>:=|=>|[:=](?![=:/]))[\x20\t]*(?P<rest>["'`]|[^\W\d][\w.]*|[^\s"'`,;(){}\[\]]+)?""")
-_JOIN = re.compile(r"""[\x20\t]*\+[\x20\t]*(?:(?P<quote>["'`])|(?P<name>[^\W\d][\w.]*))""")
+    rf"""[\x20\t]*(?P<op>:[\x20\t]*(?P<type>{_TYPE})[\x20\t]*=(?![=>~])|:=|=>|[:=](?![=:/])"""
+    rf"""|(?(var)(?<=[\x20\t])[*\[\]]{{0,4}}[^\W\d][\w.]{{0,63}}[\x20\t]*=(?![=>~])|(?!)))"""
+    rf"""[\x20\t]*{_PREFIX}(?P<rest>{_QUOTE}|[^\W\d][\w.]*|[^\s"'`,;(){{}}\[\]]+)?""")
+_JOIN = re.compile(rf"""[\x20\t]*\+[\x20\t]*(?:{_PREFIX}(?P<quote>{_QUOTE})|(?P<name>[^\W\d][\w.]*))""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -75,17 +85,19 @@ def literal_score(value: str) -> float:
     return min(1.0, len(value) / 16) + 0.5 * (classes - 1) + max(0.0, entropy - 2.0) * 0.75 - blanks
 
 
-def _quoted(text: str, at: int) -> int:
-    """The end of the literal whose opening quote is at ``at``; -1 if the line ends first."""
-    quote, i, n = text[at], at + 1, len(text)
+def _quoted(text: str, at: int, quote: str) -> int:
+    """The end of the literal whose opening ``quote`` is at ``at``; -1 if the line ends first, or a long literal never."""
+    i, n = at + len(quote), len(text)
+    if len(quote) == 3 and text.find(quote, i) < 0:
+        return -1
     while i < n:
         c = text[i]
         if c == "\\":
             i += 2
             continue
-        if c == quote:
+        if c == quote[0] and text.startswith(quote, i):
             return i
-        if c == "\n" and quote != "`":
+        if c == "\n" and len(quote) == 1 and quote != "`":
             return -1
         i += 1
     return -1
@@ -102,13 +114,18 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]
         spans: list[tuple[int, int]] = []
         names: list[str] = []
         begin = m.start("rest")
-        if rest in "\"'`":
-            end = _quoted(text, begin)
+        kind = m["type"] or ""
+        if len(kind) >= 8 and re.search(r"\d", kind) and re.fullmatch(r"\w+", kind):
+            # It may be a value with a sign of equality behind it.
+            found.append((name, [m.span("type")], []))
+        if rest[0] in "\"'`":
+            end = _quoted(text, begin, rest)
             if end < 0:
-                at = begin + 1
+                # Three quotes that nothing closes: an empty literal and another quote.
+                at = begin + (1 if len(rest) == 1 else 2)
                 continue
-            spans.append((begin + 1, end))
-            at = end + 1
+            spans.append((begin + len(rest), end))
+            at = end + len(rest)
         elif re.fullmatch(r"[^\W\d][\w.]*", rest) and m["op"] != ":":
             names.append(rest.rpartition(".")[2] or rest)
             # A bare word is a literal in configuration files.
@@ -124,11 +141,11 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]
             at = end
         while j := _JOIN.match(text, at):
             if j["quote"]:
-                end = _quoted(text, j.start("quote"))
+                end = _quoted(text, j.start("quote"), j["quote"])
                 if end < 0:
                     break
-                spans.append((j.start("quote") + 1, end))
-                at = end + 1
+                spans.append((j.end("quote"), end))
+                at = end + len(j["quote"])
             else:
                 names.append(j["name"].rpartition(".")[2] or j["name"])
                 at = j.end()

@@ -172,6 +172,30 @@ def test_secrets_lexer():
     assert secret_scan.redacted(f'password = "{value}" end') == '[secret]" end'
 
 
+TYPED = ['api_token: str = "{}"', 'val password: String = "{}"', 'const password: string = "{}";', 'let token: &str = "{}";',
+         "static API_KEY: &'static str = \"{}\";", 'def f(password: str | None = "{}"):', 'secret: Optional[str] = "{}"',
+         'var apiKey: String? = "{}"', 'var password string = "{}"', 'const secretKey string = "{}"', 'let token: Option<String> = "{}"']
+PREFIXED = [f'SECRET_KEY = {x}"{{}}"' for x in ("b", "r", "f", "u", "rb", "Rb", "L", "u8", "@", "$@", "s", "raw")]
+PREFIXED += ['SECRET_KEY = b\'{}\'', 'let secret = br#"{}"#;', 'password: bytes = b"{}"', '{{"secret_key": b"{}"}}']
+TRIPLE = ['password = """{}"""', "password = \'\'\'{}\'\'\'", 'token: str = r"""{}"""', 'val clientSecret = """{}"""', 'password = """\n{}\n"""']
+
+
+@pytest.mark.parametrize("form", TYPED + PREFIXED + TRIPLE)
+def test_secrets_in_source_forms(form):
+    value = "aG9wZXM4fQ92xK1z"
+    text = f"x = 1\n{form.format(value)}\nend = 2"
+    assert [x.strip() for x in _literals(text)] == [value]
+    assert value not in secret_scan.redacted(text) and secret_scan.redacted(text).endswith("\nend = 2")
+
+
+def test_secrets_beside_source_forms():
+    value = "aG9wZXM4fQ92xK1z"
+    assert _literals(f'password = b"{value[:8]}" + b"{value[8:]}"') == [value[:8], value[8:]]
+    assert _literals(f'password: {value} = x') == [value]
+    assert _literals(f'password = ""\nsecret = "{value}"') == [value] == _literals(f'a = """\nsecret = "{value}"')
+    assert _literals('token: str = "changeme"') == [] == _literals(f'title: str = "{value}"')
+
+
 def test_surrogates(spark):
     people = ["Mr. John Smith met Mrs. Smith and MR SMITH.", "Card 4111 1111 1111 1111 or 4111111111111111.",
               "A.B@x.org, a.b@X.org and c.d@x.org at 10.1.22.133.", "nothing here"]
