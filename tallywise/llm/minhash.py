@@ -24,11 +24,16 @@ text without words, or null, has an empty set and is linked with nothing.  A row
 with a null id links no others; it has the component of an equal set, if there is
 one, and is kept only if there is none.  Rows that repeat an id and text have one
 verdict.  An empty table gives no rows.  Only the id and text columns are read.
+
+``keep_one`` judges rows, not ids: of every group one row stays, the least by id (null
+ids last) and hash of the text; rows without an id link others there, an id that stands
+on two texts is two rows, and of rows that repeat an id and text one stays.  Rows without
+words all stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -254,14 +259,35 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                block: int = BLOCK) -> DataFrame:
     """One row per document: set size, component (its smallest id) and whether it is the one kept."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()),
-                           T.StructField("set_x", T.LongType()), T.StructField("set_y", T.LongType()),
-                           T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    features = materialise(docs.mapInArrow(_features(shingle, schema), schema), "features")
+    features = _featured(docs, shingle)
     nodes = features.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_x", "set_y").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"),
         F.first("keys").alias("keys"))
     nodes = materialise(nodes, "nodes")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        # The same plan at every size: the ids are not broadcast while they are few.
+        return docs.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node") \
+            .join(ids.distinct().hint("merge"), "node", "left_semi")
+
+    found = _linked(nodes, texts_of, shingle, percent, block)
+    verdict = _labelled(nodes.select("set_x", "set_y", "node"), found, "node", "component_id").drop("node")
+    judged = features.select("doc_id", "n_shingles", "set_x", "set_y").join(verdict, ["set_x", "set_y"], "left")
+    own_id = F.coalesce("component_id", "doc_id")
+    return judged.select("doc_id", "n_shingles", own_id.alias("component_id"),
+                         F.coalesce(F.col("doc_id") == own_id, F.col("component_id").isNull()).alias("kept"))
+
+
+def _featured(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, n_shingles, set_x, set_y, sig, keys) of each row of (doc_id, text)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()),
+                           T.StructField("set_x", T.LongType()), T.StructField("set_y", T.LongType()),
+                           T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    return materialise(docs.mapInArrow(_features(shingle, schema), schema), "features")
+
+
+def _linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, percent: int, block: int) -> DataFrame:
+    """(node, component) of the linked ones of ``nodes``; ``texts_of`` gives (node, text) for a table of nodes."""
     pair_schema, bar = "a long, b long, like double", signature_bar(percent)
 
     rows = nodes.select("node", F.explode("keys").alias("key"))
@@ -277,10 +303,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = materialise(sized.mapInArrow(_alike(percent, bar), pair_schema), "star")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        # The same plan at every size: the ids are not broadcast while they are few.
-        wanted = docs.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node") \
-            .join(ids.distinct().hint("merge"), "node", "left_semi")
-        return materialise(wanted.mapInArrow(_sets(shingle), "node long, items array<long>"), "sets")
+        return materialise(texts_of(ids).mapInArrow(_sets(shingle), "node long, items array<long>"), "sets")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -326,17 +349,45 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = materialise(more, "more")
     if more.take(1):
         links, found = linked(more, sets_of(ends(more)), links)
-
-    verdict = _labelled(nodes.select("set_x", "set_y", "node"), found, "node", "component_id").drop("node")
-    judged = features.select("doc_id", "n_shingles", "set_x", "set_y").join(verdict, ["set_x", "set_y"], "left")
-    own_id = F.coalesce("component_id", "doc_id")
-    return judged.select("doc_id", "n_shingles", own_id.alias("component_id"),
-                         F.coalesce(F.col("doc_id") == own_id, F.col("component_id").isNull()).alias("kept"))
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
              percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates; rows without an id stay unless a group has their text."""
-    verdict = components(docs, id_col, text_col, shingle, percent)
-    dropped = verdict.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each group of near-duplicates, the least by id and text; rows without words all stay."""
+    text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    # A row is known by its id and two hashes of its text; a struct without nulls, so null ids are joined too.
+    key = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(text).alias("x"),
+                   F.xxhash64(F.lit(1), text).alias("y"))
+    keyed = docs.withColumn("_key", key)
+    features = _featured(keyed.select(F.col("_key").alias("doc_id"), text.alias("text")), shingle).withColumnRenamed("doc_id", "_key")
+    wordy = features.filter("n_shingles > 0")
+    # Numbered when written: the numbers are read back from there.
+    nodes = materialise(wordy.groupBy("set_x", "set_y").agg(
+        F.min("_key").alias("_key"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", "_key").join(ids.distinct(), "node", "left_semi")
+        # Rows that repeat an id and text are one node's text once.
+        return keyed.select("_key", text.alias("text")).join(wanted.hint("merge"), "_key") \
+            .groupBy("_key", "node").agg(F.first("text").alias("text")).select("node", "text")
+
+    found = _linked(nodes.drop("_key"), texts_of, shingle, percent, BLOCK)
+    least = _labelled(nodes.select("node", "_key"), found, "node", "component").groupBy("component") \
+        .agg(F.min("_key").alias("_key"))
+    # Of the keys with words: how often they stand, and whether they are the least of their group.
+    rows = wordy.groupBy("_key").agg(F.count("*").alias("times")) \
+        .join(least.select("_key", F.lit(True).alias("stays")), "_key", "left")
+    # Those that go as they are, and those of which one comes back.
+    gone = materialise(rows.filter("stays IS NULL OR times > 1").select("_key", F.coalesce("stays", F.lit(False)).alias("back")),
+                       "gone")
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    kept = keyed.join(gone, "_key", "left_anti").select(*out)
+    again = gone.filter("back").select("_key")
+    if not again.take(1):
+        return kept
+    row = F.struct(*out)
+    once = keyed.join(again, "_key", "left_semi").select("_key", row.alias("_row")) \
+        .groupBy("_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return kept.unionByName(once.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))

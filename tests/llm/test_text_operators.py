@@ -328,6 +328,31 @@ def test_minhash(spark, docs, rows, block):
         assert (r.component_id, r.n_shingles, r.kept) == (expected[r.doc_id], len(sets[r.doc_id]), expected[r.doc_id] == r.doc_id)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(4)
+    long = lambda: [f"v{rng.randrange(10 ** 6)}" for _ in range(200)]
+    a, b, c, d, e = (long() for _ in range(5))
+    near = " ".join([*a[:150], "other", *a[151:]])
+    a, b, c, d, e = (" ".join(x) for x in (a, b, c, d, e))
+    # Repeated rows, an id on two texts, copies without an id, a near copy, and rows without words.
+    rows = [(5, a), (9, near), (3, b), (5, b), (7, c), (7, c), (7, c), (None, d), (None, d), (2, e), (None, e), (2, e),
+            (None, None), (None, ""), (8, " "), (8, " ")]
+    frame = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, source string, n_chars int")
+    sets = {i: {tuple(_split(t)[k:k + 5]) for k in range(len(_split(t)) - 4)} for i, (_, t) in enumerate(rows)}
+    groups = defaultdict(list)
+    for i, root in _components(sets, 80).items():
+        groups[root].append(i)
+    expected = Counter(rows[min(own, key=lambda i: (rows[i][0] is None, rows[i][0] or 0))] for own in groups.values())
+    for many in (1, 4):
+        stage = minhash.keep_one(frame.repartition(many))
+        assert stage.columns == frame.columns
+        assert Counter((r.doc_id, r.text) for r in stage.collect()) == expected
+    # The next stage finds nothing left to take out.
+    last = substring_dedup.strip_repeats(minhash.keep_one(frame), window=50)
+    texts = {r.text for r in last.collect()}
+    assert {b, c, d, e} <= texts and len(texts & {a, near}) == 1
+
+
 def test_shuffle(docs, rows):
     first = {r.doc_id: r for r in shuffle.assign(docs, 5, bucket_bytes=20_000).collect()}
     again = {r.doc_id: r for r in shuffle.assign(docs, 5, bucket_bytes=20_000).collect()}
