@@ -13,7 +13,7 @@ from ..operators import checks as Q
 from ..operators import filters as L
 from ..operators import matching as M
 from ..operators import statistics as S
-from ..plans.scan import id_block
+
 from ..schema import WORKBOOK_CURRENCIES
 from .filters_and_totals import MONTHS
 from .registry import query
@@ -107,7 +107,7 @@ SELECT *, coalesce(lag(lvl) OVER (PARTITION BY card_id ORDER BY txn_date, transa
 def chain_breaks_resync(spark, d):
     s, a = _statements(spark, d)
     s = s.withColumn("reseed_balance", F.when(F.floor(F.col("transaction_id") / 10) % 101 == 0, F.col("statement_balance")))
-    return C.chain_breaks_resync(s, a, ["txn_date", "transaction_id"], [F.col("txn_date"), id_block("transaction_id")]).select(
+    return C.chain_breaks_resync(s, a, ["txn_date", "transaction_id"]).select(
         "transaction_id", "card_id", "computed", "printed", "delta", "kind")
 
 

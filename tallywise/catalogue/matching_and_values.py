@@ -80,7 +80,7 @@ def match_by_balance(spark, d):
 @query("match_by_id", "J14", """
 SELECT line, CASE WHEN error IS NULL THEN id END AS held_id, error FROM (
 SELECT l.line, t.transaction_id AS id, CASE WHEN gid = '' THEN 'The line gives no id.'
-  WHEN min(l.line) OVER (PARTITION BY gid) <> l.line THEN 'The same ledger id appears on row ' || CAST(min(l.line) OVER (PARTITION BY gid) AS VARCHAR) || ' of this file.'
+  WHEN min(l.line) OVER (PARTITION BY gid) <> l.line THEN 'Given before, in line ' || CAST(min(l.line) OVER (PARTITION BY gid) AS VARCHAR)
   WHEN t.transaction_id IS NULL THEN 'The ledger has no row of this id.'
   WHEN t.card_id <> l.card_id THEN 'The row of this id is in another account.' END AS error
 FROM (SELECT line, card_id + CASE WHEN line % 13 = 0 THEN 1 ELSE 0 END AS card_id,

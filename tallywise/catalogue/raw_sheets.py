@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import accounts, transactions
 from ..operators import sheets as H
-from ..plans.scan import cut_lineage, id_block, numbered
+from ..plans.scan import cut_lineage, position, walk
 from ..sources import files as files_
 from .registry import query
 
@@ -39,7 +39,7 @@ def placed(spark, d):
     """Rows of accounts with their place in the account's sheet."""
     t = transactions(spark, d).filter("status <> 'voided'").select(
         "card_id", "transaction_id", "txn_date", "amount_aed", "supplier_raw", "req_number", "payment_ref")
-    return numbered(t, ["card_id"], ["txn_date", "transaction_id"], "pos", [F.col("txn_date"), id_block("transaction_id")])
+    return walk(t, ["card_id"], ["txn_date", "transaction_id"], [position("pos")])
 
 
 def cells(spark, d):

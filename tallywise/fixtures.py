@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.scan import id_block, running_sum, scan
+from .plans.scan import running_sum, walk
 from .schema import MONEY
 
 
@@ -88,15 +88,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(txn_date AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, ok % 80000 + CASE WHEN k = 1 THEN 30 + 60 * (ok % 2) ELSE 0 END) AS created_at")
 
 
-def statement_lines(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bank rows with the balance the bank printed: some missing, some one off."""
     t = transactions(spark, sf_dir).filter("status <> 'voided'")
     a = accounts(spark, sf_dir).filter("card_type = 'bank_account'").select("card_id", "opening_balance")
     rows = t.join(a, "card_id")
-    from .plans.scan import HOT_ROWS
-    rows = scan(rows, ["card_id"], ["txn_date", "transaction_id"],
-                [F.col("txn_date"), id_block("transaction_id")],
-                [running_sum("moved", F.col("amount_aed"))], hot_rows or HOT_ROWS)
+    rows = walk(rows, ["card_id"], ["txn_date", "transaction_id"], [running_sum("moved", F.col("amount_aed"))])
     ok = F.floor(F.col("transaction_id") / 10)
     return rows.withColumn(
         "statement_balance",

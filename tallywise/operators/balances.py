@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_key
 from ..functions.text import is_blank
-from ..plans.scan import HOT_ROWS, Measure, id_block, running_sum, scan
+from ..plans.scan import Measure, running_sum, scan, walk
 from ..schema import ADJUSTMENT, MONEY, MONEY_SUM, SOURCE, TOLERANCE
 from .filters import supplier_name, with_account
 
@@ -246,7 +246,7 @@ def bank_period(txn: DataFrame, acct: DataFrame, date_from: str, date_to: str) -
     return base.join(agreed, "card_id", "left")
 
 
-def bank_months(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def bank_months(txn: DataFrame, acct: DataFrame) -> DataFrame:
     """Every account month by month; each opening is the closing before it.
 
     Months are summed first, so the running sum walks months, not rows.
@@ -256,8 +256,8 @@ def bank_months(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS
         (-_sum_if(F.col("amount_aed") < 0)).cast(MONEY_SUM).alias("paid_out"),
         _sum_if(F.col("amount_aed") >= 0).alias("came_in"), F.count(F.lit(1)).alias("row_count"),
         F.max("txn_date").alias("last_day"))
-    moved = scan(months, ["card_id"], ["month"], [],
-                 [running_sum("moved", F.col("came_in") - F.col("paid_out"))], None)
+    moved = walk(months, ["card_id"], ["month"],
+                 [running_sum("moved", F.col("came_in") - F.col("paid_out"))])
     named = with_account(moved, acct, "card_name", "settlement_currency", "opening_balance")
     return named.select(
         "card_id", "card_name", "settlement_currency", "month",
@@ -292,38 +292,33 @@ def extraction_summary(txn: DataFrame, opening: DataFrame) -> DataFrame:
         z("review_adjustments_total").alias("review_adjustments_total"), n("needs_review"), n("excluded"))
 
 
-def running_balance(txn: DataFrame, acct: DataFrame, order=("txn_date", "transaction_id"), blocks=None,
-                    use_sign: bool = False, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def running_balance(txn: DataFrame, acct: DataFrame, order=("txn_date", "transaction_id"),
+                    use_sign: bool = False) -> DataFrame:
     """The balance after every line, in the given order.
 
-    A crowded account is cut into days and stretches of ids; no task ever walks
-    a whole account that is larger than ``hot_rows``.
+    No task walks a crowded account: it is cut into ranges of the order.
     """
     step = F.col("amount_aed") * F.col("balance_sign") if use_sign else F.col("amount_aed")
     columns = ("opening_balance", "balance_sign") if use_sign else ("opening_balance",)
     rows = with_account(txn, acct, *columns)
-    if blocks is None:
-        blocks = [F.col("txn_date"), id_block("transaction_id")]
-    moved = scan(rows, ["card_id"], list(order), blocks, [running_sum("_moved", step)], hot_rows)
+    moved = scan(rows, ["card_id"], list(order), [running_sum("_moved", step)])
     return moved.withColumn("running_balance", (F.col("opening_balance") + F.col("_moved")).cast(MONEY_SUM)) \
         .drop("_moved", *columns)
 
 
-def balance_history(txn: DataFrame, acct: DataFrame, include_voided: bool = False,
-                    hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def balance_history(txn: DataFrame, acct: DataFrame, include_voided: bool = False) -> DataFrame:
     """Points of a balance chart: dated source transactions, oldest first."""
     rows = txn.filter((F.col("entry_type") == SOURCE) & F.col("txn_date").isNotNull())
     if not include_voided:
         rows = rows.filter(_live())
-    return running_balance(rows.select("card_id", "txn_date", "transaction_id", "amount_aed"), acct,
-                           hot_rows=hot_rows).select(
+    return running_balance(rows.select("card_id", "txn_date", "transaction_id", "amount_aed"), acct).select(
         "card_id", "transaction_id", "txn_date", F.col("running_balance").cast(MONEY_SUM).alias("balance"))
 
 
 def month_continuity(months: DataFrame) -> DataFrame:
     """Months that do not open where the one before closed."""
-    linked = scan(months, ["card_id"], ["month"], [],
-                  [Measure("closed_before", "prev", F.col("closing"), MONEY_SUM)], None)
+    linked = walk(months, ["card_id"], ["month"],
+                  [Measure("closed_before", "prev", F.col("closing"), MONEY_SUM)])
     return linked.filter(F.abs(F.col("opening") - F.col("closed_before")) > F.lit(TOLERANCE).cast("decimal(4,3)"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, swapped
 from ..functions.text import is_blank
-from ..plans.scan import HOT_ROWS, Measure, id_block, numbered, running_sum, scan, settle
+from ..plans.scan import Measure, cut_lineage, numbered, place, running_sum, scan, unplaced, walk
 from ..schema import MONEY, MONEY_SUM, TOLERANCE
 from .filters import with_account
 
@@ -21,13 +21,12 @@ def near(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a - b) < F.lit(TOLERANCE).cast("decimal(4,3)"), F.lit(False))
 
 
-def sheet_direction(printed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def sheet_direction(printed: DataFrame) -> DataFrame:
     """Per account and sheet: forward, or backward where more balances chain that way."""
     chained = scan(
         printed, ["card_id", "_sheet"], ["_row", "transaction_id"],
-        [id_block("_row"), F.col("_row"), id_block("transaction_id")],
         [Measure("_above", "prev", F.col("statement_balance"), MONEY),
-         Measure("_below", "next", F.col("statement_balance"), MONEY)], hot_rows)
+         Measure("_below", "next", F.col("statement_balance"), MONEY)])
     balance, amount = F.col("statement_balance"), F.col("amount_aed")
     return chained.groupBy("card_id", "_sheet").agg(
         F.count_if(near(balance, F.col("_above") + amount)).alias("forward"),
@@ -43,62 +42,68 @@ def _sheeted(txn: DataFrame) -> DataFrame:
 PLACE = "struct<earliest:date,sheet:string,line:bigint,id:bigint>"
 
 
-def bank_order(txn: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+LINE = ["card_id", "transaction_id", "txn_date", "amount_aed", "statement_balance"]
+
+
+def bank_order(txn: DataFrame) -> DataFrame:
     """Number each account's lines as the bank printed them (``line_no``).
 
     Each sheet runs in the direction its own arithmetic holds; sheets follow
     the earliest day they cover.  A line without a printed balance goes behind
     the last placed line dated on or before it.
     """
-    hot_rows = settle(txn, ["card_id"], hot_rows)
-    rows = _sheeted(txn)
+    return txn.join(_lined(txn).select("transaction_id", "line_no"), "transaction_id").select(*txn.columns, "line_no")
+
+
+def _lined(txn: DataFrame) -> DataFrame:
+    """``LINE`` and ``line_no``, with the columns of ``place`` for scans along ``line_no``.
+
+    Lines are put into three orders, so only what the orders need is carried; that is
+    written first, since every scan reads its input three times.
+    """
+    rows = cut_lineage(_sheeted(txn).select(*LINE, "_sheet", "_row"))
     has = F.col("statement_balance").isNotNull()
-    votes = sheet_direction(rows.filter(has), hot_rows)
+    votes = sheet_direction(rows.filter(has))
     way = F.when(F.col("backward") > F.col("forward"), -1).otherwise(1)
-    placed = rows.filter(has).join(
-        votes.select("card_id", "_sheet", way.alias("_way"), "earliest"), ["card_id", "_sheet"])
-    placed = placed.withColumn("_place", F.struct(
+    voted = rows.join(votes.select("card_id", "_sheet", way.alias("_way"), "earliest"), ["card_id", "_sheet"], "left")
+    both = voted.withColumn("_place", F.when(has, F.struct(
         F.col("earliest"), F.col("_sheet").alias("sheet"), (F.col("_way") * F.col("_row")).alias("line"),
-        (F.col("_way") * F.col("transaction_id")).alias("id")).cast(PLACE)).drop("_way", "earliest")
-    loose = rows.filter(~has).withColumn("_place", F.lit(None).cast(PLACE))
-    both = placed.unionByName(loose).withColumn("_loose", F.col("_place").isNull())
-    anchored = scan(both, ["card_id"], ["txn_date", "_loose", "transaction_id"],
-                    [F.col("txn_date"), F.col("_loose"), id_block("transaction_id")],
-                    [Measure("_anchor", "max", F.col("_place"), PLACE)], hot_rows)
+        (F.col("_way") * F.col("transaction_id")).alias("id")).cast(PLACE))) \
+        .select(*LINE, "_place", F.col("_place").isNull().alias("_loose"))
+    anchored = cut_lineage(scan(both, ["card_id"], ["txn_date", "_loose", "transaction_id"],
+                                [Measure("_anchor", "max", F.col("_place"), PLACE)]))
     at = F.coalesce("_place", "_anchor")
-    ordered = anchored.withColumns({
-        "_p1": at["earliest"], "_p2": at["sheet"], "_p3": at["line"], "_p4": at["id"],
-        "_p6": F.when(F.col("_loose"), F.col("txn_date"))})
-    order = ["_p1", "_p2", "_p3", "_p4", "_loose", "_p6", "transaction_id"]
-    return numbered(ordered, ["card_id"], order, "line_no",
-                    [F.col("_p1"), F.col("_p2"), id_block("_p3"), F.col("_p3"), F.col("_p4"), F.col("_loose"), F.col("_p6"),
-                     id_block("transaction_id")], hot_rows).drop("_sheet", "_row", "_place", "_anchor", "_loose", "_p1", "_p2", "_p3", "_p4", "_p6")
+    order = [at["earliest"], at["sheet"], at["line"], at["id"], F.col("_loose"), F.when(F.col("_loose"), F.col("txn_date")),
+             F.col("transaction_id")]
+    return numbered(place(anchored, ["card_id"], order), ["card_id"], order, "line_no").drop("_place", "_anchor", "_loose")
 
 
-def in_bank_order(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def in_bank_order(txn: DataFrame, acct: DataFrame) -> DataFrame:
     """Bank-ordered lines with the ledger's own running balance beside each."""
-    hot_rows = settle(txn, ["card_id"], hot_rows)
-    rows = with_account(bank_order(txn, hot_rows), acct, "opening_balance")
-    return scan(rows, ["card_id"], ["line_no"], [id_block("line_no")],
-                [running_sum("_moved", F.col("amount_aed"))], hot_rows) \
-        .withColumn("running_balance", (F.col("opening_balance") + F.col("_moved")).cast(MONEY_SUM)).drop("_moved")
+    run = scan(_lined(txn), ["card_id"], ["line_no"], [running_sum("_moved", F.col("amount_aed"))])
+    rows = with_account(txn.join(run.select("transaction_id", "line_no", "_moved"), "transaction_id"), acct, "opening_balance")
+    return rows.withColumn("running_balance", (F.col("opening_balance") + F.col("_moved")).cast(MONEY_SUM)) \
+        .select(*txn.columns, "line_no", "opening_balance", "running_balance")
 
 
-def chain_lines(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Every printed balance against the running total of the printed lines."""
-    hot_rows = settle(txn, ["card_id"], hot_rows)
-    printed = bank_order(txn, hot_rows).filter(F.col("statement_balance").isNotNull())
-    rows = with_account(printed, acct, "opening_balance")
-    run = scan(rows, ["card_id"], ["line_no"], [id_block("line_no")],
-               [running_sum("_moved", F.col("amount_aed"))], hot_rows)
+def _chain(txn: DataFrame, acct: DataFrame) -> DataFrame:
+    """Every printed line against the running total of the printed lines."""
+    printed = _lined(txn).filter(F.col("statement_balance").isNotNull())
+    run = unplaced(scan(printed, ["card_id"], ["line_no"], [running_sum("_moved", F.col("amount_aed"))]))
     total = (F.col("opening_balance") + F.col("_moved")).cast(MONEY_SUM)
-    return run.withColumn("running_balance", total) \
+    return with_account(run, acct, "opening_balance").withColumn("running_balance", total) \
         .withColumn("agrees", near(F.col("running_balance"), F.col("statement_balance"))).drop("_moved", "opening_balance")
 
 
-def chain_check(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def chain_lines(txn: DataFrame, acct: DataFrame) -> DataFrame:
+    """Every printed balance against the running total of the printed lines."""
+    figures = ["line_no", "running_balance", "agrees"]
+    return txn.join(_chain(txn, acct).select("transaction_id", *figures), "transaction_id").select(*txn.columns, *figures)
+
+
+def chain_check(txn: DataFrame, acct: DataFrame) -> DataFrame:
     """Per account: lines walked, lines agreeing, and the first break."""
-    lines = chain_lines(txn, acct, hot_rows)
+    lines = _chain(txn, acct)
     broken = F.when(~F.col("agrees"), F.col("line_no"))
     return lines.groupBy("card_id").agg(
         F.count(F.lit(1)).alias("lines"), F.count_if("agrees").alias("agreed"),
@@ -107,8 +112,8 @@ def chain_check(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS
         F.min_by("statement_balance", broken).alias("bank_says"))
 
 
-def chain_breaks_resync(rows: DataFrame, opening: DataFrame, order: Sequence[str], blocks: Sequence[Column],
-                        keys: Sequence[str] = ("card_id",), hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def chain_breaks_resync(rows: DataFrame, opening: DataFrame, order: Sequence[str],
+                        keys: Sequence[str] = ("card_id",)) -> DataFrame:
     """Printed balances checked from the figure printed before them.
 
     One mistake is one finding: after a break the printed figure is taken over.
@@ -121,14 +126,12 @@ def chain_breaks_resync(rows: DataFrame, opening: DataFrame, order: Sequence[str
     if "reseed_balance" not in rows.columns:
         rows = rows.withColumn("reseed_balance", F.lit(None).cast(MONEY))
     counted = rows.filter(F.col("amount_aed").isNotNull() & F.col("included_in_source_balance"))
-    hot_rows = settle(counted, keys, hot_rows)
     counted = counted.join(opening.select(*keys, F.col("opening_balance").alias("_opening")), keys)
     printed = F.coalesce("reseed_balance", "statement_balance")
-    walked = scan(counted, keys, list(order), list(blocks), [running_sum("_moved", F.col("amount_aed"))], hot_rows)
+    walked = scan(place(counted, keys, list(order)), keys, list(order), [running_sum("_moved", F.col("amount_aed"))])
     # Printed figure minus everything moved so far: constant while the chain holds.
     walked = walked.filter(printed.isNotNull()).withColumn("_level", (printed - F.col("_moved")).cast(MONEY_SUM))
-    based = scan(walked, keys, list(order), list(blocks),
-                 [Measure("_base", "prev", F.col("_level"), MONEY_SUM)], hot_rows)
+    based = unplaced(scan(walked, keys, list(order), [Measure("_base", "prev", F.col("_level"), MONEY_SUM)]))
     computed = (F.coalesce("_base", "_opening") + F.col("_moved")).cast(MONEY_SUM)
     return based.withColumns({
         "computed": computed, "printed": printed.cast(MONEY_SUM), "delta": (computed - printed).cast(MONEY_SUM),
@@ -144,7 +147,7 @@ def sheet_starts(txn: DataFrame) -> DataFrame:
     return txn.join(starts, same, "left").drop(starts["card_id"]).drop(starts["source_sheet"])
 
 
-def balance_voting(lines: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def balance_voting(lines: DataFrame) -> DataFrame:
     """Which money column lowers the balance, by each sheet's own arithmetic.
 
     ``lines`` holds ``file, sheet, row, debit, credit, balance``.  Each pair of
@@ -157,8 +160,8 @@ def balance_voting(lines: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFra
     rows = lines.filter(F.col("balance").isNotNull()).select(
         "file", "sheet", "row", z("debit").alias("d"), z("credit").alias("c"), F.col("balance").cast(num).alias("b"))
     line = F.struct("d", "c", "b")
-    paired = scan(rows, ["file", "sheet"], ["row"], [id_block("row")],
-                  [Measure("p", "prev", line, f"struct<d:{num},c:{num},b:{num}>")], hot_rows)
+    paired = scan(rows, ["file", "sheet"], ["row"],
+                  [Measure("p", "prev", line, f"struct<d:{num},c:{num},b:{num}>")])
     paired = paired.filter(F.col("p").isNotNull())
     p = lambda x: F.col("p")[x]
     d, c, b = F.col("d"), F.col("c"), F.col("b")
@@ -177,17 +180,17 @@ def balance_voting(lines: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFra
                                              .otherwise("credit")))
 
 
-def bracket_dates(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def bracket_dates(rows: DataFrame) -> DataFrame:
     """Nearest certain date above and below every row of a sheet.
 
     ``rows`` holds ``file, sheet, row, date, certain``.
     """
     sure = F.when(F.col("certain"), F.col("date"))
-    return scan(rows, ["file", "sheet"], ["row"], [id_block("row")],
-                [Measure("date_before", "prev", sure, "date"), Measure("date_after", "next", sure, "date")], hot_rows)
+    return scan(rows, ["file", "sheet"], ["row"],
+                [Measure("date_before", "prev", sure, "date"), Measure("date_after", "next", sure, "date")])
 
 
-def date_audit(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def date_audit(rows: DataFrame) -> DataFrame:
     """Per sheet: do the ambiguous dates read as written, or transposed?
 
     ``rows`` holds ``file, sheet, row, date, kind`` with kind ``datetime`` or
@@ -196,7 +199,7 @@ def date_audit(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     day = F.dayofmonth("date")
     rows = rows.filter(F.col("date").isNotNull()).withColumn(
         "certain", (F.col("kind") == "text") | (day > 12))
-    seen = bracket_dates(rows, hot_rows)
+    seen = bracket_dates(rows)
 
     def fits(x: Column) -> Column:
         return (x.isNotNull() & (F.col("date_before").isNull() | (x >= F.col("date_before")))
@@ -233,15 +236,14 @@ def latest_stated(txn: DataFrame) -> DataFrame:
         .filter(F.col("_l").isNotNull()).select("card_id", "_l.*", "rows_without_a_stated_balance")
 
 
-def bank_daily_check(txn: DataFrame, acct: DataFrame, balances: DataFrame, order: str = "source_row",
-                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def bank_daily_check(txn: DataFrame, acct: DataFrame, balances: DataFrame, order: str = "source_row") -> DataFrame:
     """What the bank last printed against what the ledger holds.
 
     ``order='source_row'`` takes the highest row number of the last day;
     ``'bank'`` the line the bank really printed last.
     """
     if order == "bank":
-        lined = bank_order(txn.filter("status <> 'voided'"), hot_rows)
+        lined = bank_order(txn.filter("status <> 'voided'"))
         lined = lined.withColumns({"source_row": F.col("line_no"), "status": F.lit("confirmed")})
         last = latest_stated(lined)
     else:
@@ -257,10 +259,10 @@ def bank_daily_check(txn: DataFrame, acct: DataFrame, balances: DataFrame, order
         "rows_without_a_stated_balance")
 
 
-def account_chain_audit(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def account_chain_audit(txn: DataFrame, acct: DataFrame) -> DataFrame:
     """The whole bank audit: chain, last printed against balance now, open requests."""
     live = txn.filter("status <> 'voided'")
-    lines = chain_lines(live, acct, hot_rows)
+    lines = _chain(live, acct)
     chain = lines.groupBy("card_id").agg(
         F.count(F.lit(1)).alias("lines"), F.count_if("agrees").alias("agreed"),
         F.max_by("statement_balance", "line_no").alias("last_printed"))
@@ -319,24 +321,22 @@ def out_of_month(rows: DataFrame) -> DataFrame:
         "txn_date": F.when(odd, fixed).otherwise(F.col("txn_date"))})
 
 
-def import_months(lines: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def import_months(lines: DataFrame) -> DataFrame:
     """Month sheets: does each chain hold, and does each open where the last closed?
 
     ``lines`` holds ``card_id, month, seq, opening, debit, credit, balance`` with
     ``opening`` on every row of a month (null where the sheet states none).
     """
-    hot_rows = settle(lines, ["card_id", "month"], hot_rows)
     step = (F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))).cast(MONEY_SUM)
-    walked = scan(lines, ["card_id", "month"], ["seq"], [id_block("seq")], [running_sum("_moved", step)], hot_rows)
+    walked = scan(place(lines, ["card_id", "month"], ["seq"]), ["card_id", "month"], ["seq"], [running_sum("_moved", step)])
     walked = walked.withColumn("_level", (F.col("balance") - F.col("_moved")).cast(MONEY_SUM))
-    based = scan(walked, ["card_id", "month"], ["seq"], [id_block("seq")],
-                 [Measure("_base", "prev", F.col("_level"), MONEY_SUM)], hot_rows)
+    based = scan(walked, ["card_id", "month"], ["seq"], [Measure("_base", "prev", F.col("_level"), MONEY_SUM)])
     start = F.coalesce("_base", "opening")
     broke = F.col("balance").isNotNull() & start.isNotNull() & ~near(start + F.col("_moved"), F.col("balance"))
     months = based.groupBy("card_id", "month").agg(
         F.max("opening").alias("opening"), F.count(F.lit(1)).alias("row_count"), F.count_if(broke).alias("chain_breaks"),
         F.max_by(F.coalesce("balance", (F.coalesce("_base", "opening") + F.col("_moved")).cast(MONEY_SUM)), "seq").cast(MONEY_SUM).alias("closing"))
-    linked = scan(months, ["card_id"], ["month"], [],
-                  [Measure("carried", "prev", F.col("closing"), MONEY_SUM)], None)
+    linked = walk(months, ["card_id"], ["month"],
+                  [Measure("carried", "prev", F.col("closing"), MONEY_SUM)])
     return linked.withColumn("join_break", F.coalesce(F.abs(F.col("opening") - F.col("carried"))
                                                       > F.lit(TOLERANCE).cast("decimal(4,3)"), F.lit(False)))

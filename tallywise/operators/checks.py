@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import (content_signature, dedup_key, rate_formula_denominator, review_kind,
                               shown_supplier)
 from ..functions.text import is_blank
-from ..plans.scan import HOT_ROWS, Measure, id_block, numbered, scan, settle
+from ..plans.scan import Measure, numbered, scan
 from ..schema import (ADJUSTMENT, DIRECTIONS, ENTRY_TYPES, MONEY_SUM, RATE, SOURCE, STATUSES, TOLERANCE)
 from .filters import with_account
 from .matching import cross_check, only_new
@@ -92,7 +92,7 @@ def possible_duplicates(txn: DataFrame, acct: DataFrame) -> DataFrame:
         ((F.col("distinct_sources") > 1) | apart).alias("entered_separately"))
 
 
-def duplicate_members(txn: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def duplicate_members(txn: DataFrame) -> DataFrame:
     """Every row of every duplicate group, numbered in source and entry order."""
     rows = _alike(txn)
     groups = rows.groupBy(*ALIKE).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
@@ -100,10 +100,7 @@ def duplicate_members(txn: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFr
     same = rows.join(g, [F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in ALIKE]).drop(*[f"_g{c}" for c in ALIKE])
     # Rows without a source row come last.
     rank = F.coalesce(F.col("source_row").cast("bigint"), F.lit(2**62))
-    hour = F.date_trunc("hour", F.col("created_at"))
-    return numbered(same, ALIKE, [rank, F.col("created_at"), F.col("transaction_id")], "member_no",
-                    [id_block(rank), rank, hour, F.date_trunc("minute", F.col("created_at")), F.col("created_at"),
-                     id_block("transaction_id")], hot_rows).select(
+    return numbered(same, ALIKE, [rank, F.col("created_at"), F.col("transaction_id")], "member_no").select(
         "card_id", "txn_date", "amount_aed", "supplier", F.col("_pay").alias("payment_ref"), "copies", "member_no",
         "transaction_id", F.coalesce("source_row", F.lit(0)).alias("source_row"))
 
@@ -149,7 +146,7 @@ def _amount_pairs(amounts: DataFrame) -> DataFrame:
     return met.filter(factor.isin(*FACTORS) & close).select("card_id", "supplier", "big", "small", factor.alias("factor")).distinct()
 
 
-def suspect_amounts(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def suspect_amounts(txn: DataFrame, acct: DataFrame) -> DataFrame:
     """Amounts that look like a misplaced decimal point, each with its best comparison.
 
     Best is: same day, then nearest day, then lowest id.  Rows are folded to one
@@ -162,7 +159,6 @@ def suspect_amounts(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_
     partner = F.struct(F.col("transaction_id").alias("id"), F.col("amount_aed").alias("amount"))
     days = rows.groupBy("card_id", "supplier", "cents", "txn_date").agg(F.min(partner).alias("held"))
     # A partner amount meets at most the charge days of its own supplier, twice.
-    hot_rows = settle(days, ["card_id", "supplier"], hot_rows and hot_rows // 2)
     amounts = days.select("card_id", "supplier", "cents").distinct()
     pairs = _amount_pairs(amounts)
 
@@ -175,9 +171,8 @@ def suspect_amounts(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_
     events = offers.select("card_id", "supplier", "small", "txn_date", offer.cast(kind).alias("offer"),
                            F.lit(0).cast("bigint").alias("big"), F.lit(0).cast("bigint").alias("factor")) \
         .unionByName(asks.withColumn("offer", F.lit(None).cast(kind)))
-    walked = scan(events, ["card_id", "supplier", "small"], ["txn_date", "big"], [F.trunc("txn_date", "month")],
-                  [Measure("before", "prev", F.col("offer"), kind), Measure("after", "next", F.col("offer"), kind)],
-                  hot_rows).filter("big > 0")
+    walked = scan(events, ["card_id", "supplier", "small"], ["txn_date", "big"],
+                  [Measure("before", "prev", F.col("offer"), kind), Measure("after", "next", F.col("offer"), kind)]).filter("big > 0")
 
     def ranked(o: str) -> Column:
         day = F.col(o)["day"]
@@ -201,9 +196,9 @@ def suspect_amounts(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_
         F.abs(F.datediff("b.day", "txn_date")).alias("days_apart"), "currency", "source_sheet", "source_row")
 
 
-def suspect_rates(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def suspect_rates(txn: DataFrame, acct: DataFrame) -> DataFrame:
     """Settled rates over five times, or under a fifth of, the month's median."""
-    usual = monthly_median(txn, hot_rows=hot_rows).filter("median_rate > 0")
+    usual = monthly_median(txn).filter("median_rate > 0")
     rate = F.col("normalized_exchange_rate")
     rows = txn.filter((F.col("entry_type") == SOURCE) & (F.col("status") != "voided") & rate.isNotNull()) \
         .withColumn("month", F.date_format("txn_date", "yyyy-MM")).join(usual, ["currency", "month"])
@@ -249,12 +244,11 @@ def open_review_items(txn: DataFrame, acct: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- occurrences
 
-def assign_occurrence(txn: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def assign_occurrence(txn: DataFrame) -> DataFrame:
     """Number the copies of each content signature and derive the dedup key."""
     rank = F.coalesce(F.col("source_row").cast("bigint"), F.lit(0).cast("bigint"))
     signed = txn.withColumn("signature", content_signature())
-    counted = numbered(signed, ["signature"], [rank, F.col("transaction_id")], "occurrence",
-                       [id_block(rank), rank, id_block("transaction_id")], hot_rows)
+    counted = numbered(signed, ["signature"], [rank, F.col("transaction_id")], "occurrence")
     return counted.withColumn("dedup_key", dedup_key(F.col("signature"), F.col("occurrence"))).drop("signature")
 
 

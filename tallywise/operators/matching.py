@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import swapped
 from ..functions.keys import content_signature, copy_key
 from ..functions.text import is_narrative, squeeze, supplier_key, voucher_of
-from ..plans.scan import HOT_ROWS, Measure, cut_lineage, id_block, position, scan, settle
+from ..plans.scan import Measure, cut_lineage, place, position, scan, unplaced, walk
 from ..schema import MONEY_SUM, TOLERANCE
 
 
@@ -64,8 +64,7 @@ def repoint_suppliers(txn: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def counted_match(lines: DataFrame, ledger: DataFrame, keys: Sequence[str], line: str = "line",
-                  row_id: str = "transaction_id", hot_rows: int | None = HOT_ROWS,
-                  ledger_hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                  row_id: str = "transaction_id") -> DataFrame:
     """The k-th copy in the file meets the k-th copy in the ledger.
 
     Adds ``copy`` (which copy of its key the line is), ``held`` (copies in the
@@ -74,10 +73,10 @@ def counted_match(lines: DataFrame, ledger: DataFrame, keys: Sequence[str], line
     million keys.
     """
     keys = list(keys)
-    ours = scan(lines, keys, [line], [id_block(line)],
-                [position("copy"), Measure("_first", "max", -F.col(line), "bigint")], hot_rows)
-    theirs = scan(ledger.select(*keys, F.col(row_id).alias("held_id")), keys, ["held_id"], [id_block("held_id")],
-                  [position("copy")], ledger_hot_rows)
+    ours = scan(lines, keys, [line],
+                [position("copy"), Measure("_first", "max", -F.col(line), "bigint")])
+    theirs = scan(ledger.select(*keys, F.col(row_id).alias("held_id")), keys, ["held_id"],
+                  [position("copy")])
     held = ledger.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
     met = ours.join(theirs, keys + ["copy"], "left").join(held, keys, "left")
     return met.withColumns({
@@ -88,19 +87,35 @@ def counted_match(lines: DataFrame, ledger: DataFrame, keys: Sequence[str], line
 WINDOW_DAYS = 7
 
 
-def _claims(runs: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-    """Walk one narrative's runs in file order; a run claims the only row left near it."""
-    left = {r.day: r.held_id for r in pool.itertuples()}
-    out = []
-    for r in runs.sort_values("run").itertuples():
-        near = [d for d in left if abs((d - r.day).days) <= WINDOW_DAYS]
-        claimed = left.pop(near[0]) if len(near) == 1 else None
-        out.append((r.card_id, r.cents, r.money_out, r.skey, r.run, len(near), claimed))
-    cols = ["card_id", "cents", "money_out", "skey", "run", "fits", "claimed_id"]
-    return pd.DataFrame(out, columns=cols).astype({"claimed_id": "Int64"})
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of one island after another, in file order, behind the island's rows.
 
-
-def match_other_date(lines: DataFrame, pool: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    What is handed from batch to batch is the island being swept: the days whose row is
+    still unclaimed, and at which run each asked day last changed.  Returns one line for
+    each change of ``fits``: it holds for runs of that day from ``run`` on.
+    """
+    island, left, known, out = None, {}, {}, []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            here = (r.card_id, r.cents, r.money_out, r.skey, r.island)
+            if here != island:
+                island, left, known = here, {}, {}
+            if r.run == 0:
+                left[r.at] = r.held_id
+                continue
+            near = [d for d in range(r.at - WINDOW_DAYS, r.at + WINDOW_DAYS + 1) if d in left]
+            claimed = left.pop(near[0]) if len(near) == 1 else None
+            if known.get(r.at) != len(near):
+                out.append((*here[:4], r.at, r.run, len(near), claimed))
+                known[r.at] = 0 if claimed is not None else len(near)
+                if claimed is not None:
+                    out.append((*here[:4], r.at, r.run + 1, 0, None))
+        cols = ["card_id", "cents", "money_out", "skey", "at", "run", "fits", "claimed_id"]
+        yield pd.DataFrame(out, columns=cols).astype({"claimed_id": "Int64"})
+        out = []
+
+
+def match_other_date(lines: DataFrame, pool: DataFrame) -> DataFrame:
     """Bank narratives dated up to a week apart from the row the ledger holds.
 
     ``lines`` holds ``line, card_id, cents, money_out, skey, day``; ``pool`` the
@@ -110,46 +125,70 @@ def match_other_date(lines: DataFrame, pool: DataFrame, hot_rows: int | None = H
     Both sides are folded by day before they meet, so a narrative copied many
     times costs its days and not its pairs.  A day holding two rows can never
     be claimed: any line near it always fits both.  Lines near such a day, and
-    lines near nothing, are settled without looking at the order.  For the
-    rest, lines of one day in a row act as one run, and only runs (at most one
-    pool row per day) are walked in order.
+    lines near nothing, are settled without looking at the order.  The days of
+    the rest fall into islands, cut wherever more than a week lies between two
+    days: no claim reaches over such a gap.  Where all lines of an island bear one
+    day, its first line decides.  Other islands are swept in file order, lines of
+    one day in a row as one run, in batches that hand on the unclaimed days; an
+    island is never held whole, and what the sweep returns are the few runs at
+    which the rows left near a day change.
 
     Adds ``fits`` (0, 1, or more) and ``claimed_id``.
     """
     key = ["card_id", "cents", "money_out", "skey"]
     days = pool.groupBy(*key, "day").agg(F.count(F.lit(1)).alias("n"), F.min("held_id").alias("held_id"))
-    asked = lines.select(*key, "day").distinct()
+    asked = lines.groupBy(*key, "day").agg(F.min("line").alias("first_line"))
     offsets = F.explode(F.sequence(F.lit(-WINDOW_DAYS), F.lit(WINDOW_DAYS)))
     around = asked.select(*key, F.col("day").alias("asked_day"), offsets.alias("_off")) \
         .select(*key, "asked_day", F.date_add("asked_day", F.col("_off")).alias("day"))
     reach = around.join(days, key + ["day"]).groupBy(*key, F.col("asked_day").alias("day")).agg(
-        F.sum("n").alias("near"), F.max("n").alias("most"))
-    seen = lines.join(reach, key + ["day"], "left")
-    contested = seen.filter("most = 1")
-    settled = seen.filter("most IS NULL OR most > 1").select(
-        *lines.columns, F.coalesce("near", F.lit(0)).cast("bigint").alias("fits"),
-        F.lit(None).cast("bigint").alias("claimed_id"))
-
-    blocks = [id_block("line")]
-    hot_rows = settle(contested, key, hot_rows)
-    stepped = scan(contested, key, ["line"], blocks, [Measure("_day", "prev", F.col("day"), "date")], hot_rows)
-    stepped = stepped.withColumn("_new", F.when(F.col("_day").eqNullSafe(F.col("day")), 0).otherwise(1))
-    runs_of = scan(stepped, key, ["line"], blocks, [Measure("run", "sum", F.col("_new"), "bigint")], hot_rows)
-    runs = runs_of.filter("_new = 1").select(*key, "run", "day")
-    usable = days.filter("n = 1").select(*key, "day", "held_id")
-    decided = runs.groupBy(*key).cogroup(usable.groupBy(*key)).applyInPandas(
-        _claims, "card_id bigint, cents bigint, money_out boolean, skey string, run bigint, fits bigint, claimed_id bigint")
-    walked = runs_of.join(decided, key + ["run"])
-    first = F.col("_new") == 1
-    # Only the first line of a run can claim; behind it nothing is left to fit.
-    taken = F.col("claimed_id").isNotNull()
-    return settled.unionByName(walked.select(
-        *lines.columns, F.when(taken & ~first, 0).otherwise(F.col("fits")).alias("fits"),
-        F.when(first, F.col("claimed_id")).alias("claimed_id")))
-
-
-def classify_duplicates(lines: DataFrame, ledger: DataFrame, hot_rows: int | None = HOT_ROWS,
-                        with_reference: bool = False) -> DataFrame:
+        F.sum("n").alias("near"), F.max("n").alias("most"), F.min("held_id").alias("held_id"))
+
+    # The days of one key are few by what they are: a plain window orders them.
+    at = F.unix_date("day").cast("int")
+    contested = asked.join(reach.filter("most = 1"), key + ["day"]).select(
+        *key, at.alias("at"), "first_line", "near", "held_id", F.lit(1).alias("asks"))
+    usable = days.filter("n = 1").join(contested.select(*key).distinct(), key, "left_semi").select(
+        *key, at.alias("at"), F.lit(None).cast("bigint").alias("first_line"), F.lit(None).cast("bigint").alias("near"),
+        "held_id", F.lit(0).alias("asks"))
+    along = walk(contested.unionByName(usable), key, ["at", "asks"], [Measure("_last", "prev", F.col("at"), "int")])
+    cut = F.when(F.col("at") - F.col("_last") > WINDOW_DAYS, 1).otherwise(0)
+    isles = walk(along.withColumn("_cut", cut), key, ["at", "asks"], [Measure("island", "sum", F.col("_cut"), "bigint")])
+    isles = isles.drop("_last", "_cut")
+    sizes = isles.groupBy(*key, "island").agg(F.sum("asks").alias("_asking"))
+    sized = isles.join(sizes, key + ["island"])
+    first = F.when((F.col("near") == 1), F.col("held_id"))
+    alone = sized.filter("_asking = 1 AND asks = 1").select(
+        *key, "at", F.col("near").alias("_near"), F.col("first_line").alias("_first"), first.alias("_claim"))
+
+    crossing = sized.filter("_asking > 1").drop("_asking", "first_line", "near")
+    met = lines.withColumn("at", at)
+    swept = met.join(crossing.filter("asks = 1").select(*key, "at", "island"), key + ["at"])
+    stepped = scan(place(swept, key, ["line"]), key, ["line"], [Measure("_before", "prev", F.col("at"), "int")])
+    stepped = stepped.withColumn("_new", F.when(F.col("_before").eqNullSafe(F.col("at")), 0).otherwise(1))
+    runs_of = unplaced(scan(stepped, key, ["line"], [Measure("run", "sum", F.col("_new"), "bigint")]))
+    events = runs_of.filter("_new = 1").select(*key, "island", "run", "at", F.lit(None).cast("bigint").alias("held_id")) \
+        .unionByName(crossing.filter("asks = 0").select(*key, "island", F.lit(0).cast("bigint").alias("run"), "at", "held_id"))
+    changes = events.repartition(*key, "island").sortWithinPartitions(*key, "island", "run", "at").mapInPandas(
+        _sweep, "card_id bigint, cents bigint, money_out boolean, skey string, at int, run bigint, fits bigint, claimed_id bigint")
+    steps = changes.groupBy(*key, "at").agg(F.sort_array(F.collect_list(F.struct("run", "fits", "claimed_id"))).alias("_steps"))
+    # A day has 15 days near it, so at most 17 changes.
+    walked = runs_of.join(steps, key + ["at"]).withColumn("_now", F.element_at(F.filter(
+        "_steps", lambda s: s["run"] <= F.col("run")), -1))
+    opens = (F.col("_new") == 1) & (F.col("_now")["run"] == F.col("run"))
+    taken = (F.col("_now")["claimed_id"].isNotNull()) & ~opens
+    decided = walked.select(*lines.columns, F.when(taken, 0).otherwise(F.col("_now")["fits"]).alias("fits"),
+                            F.when(opens, F.col("_now")["claimed_id"]).alias("claimed_id"))
+
+    seen = met.join(reach.select(*key, at.alias("at"), "near", "most"), key + ["at"], "left") \
+        .join(alone, key + ["at"], "left").filter("most IS NULL OR most > 1 OR _near IS NOT NULL")
+    later = (F.col("_claim").isNotNull()) & (F.col("line") != F.col("_first"))
+    settled = seen.select(*lines.columns, F.when(later, 0).otherwise(F.coalesce("near", F.lit(0))).cast("bigint").alias("fits"),
+                          F.when(F.col("line") == F.col("_first"), F.col("_claim")).alias("claimed_id"))
+    return settled.unionByName(decided)
+
+
+def classify_duplicates(lines: DataFrame, ledger: DataFrame, with_reference: bool = False) -> DataFrame:
     """Which lines of a file are already in the ledger, and how they were recognised.
 
     ``lines`` holds ``line, card_id, txn_date, amount_aed, supplier_raw``;
@@ -171,17 +210,15 @@ def classify_duplicates(lines: DataFrame, ledger: DataFrame, hot_rows: int | Non
 
     whole = lines.filter(F.col("txn_date").isNotNull() & F.col("amount_aed").isNotNull())
     odd = lines.filter(F.col("txn_date").isNull() | F.col("amount_aed").isNull())
+    # Several steps read these: computing them once and keeping them in the shared folder is cheaper.
     held_rows = keyed(ledger, copy_key()).select(
         *key, "transaction_id", "status", (F.col("amount_aed") < 0).alias("money_out"),
         is_narrative(F.coalesce("supplier_raw", "description")).alias("narrative")) \
         .filter(F.col("day").isNotNull())
-    ours = keyed(whole, supplier_key(F.col("supplier_raw")))
+    held_rows = cut_lineage(held_rows)
+    ours = cut_lineage(keyed(whole, supplier_key(F.col("supplier_raw"))))
 
-    # Crowding is looked for on the part of the key that costs nothing to read;
-    # a key that is not crowded there cannot be crowded with the supplier added.
-    cheap = ["card_id", "day", "cents"]
-    first = counted_match(ours, held_rows, key, hot_rows=settle(ours, cheap, hot_rows),
-                          ledger_hot_rows=settle(held_rows, cheap, hot_rows))
+    first = counted_match(ours, held_rows, key)
     turned = held_rows.groupBy(*key).agg(F.min("transaction_id").alias("swapped_id"))
     rest = [k for k in key if k != "day"]
     asked = first.withColumn("_turned", F.when((F.col("held") == 0) & (swapped(F.col("day")) != F.col("day")),
@@ -196,7 +233,7 @@ def classify_duplicates(lines: DataFrame, ledger: DataFrame, hot_rows: int | Non
         .select("card_id", "cents", "money_out", "skey", "day", F.col("transaction_id").alias("held_id"))
     open_lines = second.filter(matched.isNull() & is_narrative(F.col("supplier_raw"))).select(
         "line", "card_id", "cents", (F.col("amount_aed") < 0).alias("money_out"), "skey", "day")
-    near = match_other_date(open_lines, pool, hot_rows).select("line", "fits", "claimed_id")
+    near = match_other_date(open_lines, pool).select("line", "fits", "claimed_id")
 
     third = second.join(near, "line", "left")
     outcome = (F.when(F.col("held_id").isNotNull(), "held").when(F.col("swapped_id").isNotNull(), "held_swapped")
@@ -225,7 +262,7 @@ def match_by_balance(lines: DataFrame, ledger: DataFrame) -> DataFrame:
                       "held_id": F.when(F.col("balance_rows") == 1, F.col("_id"))}).drop("_b", "_id")
 
 
-def match_by_id(lines: DataFrame, ledger: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def match_by_id(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Name a ledger row by the id the export wrote.
 
     ``lines`` holds ``line, card_id, ledger_id`` (text).  Adds ``held_id`` and
@@ -235,8 +272,8 @@ def match_by_id(lines: DataFrame, ledger: DataFrame, hot_rows: int | None = HOT_
     blank = lines.filter(given == "").withColumns({
         "held_id": F.lit(None).cast("bigint"), "error": F.lit("The line gives no id.")})
     named = lines.filter(given != "").withColumn("_gid", given)
-    numbered_ = scan(named, ["_gid"], ["line"], [id_block("line")],
-                     [Measure("_first", "max", -F.col("line"), "bigint")], hot_rows)
+    numbered_ = scan(named, ["_gid"], ["line"],
+                     [Measure("_first", "max", -F.col("line"), "bigint")])
     rows = ledger.select(F.col("transaction_id").cast("string").alias("_gid"),
                          F.col("transaction_id").alias("_id"), F.col("card_id").alias("_card"))
     met = numbered_.join(rows, "_gid", "left")
@@ -248,7 +285,7 @@ def match_by_id(lines: DataFrame, ledger: DataFrame, hot_rows: int | None = HOT_
         .unionByName(blank)
 
 
-def match_by_voucher(ledger: DataFrame, statement: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def match_by_voucher(ledger: DataFrame, statement: DataFrame) -> DataFrame:
     """Ledger rows met by a statement line on the bank's voucher and the signed amount.
 
     ``statement`` holds ``line, card_id, bank_date, amount_aed, supplier_raw``.
@@ -264,9 +301,8 @@ def match_by_voucher(ledger: DataFrame, statement: DataFrame, hot_rows: int | No
                        F.col("amount_aed").cast("decimal(18,2)").alias("amount"))
     keys = ["card_id", "voucher", "amount"]
     named = rows.filter("voucher IS NOT NULL")
-    a = scan(named, keys, ["transaction_id"], [id_block("transaction_id")], [position("copy")], hot_rows)
-    b = scan(stated.select(*keys, "line", "bank_date"), keys, ["line"], [id_block("line")],
-             [position("copy")], hot_rows)
+    a = scan(named, keys, ["transaction_id"], [position("copy")])
+    b = scan(stated.select(*keys, "line", "bank_date"), keys, ["line"], [position("copy")])
     met = a.join(b, keys + ["copy"], "left")
     outcome = (F.when(F.col("line").isNull(), "unmatched").when(F.col("bank_date") == F.col("txn_date"), "agrees")
                .otherwise("date_differs"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (bank_charge_line, country_code, is_bac, is_blank, is_placeholder, is_settled_line,
                               text_or_empty, without_country, workflow_note)
-from ..plans.scan import HOT_ROWS
+from ..plans.scan import running_sum, scan, walk
 from ..schema import ADJUSTMENT, MONEY, MONEY_SUM, TOLERANCE
 from .chains import in_bank_order
 from .filters import supplier_name, with_account
@@ -122,7 +122,7 @@ def export_by_account(txn: DataFrame, acct: DataFrame, balances: DataFrame, path
     account_summary(txn, balances).write.mode("overwrite").parquet(f"{path}/summary")
 
 
-def reconciliation_sheets(txn: DataFrame, acct: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def reconciliation_sheets(txn: DataFrame, acct: DataFrame) -> DataFrame:
     """Bank accounts as month sheets: an opening line, then the lines as the bank
     printed them, split into debit and credit, with the running balance and
     whether each amount is settled.
@@ -131,18 +131,16 @@ def reconciliation_sheets(txn: DataFrame, acct: DataFrame, hot_rows: int | None
     """
     bank = acct.filter("card_type = 'bank_account'")
     live = txn.filter("status <> 'voided' AND txn_date IS NOT NULL").join(bank.select("card_id"), "card_id", "left_semi")
-    lines = in_bank_order(live, bank, hot_rows).withColumn("month", F.date_format("txn_date", "yyyy-MM"))
+    lines = in_bank_order(live, bank).withColumn("month", F.date_format("txn_date", "yyyy-MM"))
     months = lines.groupBy("card_id", "month").agg(F.sum("amount_aed").alias("_moved"))
-    from ..plans.scan import running_sum, scan
-    opened = scan(months, ["card_id"], ["month"], [], [running_sum("_upto", F.col("_moved"))], None)
+    opened = walk(months, ["card_id"], ["month"], [running_sum("_upto", F.col("_moved"))])
     opening = with_account(opened, bank, "card_name", "opening_balance").select(
         "card_id", "month", "card_name",
         (F.col("opening_balance") + F.col("_upto") - F.col("_moved")).cast(MONEY_SUM).alias("_opening"))
     out = F.col("amount_aed") < 0
     # Inside its month a line stands at its month's opening plus what moved since.
-    from ..plans.scan import id_block
-    inside = scan(lines.drop("opening_balance", "running_balance"), ["card_id", "month"], ["line_no"], [id_block("line_no")],
-                  [running_sum("_in", F.col("amount_aed"))], hot_rows).join(opening, ["card_id", "month"])
+    inside = scan(lines.drop("opening_balance", "running_balance"), ["card_id", "month"], ["line_no"],
+                  [running_sum("_in", F.col("amount_aed"))]).join(opening, ["card_id", "month"])
     body = inside.select(
         "card_id", "card_name", "month", F.col("line_no").alias("seq"), "transaction_id", F.col("txn_date").alias("day"),
         F.when(is_placeholder(F.col("supplier_raw")), "").otherwise(F.coalesce("supplier_raw", F.lit(""))).alias("description"),

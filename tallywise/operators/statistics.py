@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key
-from ..plans.scan import HOT_ROWS, Measure, scan
+from ..plans.scan import Measure, scan
 from ..schema import RATE
 
 
-def at_positions(df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column],
-                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def at_positions(df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column]) -> DataFrame:
     """The values standing at 1-based ``positions`` (expressions over ``n``).
 
     Equal values are counted first, then the counts are summed along the value
@@ -23,8 +22,8 @@ def at_positions(df: DataFrame, keys: Sequence[str], value: str, positions: dict
     keys = list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     v = F.col(value)
-    upto = scan(counted, keys, [v], [F.floor(v / 1000), F.floor(v), F.floor(v * 1000), F.floor(v * 1000000)],
-                [Measure("_upto", "sum", F.col("_c"), "bigint")], hot_rows)
+    upto = scan(counted, keys, [v],
+                [Measure("_upto", "sum", F.col("_c"), "bigint")])
     sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("n"))
     placed = upto.join(sizes, keys)
     hit = lambda p: (F.col("_upto") >= p) & (F.col("_upto") - F.col("_c") < p)
@@ -32,7 +31,7 @@ def at_positions(df: DataFrame, keys: Sequence[str], value: str, positions: dict
         *[F.min(F.when(hit(p), v)).alias(name) for name, p in positions.items()])
 
 
-def monthly_median(txn: DataFrame, at_least: int = 4, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def monthly_median(txn: DataFrame, at_least: int = 4) -> DataFrame:
     """Interpolating median of the settled rate per currency and month."""
     rows = txn.filter((F.col("entry_type") == "source_transaction") & (F.col("status") != "voided")
                       & (F.col("normalized_exchange_rate") > 0) & F.col("currency").isNotNull()
@@ -40,12 +39,12 @@ def monthly_median(txn: DataFrame, at_least: int = 4, hot_rows: int | None = HOT
         .select("currency", month_key(F.col("txn_date")).alias("month"), "normalized_exchange_rate")
     half = (F.col("n") - 1) / 2
     mid = at_positions(rows, ["currency", "month"], "normalized_exchange_rate",
-                       {"lo": F.floor(half) + 1, "hi": F.ceil(half) + 1}, hot_rows)
+                       {"lo": F.floor(half) + 1, "hi": F.ceil(half) + 1})
     return mid.filter(F.col("n") >= at_least).select(
         "currency", "month", "n", ((F.col("lo") + F.col("hi")) / 2).cast("decimal(28,10)").alias("median_rate"))
 
 
-def usual_rate(txn: DataFrame, acct: DataFrame, at_least: int = 3, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def usual_rate(txn: DataFrame, acct: DataFrame, at_least: int = 3) -> DataFrame:
     """Upper median of the known rates per settlement currency and currency."""
     known = txn.filter((F.col("exchange_rate") > 0) & F.col("currency").isNotNull()) \
         .groupBy("card_id", "currency", "exchange_rate").agg(F.count(F.lit(1)).alias("_n"))
@@ -53,8 +52,8 @@ def usual_rate(txn: DataFrame, acct: DataFrame, at_least: int = 3, hot_rows: int
         .groupBy("settlement_currency", "currency", "exchange_rate").agg(F.sum("_n").alias("_n"))
     keys = ["settlement_currency", "currency"]
     v = F.col("exchange_rate")
-    upto = scan(rows, keys, [v], [F.floor(v), F.floor(v * 1000)],
-                [Measure("_upto", "sum", F.col("_n"), "bigint")], hot_rows)
+    upto = scan(rows, keys, [v],
+                [Measure("_upto", "sum", F.col("_n"), "bigint")])
     placed = upto.join(rows.groupBy(*keys).agg(F.sum("_n").alias("samples")), keys)
     want = F.floor(F.col("samples") / 2) + 1
     hit = (F.col("_upto") >= want) & (F.col("_upto") - F.col("_n") < want)

@@ -1,23 +1,22 @@
 """Ordered scans over keys that may hold any share of the rows.
 
-A plain window puts a whole key in one task.  ``scan`` gives the same answers
-but cuts a crowded key into blocks first:
-
-1. Rows are counted per hash bucket of the key (partial aggregation, one small
-   shuffle) and the driver asks one question: is any bucket over ``hot_rows``?
-   Where none is, the plain window is the right plan and nothing more happens.
-2. Otherwise the input is checkpointed, so the passes below read it instead of
-   computing it again.  The list of crowded buckets has at most ``BUCKETS``
-   entries whatever the data, so it is broadcast.
-3. Rows of crowded keys get block columns: monotone coarsenings of the sort
-   order, given by the caller, chosen so that one block is small.
-4. Each block is summarised (partial aggregation again), the summaries are
-   carried forward level by level, and the carried value enters its block as a
-   seed row in front of (or behind) the block's own rows.
-5. One window over ``(key, block)`` then finishes the job, and seeds are dropped.
-
-Keys that are not crowded have null blocks and no seeds.  Deciding "crowded" by
-hash bucket can only over-mark, which changes the plan and never the answer.
+A plain window puts a whole key in one task.  ``scan`` gives the same answers from
+ranges of each key's order, by one plan at every size:
+
+1. **Cuts.**  Points ``(key, order)`` are dealt into ``SPLITS`` hash buckets and each
+   bucket keeps the point of least hash: an even sample that has at most ``SPLITS``
+   points whatever the data, found by partial aggregation.  A key gets cuts in
+   proportion to its rows; a key that got none has few rows.
+2. **Blocks.**  A row's block is the number of its key's cuts at or below it: the row
+   meets the stretch of ``STRETCH`` cuts it falls into, then the cut.  The stretches come
+   from the sample, so its bound allows to broadcast them.
+3. **Summaries.**  Rows of keys with cuts are summarised per block (at most
+   ``2 * SPLITS`` summaries), carried forward or back along the key, and broadcast.
+4. **Windows** over ``(key, block)`` finish the job, each adding what was carried in.
+
+All of it runs when the query runs; nothing runs while it is built.  ``place`` does
+steps 1 and 2 alone: scans of the same keys along the same order can share its columns,
+and then share one shuffle.
 """
 
 from __future__ import annotations
@@ -30,10 +29,11 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-BUCKETS = 1 << 20
-HOT_ROWS = 8_000_000
-# Rows per block where a block is a stretch of consecutive integer ids.
-BLOCK_IDS = 1 << 20
+#: Cuts at most, over all keys: blocks hold about one in so many of all rows.
+SPLITS = 4096
+STRETCH = 64
+
+BLOCK, EDGE = "_block", "_edge"
 
 
 @dataclass(frozen=True)
@@ -60,153 +60,138 @@ def position(name: str) -> Measure:
     return Measure(name, "sum", F.lit(1), "bigint")
 
 
-def id_block(col: Column | str, rows: int = BLOCK_IDS) -> Column:
-    """Blocks of consecutive integers; monotone in ``col``."""
-    return F.floor(F.col(col) / F.lit(rows) if isinstance(col, str) else col / F.lit(rows))
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder; a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
 
 
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int")
+def _columns(order: Sequence[Column | str]) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def crowded_buckets(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Hash buckets of ``keys`` holding more than ``hot_rows`` rows."""
-    return (
-        df.select(_bucket(keys).alias("_hb"))
-        .groupBy("_hb").agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > F.lit(hot_rows))
-        .select("_hb", F.lit(True).alias("_hot"))
-    )
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], splits: int) -> DataFrame:
+    """One row for each key that has cuts: ``_k0``, ``_k1`` … and ``cuts`` in order."""
+    at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(_columns(order))])
+    names = [f"_k{i}" for i in range(len(keys))]
+    points = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], at.alias("at"))
+    dealt = points.withColumn("h", F.xxhash64(*names, "at"))
+    sample = dealt.groupBy(F.pmod("h", F.lit(splits)).alias("b")).agg(F.min_by(F.struct(*names, "at"), "h").alias("p"))
+    return sample.select("p.*").groupBy(*names).agg(F.sort_array(F.collect_list("at")).alias("cuts"))
 
 
-def settle(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> int | None:
-    """``hot_rows`` if some key may be crowded, else None.
+def _same(keys: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return same
 
-    Called once in front of several scans over the same keys (or finer ones),
-    it saves each of them the count.
-    """
-    if hot_rows is None:
-        return None
-    return None if crowded_buckets(df, keys, hot_rows).isEmpty() else hot_rows
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder; a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+def _reached(cuts: str, most: int) -> Column:
+    """How many of the sorted ``cuts`` are at or below ``_at``; 0 without cuts."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        F.get(F.col(cuts), n + step - 1) <= F.col("_at"), n + step).otherwise(n))
 
 
-def _m(name: str) -> str:
-    return f"_m_{name}"
+def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], splits: int = SPLITS) -> DataFrame:
+    """Add the row's block along ``order`` within its key, and whether its key has more than one."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    cuts = _cuts(df, keys, order, splits)
+    stretches = F.ceil(F.size("cuts") / F.lit(STRETCH)).cast("int")
+    part = F.col("_part") * STRETCH
+    tables = cuts.select(*names, "cuts", F.explode(F.sequence(F.lit(0), stretches - 1)).alias("_part")).select(
+        *names, part.alias("_passed"), F.when(part > 0, F.get("cuts", part)).alias("_from"),
+        F.get("cuts", part + STRETCH).alias("_to"), F.slice("cuts", part + 1, F.lit(STRETCH)).alias("_cuts"))
+    at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(_columns(order))])
+    within = (F.col("_from").isNull() | (F.col("_from") <= F.col("_at"))) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
+    found = df.withColumn("_at", at).join(F.broadcast(tables), _same(keys) & within, "left")
+    return found.withColumns({BLOCK: F.coalesce("_passed", F.lit(0)) + _reached("_cuts", STRETCH),
+                              EDGE: F.col("_passed").isNotNull()}).select(*df.columns, BLOCK, EDGE)
 
 
-def _block_summary(m: Measure, order: Column) -> Column:
-    v = F.col(_m(m.name))
+def _summary(m: Measure, order: Column) -> Column:
+    v = F.col(f"_m_{m.name}")
     if m.kind in ("sum", "sum_before"):
-        return F.sum(v).cast(m.dtype).alias(_m(m.name))
+        return F.sum(v).cast(m.dtype)
     if m.kind == "max":
-        return F.max(v).alias(_m(m.name))
+        return F.max(v)
     pick = F.max_by if m.kind == "prev" else F.min_by
-    return pick(v, F.when(v.isNotNull(), order)).alias(_m(m.name))
+    return pick(v, F.when(v.isNotNull(), order))
 
 
-def _carried(m: Measure, window) -> Column:
-    """What the blocks in front of (or behind) this one contribute."""
-    v = F.col(_m(m.name))
+def _over(m: Measure, value: Column, window, whole_rows: bool) -> Column:
+    """The measure of ``value`` along ``window``; ``whole_rows``: up to the row itself where the kind includes it."""
     before = window.rowsBetween(Window.unboundedPreceding, -1)
-    after = window.rowsBetween(1, Window.unboundedFollowing)
-    if m.kind in ("sum", "sum_before"):
-        return F.sum(v).over(before).cast(m.dtype)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0) if whole_rows else before
+    if m.kind == "sum":
+        return F.sum(value).over(upto)
+    if m.kind == "sum_before":
+        return F.sum(value).over(before)
     if m.kind == "max":
-        return F.max(v).over(before)
+        return F.max(value).over(upto)
     if m.kind == "prev":
-        return F.last(v, ignorenulls=True).over(before)
-    return F.first(v, ignorenulls=True).over(after)
-
-
-def _seeds(totals: DataFrame, keys: list[str], levels: list[str],
-           measures: Sequence[Measure]) -> DataFrame:
-    """Carried values per block: front seeds (side 0) and back seeds (side 2)."""
-    parent = keys + levels[:-1]
-    level = levels[-1]
-    rows = totals.withColumn("_side", F.lit(1))
-    if levels[:-1]:
-        up = totals.groupBy(*parent).agg(*[_block_summary(m, F.struct(level)) for m in measures])
-        rows = rows.unionByName(_seeds(up, keys, levels[:-1], measures), allowMissingColumns=True)
-    window = Window.partitionBy(*parent).orderBy("_side", level)
-    carried = rows.select(*parent, level, "_side",
-                          *[_carried(m, window).alias(_m(m.name)) for m in measures])
-    carried = carried.filter(F.col("_side") == 1).drop("_side")
-    sides = [F.struct(F.lit(side).alias("_side"), *[
-        (F.col(_m(m.name)) if (m.kind == "next") == (side == 2) else F.lit(None).cast(m.dtype)).alias(_m(m.name))
-        for m in measures]) for side in ((0, 2) if any(m.kind == "next" for m in measures) else (0,))]
-    return carried.select(*parent, level, F.explode(F.array(*sides)).alias("_s")).select(*parent, level, "_s.*")
-
-
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-         blocks: Sequence[Column], measures: Sequence[Measure],
-         hot_rows: int | None = HOT_ROWS) -> DataFrame:
+        return F.last(value, ignorenulls=True).over(before)
+    return F.first(value, ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing))
+
+
+def _joined(m: Measure, here: Column, carried: Column) -> Column:
+    if m.kind in ("sum", "sum_before"):
+        zero = F.lit(0).cast(m.dtype)
+        return (F.coalesce(here, zero) + F.coalesce(carried, zero)).cast(m.dtype)
+    if m.kind == "max":
+        return F.greatest(here, carried)
+    return F.coalesce(here, carried)
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], measures: Sequence[Measure],
+         splits: int = SPLITS) -> DataFrame:
     """Add one column per measure, computed along ``order`` within ``keys``.
 
-    ``order`` is ascending and complete (no ties).  ``blocks`` are expressions
-    that never decrease along ``order``, coarse to fine.  ``hot_rows=None``
-    says the keys are known to be small and skips the counting.
+    ``order`` is ascending and complete (no ties).  Rows that ``place`` has placed
+    along this order, or along one it refines, keep their place columns.
     """
     keys = list(keys)
-    hot_rows = settle(df, keys, hot_rows) if blocks else None
-    if hot_rows is not None:
-        df = cut_lineage(df)
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    names = df.columns
-    base = df.withColumns({
-        **{_m(m.name): m.value.cast(m.dtype) for m in measures},
-        **{f"_o{i}": c for i, c in enumerate(order_cols)},
-    })
-    okeys = [f"_o{i}" for i in range(len(order_cols))]
-
-    if hot_rows is None:
-        rows, part = base.withColumn("_side", F.lit(1)), keys
-    else:
-        levels = [f"_l{i}" for i in range(len(blocks))]
-        hot = crowded_buckets(df, keys, hot_rows)
-        based = base.withColumn("_hb", _bucket(keys))
-        flagged = based.join(F.broadcast(hot), "_hb", "left")
-        rows = flagged.withColumns(
-            {lv: F.when(F.col("_hot"), b) for lv, b in zip(levels, blocks)}
-        ).drop("_hb", "_hot").withColumn("_side", F.lit(1))
-        crowded = based.join(F.broadcast(hot), "_hb", "left_semi").withColumns(
-            dict(zip(levels, blocks)))
-        totals = crowded.groupBy(*keys, *levels).agg(
-            *[_block_summary(m, F.struct(*okeys)) for m in measures])
-        rows = rows.unionByName(_seeds(totals, keys, levels, measures), allowMissingColumns=True)
-        part = keys + levels
-
-    window = Window.partitionBy(*part).orderBy("_side", *okeys)
-    upto = window.rowsBetween(Window.unboundedPreceding, 0)
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    after = window.rowsBetween(1, Window.unboundedFollowing)
-    outputs = {}
-    for m in measures:
-        v = F.col(_m(m.name))
-        if m.kind == "sum":
-            outputs[m.name] = F.coalesce(F.sum(v).over(upto), F.lit(0)).cast(m.dtype)
-        elif m.kind == "sum_before":
-            outputs[m.name] = F.coalesce(F.sum(v).over(before), F.lit(0)).cast(m.dtype)
-        elif m.kind == "max":
-            outputs[m.name] = F.max(v).over(upto)
-        elif m.kind == "prev":
-            outputs[m.name] = F.last(v, ignorenulls=True).over(before)
-        else:
-            outputs[m.name] = F.first(v, ignorenulls=True).over(after)
-    scanned = rows.select("*", *[c.alias(f"_out_{n}") for n, c in outputs.items()])
-    return scanned.filter(F.col("_side") == 1).select(
-        *[c for c in names if c not in outputs],
-        *[F.col(f"_out_{n}").alias(n) for n in outputs])
-
-
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-             name: str, blocks: Sequence[Column], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    placed = BLOCK in df.columns
+    base = df if placed else place(df, keys, order, splits)
+    outputs = [m.name for m in measures]
+    names = [c for c in base.columns if c not in outputs]
+    okeys = [f"_o{i}" for i in range(len(order))]
+    base = base.withColumns({**{f"_m_{m.name}": m.value.cast(m.dtype) for m in measures},
+                             **dict(zip(okeys, _columns(order)))})
+
+    totals = base.filter(EDGE).groupBy(*keys, BLOCK).agg(
+        *[_summary(m, F.struct(*okeys)).alias(f"_m_{m.name}") for m in measures])
+    along = Window.partitionBy(*keys).orderBy(BLOCK)
+    carried = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(BLOCK).alias("_into"),
+        *[_over(m, F.col(f"_m_{m.name}"), along, False).alias(f"_c_{m.name}") for m in measures])
+
+    window = Window.partitionBy(*keys, BLOCK).orderBy(*okeys)
+    here = base.select("*", *[_over(m, F.col(f"_m_{m.name}"), window, True).alias(f"_h_{m.name}") for m in measures])
+    same = _same(keys) & (F.col(BLOCK) == F.col("_into"))
+    met = here.join(F.broadcast(carried), same, "left")
+    return met.select(*[c for c in names if placed or c not in (BLOCK, EDGE)], *[
+        _joined(m, F.col(f"_h_{m.name}"), F.col(f"_c_{m.name}")).alias(m.name) for m in measures])
+
+
+def walk(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], measures: Sequence[Measure]) -> DataFrame:
+    """``scan`` for keys whose rows are few by what they are, such as the months of an account: one plain window."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    outputs = {m.name: _over(m, m.value.cast(m.dtype), window, True) for m in measures}
+    zero = {m.name for m in measures if m.kind in ("sum", "sum_before")}
+    return df.withColumns({n: F.coalesce(c, F.lit(0)) if n in zero else c for n, c in outputs.items()}) \
+        .withColumns({m.name: F.col(m.name).cast(m.dtype) for m in measures})
+
+
+def unplaced(df: DataFrame) -> DataFrame:
+    """Without the columns of ``place``."""
+    return df.drop(BLOCK, EDGE)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str,
+             splits: int = SPLITS) -> DataFrame:
     """``row_number`` that survives a crowded key."""
-    return scan(df, keys, order, blocks, [position(name)], hot_rows)
+    return scan(df, keys, order, [position(name)], splits)

@@ -14,7 +14,7 @@ from ..functions.dates import month_key
 from ..operators.balances import _sum_if
 from ..operators.edits import apply_submissions, decision_log, judge_decisions
 from ..operators.matching import classify_duplicates
-from ..plans.scan import HOT_ROWS, Measure, scan, settle
+from ..plans.scan import Measure, place, scan, unplaced
 from ..schema import SOURCE
 
 SIGNATURE = ["card_id", "txn_date", "kind", "amount", "supplier", "payment_ref", "req_number"]
@@ -27,7 +27,7 @@ def _signed(batch: DataFrame) -> DataFrame:
         F.upper(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in have]))
 
 
-def suppress_double_submits(batch: DataFrame, seconds: int = 120, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def suppress_double_submits(batch: DataFrame, seconds: int = 120) -> DataFrame:
     """Drop a submission equal to one accepted less than ``seconds`` before it.
 
     A dropped submission does not extend the window; ``allow_duplicate`` is
@@ -43,11 +43,9 @@ def suppress_double_submits(batch: DataFrame, seconds: int = 120, hot_rows: int
     moments = rows.groupBy("_sig", "_at").agg(F.max("_allow").alias("_any"), F.min(
         F.when(~F.col("_allow"), F.col("submission_id"))).alias("_first"))
     window = seconds * 1_000_000
-    hour = F.floor(F.col("_at") / 3_600_000_000)
-    hot_rows = settle(moments, ["_sig"], hot_rows)
-    spaced = scan(moments, ["_sig"], ["_at"], [hour], [Measure("_before", "prev", F.col("_at"), "bigint")], hot_rows)
+    spaced = scan(place(moments, ["_sig"], ["_at"]), ["_sig"], ["_at"], [Measure("_before", "prev", F.col("_at"), "bigint")])
     spaced = spaced.withColumn("_cut", F.when(F.coalesce(F.col("_at") - F.col("_before") >= window, F.lit(True)), 1).otherwise(0))
-    stretches = scan(spaced, ["_sig"], ["_at"], [hour], [Measure("_stretch", "sum", F.col("_cut"), "bigint")], hot_rows)
+    stretches = scan(spaced, ["_sig"], ["_at"], [Measure("_stretch", "sum", F.col("_cut"), "bigint")])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
@@ -107,8 +105,7 @@ def _parts(spark: SparkSession, path: str, schema: Any) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def incremental_import(ledger_path: str, to_batch: Callable[[DataFrame], DataFrame], ledger_schema,
-                       hot_rows: int | None = HOT_ROWS) -> Callable[[DataFrame, int], None]:
+def incremental_import(ledger_path: str, to_batch: Callable[[DataFrame], DataFrame], ledger_schema) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: only the copies the ledger lacks are appended.
 
     ``to_batch`` turns import rows into submissions.  Each micro-batch writes its
@@ -120,9 +117,9 @@ def incremental_import(ledger_path: str, to_batch: Callable[[DataFrame], DataFra
         # Micro-batches run one after another; later folders do not exist yet.
         ledger = _parts(spark, ledger_path, ledger_schema).filter(
             ~F.contains(F.col("_metadata.file_path"), F.lit(f"/batch={batch_id:010d}/")))
-        known = classify_duplicates(lines, ledger, hot_rows)
+        known = classify_duplicates(lines, ledger)
         fresh = known.filter(F.col("outcome").isin("new", "missing_copy"))
-        added = apply_submissions(ledger, to_batch(fresh), hot_rows=hot_rows)
+        added = apply_submissions(ledger, to_batch(fresh))
         keep = [f.name for f in ledger_schema.fields]
         out = added.select(*[F.col(c) if c in added.columns else F.lit(None).alias(c) for c in keep])
         typed = out.select(*[F.col(f.name).cast(f.dataType) for f in ledger_schema.fields])
@@ -130,12 +127,11 @@ def incremental_import(ledger_path: str, to_batch: Callable[[DataFrame], DataFra
     return step
 
 
-def ledger_events(log_path: str, ledger: Callable[[SparkSession], DataFrame], acct: Callable[[SparkSession], DataFrame],
-                  hot_rows: int | None = HOT_ROWS) -> Callable[[DataFrame, int], None]:
+def ledger_events(log_path: str, ledger: Callable[[SparkSession], DataFrame], acct: Callable[[SparkSession], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function folding review decisions into an append-only log."""
     def step(decisions: DataFrame, batch_id: int) -> None:
         spark = decisions.sparkSession
-        judged = judge_decisions(ledger(spark), acct(spark), decisions, hot_rows)
+        judged = judge_decisions(ledger(spark), acct(spark), decisions)
         decision_log(judged).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id:010d}")
     return step
 

@@ -86,9 +86,8 @@ def test_one_break_is_one_finding(spark):
     rows = [{"amount": -10}, {"amount": -10}, {"amount": -10}, {"amount": -10}]
     printed = [90, 85, 75, None]
     t = txn(spark, rows).withColumn("statement_balance", F.element_at(F.array(*[F.lit(p).cast("decimal(18,2)") for p in printed]), F.col("transaction_id").cast("int")))
-    for hot in (None, 1):
-        got = C.chain_breaks_resync(t, acct(spark, {"opening": "100"}), ["transaction_id"], [F.floor(F.col("transaction_id") / 2)], hot_rows=hot)
-        assert [(r.transaction_id, r.kind) for r in got.orderBy("transaction_id").collect()] == [(1, "ok"), (2, "mismatch"), (3, "ok")]
+    got = C.chain_breaks_resync(t, acct(spark, {"opening": "100"}), ["transaction_id"])
+    assert [(r.transaction_id, r.kind) for r in got.orderBy("transaction_id").collect()] == [(1, "ok"), (2, "mismatch"), (3, "ok")]
 
 
 def test_an_overwritten_balance_becomes_a_labelled_adjustment(spark):
@@ -112,8 +111,8 @@ def lines(spark, rows):
                                   for i, r in enumerate(rows, 1)], "line long, card_id long, txn_date date, amount_aed decimal(18,2), supplier_raw string")
 
 
-def outcomes(spark, file, ledger, hot=None):
-    return [r.outcome for r in M.classify_duplicates(lines(spark, file), txn(spark, ledger), hot).orderBy("line").collect()]
+def outcomes(spark, file, ledger):
+    return [r.outcome for r in M.classify_duplicates(lines(spark, file), txn(spark, ledger)).orderBy("line").collect()]
 
 
 def test_copies_are_matched_by_count(spark):
@@ -153,8 +152,7 @@ def greedy(file, pool):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot", [None, 4])
-def test_claims_in_file_order_equal_the_plain_loop(spark, seed, hot):
+def test_claims_in_file_order_equal_the_plain_loop(spark, seed):
     rnd = random.Random(seed)
     spread = rnd.choice([20, 60, 120])
     file = [(i, rnd.choice("ab"), D0 + dt.timedelta(days=rnd.randrange(spread))) for i in range(120)]
@@ -163,7 +161,7 @@ def test_claims_in_file_order_equal_the_plain_loop(spark, seed, hot):
     a = spark.createDataFrame([(i, 1, 100, True, k, d) for i, k, d in file], "line long, " + cols)
     b = spark.createDataFrame([(1, 100, True, k, d, i) for i, (k, d) in enumerate(pool)], cols + ", held_id long")
     got = {r.line: ("claimed" if r.claimed_id is not None else "several" if r.fits > 1 else "none", r.claimed_id)
-           for r in M.match_other_date(a, b, hot).collect()}
+           for r in M.match_other_date(a, b).collect()}
     assert got == greedy(file, pool)
 
 
@@ -185,14 +183,12 @@ def test_decimal_slips_equal_the_plain_loop(spark):
                 best.append((d2 != d, abs((d2 - d).days), j, f))
         if best:
             want[i] = min(best)[2:]
-    for hot in (None, 3):
-        got = {r.transaction_id: (r.compare_with_id, r.factor) for r in Q.suspect_amounts(t, acct(spark), hot).collect()}
-        assert got == want
+    got = {r.transaction_id: (r.compare_with_id, r.factor) for r in Q.suspect_amounts(t, acct(spark)).collect()}
+    assert got == want
     assert want
 
 
-@pytest.mark.parametrize("hot", [None, 5])
-def test_double_submits_equal_the_plain_loop(spark, hot):
+def test_double_submits_equal_the_plain_loop(spark):
     rnd = random.Random(11)
     t0 = dt.datetime(2026, 1, 1, 9)
     rows = [(i, rnd.choice([1, 1, 1, 2]), D0, "purchase", Decimal("5"), "X", t0 + dt.timedelta(seconds=rnd.randrange(6000)), rnd.random() < 0.1)
@@ -209,7 +205,7 @@ def test_double_submits_equal_the_plain_loop(spark, hot):
     moments = {}
     for r in rows:
         moments.setdefault((r[1], r[6]), []).append(r)
-    got = {r.submission_id for r in ST.suppress_double_submits(df, 120, hot).collect()}
+    got = {r.submission_id for r in ST.suppress_double_submits(df, 120).collect()}
     odd = {i for m in moments.values() if len(m) > 1 for i in (x[0] for x in m)}
     assert got - odd == want - odd
 
@@ -307,18 +303,16 @@ def test_european_numbers_and_words_in_an_imported_sheet(spark):
 
 def test_repeats_are_numbered_the_same_on_every_import(spark):
     t = txn(spark, [{"amount": -5}] * 4 + [{"amount": 5, "pay": "R"}])
-    for hot in (None, 2):
-        a = {(r.transaction_id, r.dedup_key) for r in Q.assign_occurrence(t, hot).collect()}
-        b = {(r.transaction_id, r.dedup_key) for r in Q.assign_occurrence(t.orderBy(F.desc("transaction_id"))).collect()}
-        assert a == b and len({k for _, k in a}) == 5
+    a = {(r.transaction_id, r.dedup_key) for r in Q.assign_occurrence(t).collect()}
+    b = {(r.transaction_id, r.dedup_key) for r in Q.assign_occurrence(t.orderBy(F.desc("transaction_id"))).collect()}
+    assert a == b and len({k for _, k in a}) == 5
 
 
 def test_bank_order_reads_a_sheet_that_lists_the_newest_line_first(spark):
     t = txn(spark, [{"amount": -1, "row": 3}, {"amount": -2, "row": 2}, {"amount": -4, "row": 1}, {"amount": -8, "row": None, "sheet": None}])
     printed = F.element_at(F.array(*[F.lit(x).cast("decimal(18,2)") for x in (99, 97, 93, None)]), F.col("transaction_id").cast("int"))
-    for hot in (None, 1):
-        got = C.bank_order(t.withColumn("statement_balance", printed), hot).orderBy("line_no")
-        assert [r.transaction_id for r in got.collect()] == [1, 2, 3, 4]
+    got = C.bank_order(t.withColumn("statement_balance", printed)).orderBy("line_no")
+    assert [r.transaction_id for r in got.collect()] == [1, 2, 3, 4]
 
 
 def test_export_keeps_the_order(spark, tmp_path):
