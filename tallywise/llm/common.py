@@ -44,3 +44,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def look_up(rows: DataFrame, keys: list[str], spread: list[str], table: DataFrame, salts: int = 256) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key; rows without a match stay.
+
+    A key may hold any share of the rows: they are dealt by key and a salt taken from
+    the columns ``spread``, and each key meets ``table`` once a salt.  Both inputs are
+    read twice and once, so hand in written tables where they are dear.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    answers = salted.select(*keys, "_salt").distinct().join(table, keys)
+    return salted.join(answers, [*keys, "_salt"], "left").drop("_salt")
