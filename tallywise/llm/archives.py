@@ -23,7 +23,7 @@ task.  Each archive then meets the list of its own revisits and is rewritten who
 payload is shuffled but in its compressed archive.  All names are derived from content
 and place, so a lost executor's work is repeated with the same result.
 
-Defined cases.  A null URL becomes ``urn:unknown``, blanks, controls and other than
+Defined cases.  A URL without a scheme, or null, is written as ``urn:unknown``; blanks, controls and other than
 ASCII characters in URLs are percent-encoded.  A null payload is empty.  A record line
 that cannot be parsed is skipped up to the next line that can, and a block that ends
 early is taken as far as it goes: both yield a row with ``problem``, and no record is
@@ -65,6 +65,7 @@ ARC_FIELDS = {
 # Fixed values of the WARC format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 URL_SAFE = "!#$%&'()*+,-./:;=?@[]_~"
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
 ARC_ROW = ("archive string, at long, version int, url string, ip string, date string, mime string, status string, "
            "type string, record_id string, head string, payload_bytes long, payload_sha1 string, problem string")
@@ -123,6 +124,12 @@ def _filedesc(name: str, version: int, date: str) -> bytes:
     return " ".join(fields.get(f, "-") for f in ARC_FIELDS[version]).encode() + b"\n" + body + b"\n"
 
 
+def _target(url: str | None) -> str:
+    """A URL as a record line can hold it; what has no scheme gets one."""
+    text = quote(url or "", safe=URL_SAFE)
+    return text if SCHEME.match(text) else f"urn:unknown:{text}".rstrip(":")
+
+
 def _arc_files(batches: Iterator[pa.RecordBatch], versions: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -135,7 +142,7 @@ def _arc_files(batches: Iterator[pa.RecordBatch], versions: tuple[int, ...]) ->
                 version, name = versions[number % len(versions)], f"part-{part:05d}-{number:05d}.arc"
                 held, size = [_filedesc(name, version, r["date"] or "19960101000000")], 0
             block = r["block"] or b""
-            values = {"URL": quote(r["url"] or "urn:unknown", safe=URL_SAFE) or "urn:unknown", "IP-address": r["ip"] or "0.0.0.0",
+            values = {"URL": _target(r["url"]), "IP-address": r["ip"] or "0.0.0.0",
                       "Archive-date": r["date"] or "-", "Content-type": r["mime"] or "no-type", "Result-code": "200",
                       "Checksum": hashlib.md5(block).hexdigest() if version == 2 else "-", "Location": "-",
                       "Offset": str(size), "Filename": name, "Archive-length": str(len(block))}
@@ -169,7 +176,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def _line(text: str, fields: list[str]) -> dict[str, str] | None:
     """A record line by the fields of its version; a URL may hold blanks, since the others cannot."""
     parts = text.rsplit(" ", len(fields) - 1)
-    if len(parts) != len(fields) or not parts[-1].isdecimal() or not re.match(r"[A-Za-z][\w+.-]*:", parts[0]):
+    if len(parts) != len(fields) or not parts[-1].isdecimal() or not SCHEME.match(parts[0]):
         return None
     return dict(zip(fields, parts))
 
@@ -385,3 +392,13 @@ def _hex(base32: str) -> Column:
     bits = F.translate(F.col(base32), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuv")
     # Eight digits of base 32 are ten of base 16.
     return F.concat(*[F.lpad(F.lower(F.conv(F.substring(bits, i, 8), 32, 16)), 10, "0") for i in range(1, 33, 8)])
+
+
+def oracle(least: int = LEAST_REVISIT) -> str:
+    """The rows of ``round_trip`` in DuckDB SQL."""
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+m AS (SELECT *, CASE WHEN size >= {least} THEN row_number() OVER (PARTITION BY digest, size >= {least}
+  ORDER BY page_id DESC NULLS LAST) ELSE 1 END AS k, max(page_id) OVER (PARTITION BY digest, size >= {least}) AS kept FROM p)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k > 1 THEN kept END AS refers_to FROM m"""

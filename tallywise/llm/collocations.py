@@ -8,12 +8,15 @@ a length; Toivonen's method reads them once in the usual case:
    threshold its share would ask for.  What is frequent there is proposed.
 2. **Full pass.**  Over all documents every word is counted, and every phrase both of
    whose shorter phrases are proposed: the proposed ones and their *negative border*.
-   Counts are exact, those of the sample are not used again.
+   They are counted by 64-bit fingerprint, 16 bytes a phrase; a count can only be too
+   high by that, where two fingerprints meet.
 3. **Expansion.**  A frequent phrase of the border that was not proposed is a failure of
-   the sample: longer phrases around it were not counted.  Failures join the proposals,
-   and another pass counts the phrases that this alone brings in.  Passes go on until
-   one has no failure, which is at the longest length at the latest.  The set is then
-   closed, and what was found is exactly what is frequent, whatever the sample held.
+   the sample: longer phrases around it were not counted.  A second pass over all
+   documents counts the phrases that failures bring in, and those that these bring in at
+   every further length, frequent or not, so that the set is closed after it: a phrase
+   without a count has a shorter one that was counted and is not frequent.  The same pass
+   counts the frequent phrases of the full pass again, now by their words.  What is
+   found is exactly what is frequent, whatever the sample held.
 
 Proposals are held as a Bloom filter of ``FILTER_BITS`` bits, a bound that does not grow
 with the data, so it may be broadcast.  A phrase it holds by mistake is counted like any
@@ -53,10 +56,6 @@ SAMPLE = 8
 FILTER_BITS = 1 << 26
 CHUNK_BYTES = 6 << 20
 
-#: Characters that end a piece; blanks and tabs part its words.
-PIECE_END = r"[.,;:!?\x0A-\x0D]+"
-BLANKS = r"[\x20\x09]+"
-
 _WORDS = FILTER_BITS // 64
 _SHIFT = 64 - (_WORDS.bit_length() - 1)
 
@@ -90,31 +89,64 @@ def _with(bits: np.ndarray, hashes: DataFrame) -> np.ndarray:
 
 # ------------------------------------------------------------------ chunks
 
+WORD, BLANK, MARK = 0, 1, 2
+KIND = np.zeros(256, np.uint8)
+KIND[list(b" \t")] = BLANK
+KIND[list(b".,;:!?\n\x0b\x0c\r")] = MARK
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+_SEEDS = _mixed(np.arange(1, 257 + 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_OF_BYTE, _OF_PLACE = _SEEDS[:256], _SEEDS[256:] | np.uint64(1)
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts without nulls, one behind another, and where each ends."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return held[at[0]:at[-1]], at[1:] - at[0]
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash a word: its bytes weighted by where they stand."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data, ends = _bytes(words)
+    starts = np.concatenate(([0], ends[:-1]))
+    sizes = ends - starts
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_OF_BYTE[data] * _OF_PLACE[place & (len(_OF_PLACE) - 1)] + place.astype(np.uint64))))
+    return _mixed(sums[starts + sizes] - sums[starts] + sizes.astype(np.uint64))
+
+
 class Chunk:
     """The words of some texts as numbers, with what phrases need to be named and hashed."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array) -> None:
-        pieces = pc.split_pattern_regex(pc.ascii_lower(texts), PIECE_END)
-        of_text = pc.list_parent_indices(pieces).to_numpy()
-        split = pc.split_pattern_regex(pc.list_flatten(pieces), BLANKS)
-        of_piece = pc.list_parent_indices(split).to_numpy()
-        words = pc.list_flatten(split)
-        some = pc.not_equal(words, "")
-        coded = words.filter(some).dictionary_encode()
-        self.words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        self.piece = of_piece[some.to_numpy(zero_copy_only=False)]
+        data, ends = _bytes(texts)
+        kind, starts_text = KIND[data], np.zeros(len(data) + 1, bool)
+        starts_text[0] = True
+        starts_text[ends] = True
+        inside = kind == WORD
+        before = np.concatenate(([False], inside[:-1])) & ~starts_text[:-1] if len(data) else inside
+        start = np.flatnonzero(inside & ~before)
+        # A word ends where the next character is none, or is another text's.
+        end = np.flatnonzero(inside & ~(np.concatenate((inside[1:], [False])) & ~starts_text[1:])) + 1 if len(data) else start
+        offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
+        letters = LOWER[data[inside]]
+        coded = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+        self.words, self.code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        of_text = np.searchsorted(ends, start, "right")
+        # Pieces are parted by their marks and by the texts.
+        self.piece = np.cumsum(kind == MARK)[start] + of_text if len(start) else start
         spoken = langs.dictionary_encode()
-        self.langs = spoken.dictionary
-        lang = spoken.indices.to_numpy().astype(np.int64)[of_text[self.piece]] if len(code) else code
-        self.code, self.lang = code, lang
+        self.langs, self.lang = spoken.dictionary, spoken.indices.to_numpy().astype(np.int64)[of_text]
         self.base = max(len(self.words), 1)
         # A word is told apart by its language too.
-        self.id = lang * self.base + code
-        kinds = len(self.langs) * self.base
-        self.kinds = max(kinds, 1)
-        by_word = pd.util.hash_array(np.asarray(self.words.to_pylist(), dtype=object)) if len(code) else np.zeros(0, np.uint64)
-        by_lang = pd.util.hash_array(np.asarray(self.langs.to_pylist(), dtype=object)) if len(code) else np.zeros(0, np.uint64)
-        self.hash = _mixed(by_word[code] + by_lang[lang] * np.uint64(0x9E3779B97F4A7C15))
+        self.id = self.lang * self.base + self.code
+        self.kinds = max(len(self.langs) * self.base, 1)
+        self.hash = _mixed(_hashes(self.words)[self.code] + _hashes(self.langs)[self.lang] * np.uint64(0x9E3779B97F4A7C15))
 
     def longer(self, m: int, ids: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and hashes of the phrases of ``m`` words at ``at``, from those of one word less."""
@@ -153,76 +185,83 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, np.bincount(number, minlength=len(distinct)), first
 
 
+class Levels:
+    """The phrases of a chunk, one length after another: where they stand, their numbers and their hashes."""
+
+    def __init__(self, chunk: Chunk) -> None:
+        self.chunk, self.m, size = chunk, 1, len(chunk.id)
+        self.at, self.ids, self.hashes = np.arange(size), chunk.id, chunk.hash
+
+    def flags(self, at: np.ndarray) -> np.ndarray:
+        """Whether a phrase of this length that is among ``at`` begins at a word."""
+        out = np.zeros(len(self.chunk.id) + 1, bool)
+        out[at] = True
+        return out
+
+    def longer(self, inside: np.ndarray) -> None:
+        """On to the phrases both of whose shorter ones are ``inside``."""
+        self.m += 1
+        at = self.chunk.whole(self.m, self.at)
+        self.at = at[inside[at] & inside[at + 1]]
+        key, value = self.chunk.longer(self.m, self.ids, self.hashes, self.at)
+        size = len(self.chunk.id)
+        self.ids, self.hashes = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        self.ids[self.at], self.hashes[self.at] = pd.factorize(key)[0], value
+
+    def counted(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, n, first = _counted(self.ids[at])
+        return at[first], n.astype(np.int64)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch], lengths: range, proposed) -> Iterator[pa.RecordBatch]:
-    """Hashes and counts of phrases of the sample: of one and two words, or of more where all pairs in them are proposed."""
+    """Fingerprints and counts of phrases of the sample: words and pairs, or longer phrases all of whose pairs are proposed."""
     for chunk in _chunks(batches):
-        bits = proposed.value if proposed is not None else None
-        at, ids, hashes = np.arange(len(chunk.id)), chunk.id, chunk.hash
-        for m in range(1, max(lengths) + 1):
-            if m > 1:
-                inside = np.zeros(len(chunk.id) + 1, bool)
-                inside[at] = True
-                at = chunk.whole(m, at)
-                at = at[inside[at + 1]] if m > 2 else at
-                key, value = chunk.longer(m, ids, hashes, at)
-                number, _, _ = _counted(key)
-                ids, hashes = np.zeros(len(chunk.id), np.int64), np.zeros(len(chunk.id), np.uint64)
-                ids[at], hashes[at] = number, value
-                if m == 2 and bits is not None:
-                    at = at[_holds(bits, hashes[at])]
-            if m in lengths and len(at):
-                _, n, first = _counted(ids[at])
-                yield pa.RecordBatch.from_pydict({"h": hashes[at[first]].view(np.int64), "n": n.astype(np.int64)})
-
-
-def _passed(batches: Iterator[pa.RecordBatch], known, before) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases whose two shorter ones are ``known``, but not both ``before``; the first pass (no
-    ``before``) also counts words, and for each language how many there are (length 0)."""
+        level = Levels(chunk)
+        while level.m <= max(lengths) and len(level.at):
+            if level.m in lengths:
+                where, n = level.counted(level.at)
+                yield pa.RecordBatch.from_pydict({"h": level.hashes[where].view(np.int64), "n": n})
+            at = level.at
+            if level.m == 2 and proposed is not None:
+                at = at[_holds(proposed.value, level.hashes[at])]
+            level.longer(level.flags(at))
+
+
+def _full(batches: Iterator[pa.RecordBatch], proposed) -> Iterator[pa.RecordBatch]:
+    """Fingerprints and counts of all words and of the phrases whose two shorter ones are proposed."""
     for chunk in _chunks(batches):
-        bits, old = known.value, before.value if before is not None else None
-        size = len(chunk.id)
-        if not size:
+        level = Levels(chunk)
+        while level.m <= MOST_WORDS and len(level.at):
+            where, n = level.counted(level.at)
+            yield pa.RecordBatch.from_pydict({"h": level.hashes[where].view(np.int64), "n": n})
+            level.longer(level.flags(level.at[_holds(proposed.value, level.hashes[level.at])]))
+
+
+def _named(batches: Iterator[pa.RecordBatch], proposed, frequent) -> Iterator[pa.RecordBatch]:
+    """Words and counts of the ``frequent`` phrases, and of all that the full pass left out by what was ``proposed``
+    though both shorter ones are frequent or left out themselves; and how many words each language has (length 0)."""
+    for chunk in _chunks(batches):
+        if not len(chunk.id):
             continue
-        if old is None:
-            n = np.bincount(chunk.lang, minlength=len(chunk.langs))
-            yield _rows(chunk.langs, pa.array([""] * len(n)), 0, n, np.zeros(len(n), np.uint64), np.ones(len(n), bool))
-        at, ids, hashes = np.arange(size), chunk.id, chunk.hash
-        number = None
-        for m in range(1, MOST_WORDS + 1):
-            if m > 1:
-                at = chunk.whole(m, at)
-                at = at[inside[at] & inside[at + 1]]
-                key, value = chunk.longer(m, ids, hashes, at)
-                number, _, _ = _counted(key)
-                ids, hashes = np.zeros(size, np.int64), np.zeros(size, np.uint64)
-                ids[at], hashes[at] = number, value
-            if not len(at):
-                break
-            fresh = at if old is None else at[~(was[at] & was[at + 1])] if m > 1 else at[:0]
-            if len(fresh):
-                _, n, first = _counted(ids[fresh])
-                where = fresh[first]
-                lang, text = chunk.phrases(where, m)
-                yield _rows(lang, text, m, n, hashes[where], _holds(bits, hashes[where]))
-            inside = np.zeros(size + 1, bool)
-            inside[at] = _holds(bits, hashes[at])
-            if old is not None:
-                was = np.zeros(size + 1, bool)
-                was[at] = _holds(old, hashes[at])
-
-
-def _rows(lang: pa.Array, text: pa.Array, m: int, n: np.ndarray, h: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "lang": lang, "phrase": text, "m": pa.array(np.full(len(n), m, np.int32)), "a": n.astype(np.int64),
-        "h": h.view(np.int64), "held": held})
+        n = np.bincount(chunk.lang, minlength=len(chunk.langs)).astype(np.int64)
+        yield _rows(chunk.langs, pa.array([""] * len(n)), 0, n)
+        level, left_out = Levels(chunk), np.zeros(len(chunk.id), bool)
+        while level.m <= MOST_WORDS and len(level.at):
+            at = level.at
+            held = _holds(frequent.value, level.hashes[at]) | left_out
+            if held.any():
+                where, n = level.counted(at[held])
+                yield _rows(*chunk.phrases(where, level.m), level.m, n)
+            was = level.flags(at[_holds(proposed.value, level.hashes[at])])
+            level.longer(level.flags(at[held]))
+            left_out = ~(was[level.at] & was[level.at + 1])
 
 
-# ------------------------------------------------------------------ passes
+def _rows(lang: pa.Array, text: pa.Array, m: int, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": lang, "phrase": text, "m": pa.array(np.full(len(n), m, np.int32)), "a": n})
 
-def _summed(rows: DataFrame, least: int) -> DataFrame:
-    return rows.groupBy("lang", "phrase").agg(F.max("m").alias("m"), F.sum("a").alias("a"), F.max("h").alias("h"),
-                                              F.bool_or("held").alias("held")).filter((F.col("a") >= least) | (F.col("m") == 0))
 
+# ------------------------------------------------------------------ passes
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, sample_by: tuple[str, ...] = ("text",)) -> DataFrame:
     """``lang, phrase, m, a``: every phrase of up to ``MOST_WORDS`` words that stands ``least`` times in its language,
@@ -239,17 +278,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE,
         mined = picked.mapInArrow(lambda b, r=lengths, k=held: _sampled(b, r, k), "h long, n long")
         bits = _with(bits, mined.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= share))
 
-    found, before = None, None
-    while True:
-        known, old = context.broadcast(bits), context.broadcast(before) if before is not None else None
-        counted = texts.mapInArrow(lambda b, k=known, o=old: _passed(b, k, o),
-                                   "lang string, phrase string, m int, a long, h long, held boolean")
-        counted = materialise(_summed(counted, least), "phrases")
-        found = counted if found is None else found.unionByName(counted)
-        failed = counted.filter(~F.col("held") & F.col("m").between(1, MOST_WORDS - 1))
-        if failed.isEmpty():
-            return found.select("lang", "phrase", "m", "a")
-        before, bits = bits, _with(bits, failed.select("h"))
+    proposed = context.broadcast(bits)
+    counts = texts.mapInArrow(lambda b: _full(b, proposed), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    frequent = context.broadcast(_with(np.zeros(_WORDS, np.uint64), counts.filter(F.col("n") >= least)))
+    named = texts.mapInArrow(lambda b: _named(b, proposed, frequent), "lang string, phrase string, m int, a long")
+    return named.groupBy("lang", "phrase").agg(F.max("m").alias("m"), F.sum("a").alias("a")) \
+        .filter((F.col("a") >= least) | (F.col("m") == 0))
 
 
 def _words_of(phrase: str, n: str) -> Column:

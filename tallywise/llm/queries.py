@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, ppm, quality_rules, secret_scan, shuffle, substring_dedup, surrogates, unigram, winnowing
+from . import (archives, collocations, minhash, packing, ppm, quality_rules, secret_scan, shuffle, substring_dedup,
+               surrogates, tries, unigram, winnowing)
 from .common import documents
 
 
@@ -53,11 +54,25 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.round_trip(documents(spark, sf_dir))
 
 
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.shared_prefixes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir), sample_by=("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ppm_score, op3_secret_scan, op4_surrogates, op5_winnowing,
-                                   op6_minhash, op7_shuffle, op8_best_fit, op9_substring_dedup, op10_pieces, pipeline)}
-ORACLE = {"op1_quality_rules": quality_rules.oracle()}
+                                   op6_minhash, op7_shuffle, op8_best_fit, op9_substring_dedup, op10_pieces, op11_archives, op12_prefix_trie,
+                                   op13_collocations, pipeline)}
+ORACLE = {"op1_quality_rules": quality_rules.oracle(), "op11_archives": archives.oracle(), "op12_prefix_trie": tries.oracle(),
+          "op13_collocations": collocations.oracle()}
