@@ -54,7 +54,7 @@ LEAST = 100
 TOP = 2000
 SAMPLE = 8
 FILTER_BITS = 1 << 26
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 
 _WORDS = FILTER_BITS // 64
 _SHIFT = 64 - (_WORDS.bit_length() - 1)
