@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import (content_signature, dedup_key, rate_formula_denominator, review_kind,
                               shown_supplier)
 from ..functions.text import is_blank
-from ..plans.scan import Measure, numbered, scan
+from ..plans.scan import Measure, cut_lineage, numbered, walk
 from ..schema import (ADJUSTMENT, DIRECTIONS, ENTRY_TYPES, MONEY_SUM, RATE, SOURCE, STATUSES, TOLERANCE)
 from .filters import with_account
 from .matching import cross_check, only_new
@@ -118,32 +119,37 @@ def duplicates_by_risk(groups: DataFrame) -> DataFrame:
 
 FACTORS = (10, 100, 1000)
 SLIP = 0.005
-GRID = 0.002
 
 
-def _grid(x: Column) -> Column:
-    return F.floor(F.log(x) / F.lit(GRID)).cast("bigint")
+def _cell(x: Column, factor: int) -> Column:
+    """Amounts on a logarithmic grid; half the width of the factor's band is one cell."""
+    width = math.log((factor + SLIP) / (factor - SLIP)) / 2
+    return F.floor(F.log(x) / F.lit(width)).cast("bigint")
 
 
 def _amount_pairs(amounts: DataFrame) -> DataFrame:
     """Amounts of one account and supplier that are 10, 100 or 1000 times another.
 
-    Amounts sit on a logarithmic grid.  The partner of an amount lies in a band
-    narrower than a grid cell, so at most two cells are looked up per factor.
+    A band join with a grid for each factor: the partners of an amount lie in a band
+    two cells wide, so three cells are looked up, of which the band fills two thirds
+    or more.
     """
     a = F.col("big").cast("double")
-    cells = F.flatten(F.array(*[
-        F.sequence(_grid(a / (f + SLIP) * (1 - 1e-9)), _grid(a / (f - SLIP) * (1 + 1e-9))) for f in FACTORS]))
-    big = amounts.filter(F.col("cents") >= 50_000).select(
-        "card_id", "supplier", F.col("cents").alias("big")).withColumn("cell", F.explode(cells))
-    small = amounts.filter(F.col("cents") > 0).select(
-        "card_id", "supplier", F.col("cents").alias("small"), _grid(F.col("cents").cast("double")).alias("cell"))
-    met = big.join(small, ["card_id", "supplier", "cell"])
+
+    def band(f: int) -> Column:
+        cells = F.sequence(_cell(a / (f + SLIP) * (1 - 1e-12), f), _cell(a / (f - SLIP) * (1 + 1e-12), f))
+        return F.transform(cells, lambda c: F.struct(F.lit(f).alias("factor"), c.alias("cell")))
+
+    bands = F.flatten(F.array(*[band(f) for f in FACTORS]))
+    big = amounts.filter(F.col("cents") >= 50_000).select("card_id", "supplier", F.col("cents").alias("big")) \
+        .select("*", F.inline(bands))
+    own = F.array(*[F.struct(F.lit(f).alias("factor"), _cell(F.col("cents").cast("double"), f).alias("cell")) for f in FACTORS])
+    small = amounts.filter(F.col("cents") > 0).select("card_id", "supplier", F.col("cents").alias("small"), F.inline(own))
+    met = big.join(small, ["card_id", "supplier", "factor", "cell"])
     # The ratio is compared in whole cents: |big / small − f| < 0.005.
-    factor = F.round(F.col("big") / F.col("small")).cast("bigint")
-    close = F.abs(F.col("big") - factor * F.col("small")).cast("decimal(38,3)") < \
+    close = F.abs(F.col("big") - F.col("factor") * F.col("small")).cast("decimal(38,3)") < \
         F.col("small").cast("decimal(30,0)") * F.lit(SLIP).cast("decimal(4,3)")
-    return met.filter(factor.isin(*FACTORS) & close).select("card_id", "supplier", "big", "small", factor.alias("factor")).distinct()
+    return met.filter(close).select("card_id", "supplier", "big", "small", F.col("factor").cast("bigint").alias("factor"))
 
 
 def suspect_amounts(txn: DataFrame, acct: DataFrame) -> DataFrame:
@@ -157,8 +163,8 @@ def suspect_amounts(txn: DataFrame, acct: DataFrame) -> DataFrame:
     rows = txn.filter((F.col("entry_type") == SOURCE) & (F.col("status") != "voided")).withColumns({
         "supplier": shown_supplier(), "cents": F.round(F.abs("amount_aed") * 100).cast("bigint")})
     partner = F.struct(F.col("transaction_id").alias("id"), F.col("amount_aed").alias("amount"))
-    days = rows.groupBy("card_id", "supplier", "cents", "txn_date").agg(F.min(partner).alias("held"))
-    # A partner amount meets at most the charge days of its own supplier, twice.
+    # Four steps read the folded days: they are written once.
+    days = cut_lineage(rows.groupBy("card_id", "supplier", "cents", "txn_date").agg(F.min(partner).alias("held")))
     amounts = days.select("card_id", "supplier", "cents").distinct()
     pairs = _amount_pairs(amounts)
 
@@ -168,11 +174,15 @@ def suspect_amounts(txn: DataFrame, acct: DataFrame) -> DataFrame:
     offers = days.withColumnRenamed("cents", "small").join(wanted, ["card_id", "supplier", "small"], "left_semi")
     offer = F.struct(F.col("txn_date").alias("day"), F.col("held")["id"].alias("id"), F.col("held")["amount"].alias("amount"))
     kind = "struct<day:date,id:bigint,amount:decimal(18,2)>"
-    events = offers.select("card_id", "supplier", "small", "txn_date", offer.cast(kind).alias("offer"),
-                           F.lit(0).cast("bigint").alias("big"), F.lit(0).cast("bigint").alias("factor")) \
-        .unionByName(asks.withColumn("offer", F.lit(None).cast(kind)))
-    walked = scan(events, ["card_id", "supplier", "small"], ["txn_date", "big"],
-                  [Measure("before", "prev", F.col("offer"), kind), Measure("after", "next", F.col("offer"), kind)]).filter("big > 0")
+    # The days of one amount are few by what they are, asked or charged: a plain window orders them.
+    events = offers.select("card_id", "supplier", "small", "txn_date", offer.cast(kind).alias("offer"), F.lit(0).alias("asks")) \
+        .unionByName(asks.select("card_id", "supplier", "small", "txn_date", F.lit(None).cast(kind).alias("offer"),
+                                 F.lit(1).alias("asks")).distinct())
+    near = walk(events, ["card_id", "supplier", "small"], ["txn_date", "asks"],
+                [Measure("before", "prev", F.col("offer"), kind), Measure("after", "next", F.col("offer"), kind)]) \
+        .filter("asks = 1").select("card_id", "supplier", "small", F.struct("txn_date").alias("_on"), "before", "after")
+    # Inside a struct a missing date meets a missing date.
+    walked = asks.withColumn("_on", F.struct("txn_date")).join(near, ["card_id", "supplier", "small", "_on"])
 
     def ranked(o: str) -> Column:
         day = F.col(o)["day"]

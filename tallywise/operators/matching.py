@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import swapped
 from ..functions.keys import content_signature, copy_key
 from ..functions.text import is_narrative, squeeze, supplier_key, voucher_of
-from ..plans.scan import Measure, cut_lineage, place, position, scan, unplaced, walk
+from ..plans.scan import Measure, cut_lineage, position, scan, walk
 from ..schema import MONEY_SUM, TOLERANCE
 
 
@@ -68,20 +68,27 @@ def counted_match(lines: DataFrame, ledger: DataFrame, keys: Sequence[str], line
     """The k-th copy in the file meets the k-th copy in the ledger.
 
     Adds ``copy`` (which copy of its key the line is), ``held`` (copies in the
-    ledger), ``repeat_of`` (the first line it repeats) and ``held_id``.  Joining
-    on key *and* copy number spreads a charge listed a million times over a
-    million keys.
+    ledger), ``repeat_of`` (the first line it repeats) and ``held_id``.  One scan
+    walks the ledger's copies of a key and then the file's, so a line finds all
+    held copies counted; joining on key *and* copy number spreads a charge listed
+    a million times over a million keys.
     """
     keys = list(keys)
-    ours = scan(lines, keys, [line],
-                [position("copy"), Measure("_first", "max", -F.col(line), "bigint")])
-    theirs = scan(ledger.select(*keys, F.col(row_id).alias("held_id")), keys, ["held_id"],
-                  [position("copy")])
-    held = ledger.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
-    met = ours.join(theirs, keys + ["copy"], "left").join(held, keys, "left")
-    return met.withColumns({
-        "held": F.coalesce("held", F.lit(0)).cast("bigint"),
-        "repeat_of": F.when(-F.col("_first") != F.col(line), -F.col("_first"))}).drop("_first")
+    both = lines.select(*keys, F.lit(1).alias("_side"), F.col(line).alias("_id")).unionByName(
+        ledger.select(*keys, F.lit(0).alias("_side"), F.col(row_id).alias("_id")))
+    ours, one = F.col("_side") == 1, F.lit(1)
+    met = cut_lineage(scan(both, keys, ["_side", "_id"], [
+        Measure("held", "sum", F.when(~ours, one), "bigint"), Measure("copy", "sum", F.when(ours, one), "bigint"),
+        Measure("_first", "max", F.when(ours, -F.col("_id")), "bigint")]))
+    theirs = met.filter(~ours).select(*keys, F.col("held").alias("copy"), F.col("_id").alias("held_id"))
+    # A key with a part missing meets nothing.
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    paired = met.filter(ours).join(theirs, keys + ["copy"], "left").select(
+        F.col("_id").alias(line), "copy", F.when(known, F.col("held")).otherwise(0).cast("bigint").alias("held"),
+        F.when(-F.col("_first") != F.col("_id"), -F.col("_first")).alias("repeat_of"), "held_id")
+    return lines.join(paired, line)
 
 
 WINDOW_DAYS = 7
@@ -91,8 +98,8 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of one island after another, in file order, behind the island's rows.
 
     What is handed from batch to batch is the island being swept: the days whose row is
-    still unclaimed, and at which run each asked day last changed.  Returns one line for
-    each change of ``fits``: it holds for runs of that day from ``run`` on.
+    still unclaimed, and what fitted each asked day last.  Returns one line for each
+    change of ``fits``: it holds for lines of that day from the line ``run`` on.
     """
     island, left, known, out = None, {}, {}, []
     for pdf in batches:
@@ -100,7 +107,7 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             here = (r.card_id, r.cents, r.money_out, r.skey, r.island)
             if here != island:
                 island, left, known = here, {}, {}
-            if r.run == 0:
+            if not r.asks:
                 left[r.at] = r.held_id
                 continue
             near = [d for d in range(r.at - WINDOW_DAYS, r.at + WINDOW_DAYS + 1) if d in left]
@@ -156,29 +163,26 @@ def match_other_date(lines: DataFrame, pool: DataFrame) -> DataFrame:
     isles = walk(along.withColumn("_cut", cut), key, ["at", "asks"], [Measure("island", "sum", F.col("_cut"), "bigint")])
     isles = isles.drop("_last", "_cut")
     sizes = isles.groupBy(*key, "island").agg(F.sum("asks").alias("_asking"))
-    sized = isles.join(sizes, key + ["island"])
+    sized = cut_lineage(isles.join(sizes, key + ["island"]))
     first = F.when((F.col("near") == 1), F.col("held_id"))
     alone = sized.filter("_asking = 1 AND asks = 1").select(
         *key, "at", F.col("near").alias("_near"), F.col("first_line").alias("_first"), first.alias("_claim"))
 
     crossing = sized.filter("_asking > 1").drop("_asking", "first_line", "near")
     met = lines.withColumn("at", at)
-    swept = met.join(crossing.filter("asks = 1").select(*key, "at", "island"), key + ["at"])
-    stepped = scan(place(swept, key, ["line"]), key, ["line"], [Measure("_before", "prev", F.col("at"), "int")])
-    stepped = stepped.withColumn("_new", F.when(F.col("_before").eqNullSafe(F.col("at")), 0).otherwise(1))
-    runs_of = unplaced(scan(stepped, key, ["line"], [Measure("run", "sum", F.col("_new"), "bigint")]))
-    events = runs_of.filter("_new = 1").select(*key, "island", "run", "at", F.lit(None).cast("bigint").alias("held_id")) \
-        .unionByName(crossing.filter("asks = 0").select(*key, "island", F.lit(0).cast("bigint").alias("run"), "at", "held_id"))
-    changes = events.repartition(*key, "island").sortWithinPartitions(*key, "island", "run", "at").mapInPandas(
+    swept = cut_lineage(met.join(crossing.filter("asks = 1").select(*key, "at", "island"), key + ["at"]))
+    stepped = scan(swept, key, ["line"], [Measure("_before", "prev", F.col("at"), "int")])
+    events = stepped.filter("_before IS NULL OR _before <> at").select(
+        *key, "island", F.lit(1).alias("asks"), F.col("line").alias("run"), "at", F.lit(None).cast("bigint").alias("held_id")) \
+        .unionByName(crossing.filter("asks = 0").select(*key, "island", "asks", F.lit(None).cast("bigint").alias("run"), "at", "held_id"))
+    changes = events.repartition(*key, "island").sortWithinPartitions(*key, "island", "asks", "run", "at").mapInPandas(
         _sweep, "card_id bigint, cents bigint, money_out boolean, skey string, at int, run bigint, fits bigint, claimed_id bigint")
     steps = changes.groupBy(*key, "at").agg(F.sort_array(F.collect_list(F.struct("run", "fits", "claimed_id"))).alias("_steps"))
     # A day has 15 days near it, so at most 17 changes.
-    walked = runs_of.join(steps, key + ["at"]).withColumn("_now", F.element_at(F.filter(
-        "_steps", lambda s: s["run"] <= F.col("run")), -1))
-    opens = (F.col("_new") == 1) & (F.col("_now")["run"] == F.col("run"))
-    taken = (F.col("_now")["claimed_id"].isNotNull()) & ~opens
-    decided = walked.select(*lines.columns, F.when(taken, 0).otherwise(F.col("_now")["fits"]).alias("fits"),
-                            F.when(opens, F.col("_now")["claimed_id"]).alias("claimed_id"))
+    walked = swept.join(steps, key + ["at"]).withColumn("_now", F.element_at(F.filter(
+        "_steps", lambda s: s["run"] <= F.col("line")), -1))
+    decided = walked.select(*lines.columns, F.col("_now")["fits"].alias("fits"),
+                            F.when(F.col("_now")["run"] == F.col("line"), F.col("_now")["claimed_id"]).alias("claimed_id"))
 
     seen = met.join(reach.select(*key, at.alias("at"), "near", "most"), key + ["at"], "left") \
         .join(alone, key + ["at"], "left").filter("most IS NULL OR most > 1 OR _near IS NOT NULL")
@@ -210,13 +214,13 @@ def classify_duplicates(lines: DataFrame, ledger: DataFrame, with_reference: boo
 
     whole = lines.filter(F.col("txn_date").isNotNull() & F.col("amount_aed").isNotNull())
     odd = lines.filter(F.col("txn_date").isNull() | F.col("amount_aed").isNull())
-    # Several steps read these: computing them once and keeping them in the shared folder is cheaper.
+    # Several steps read the ledger's keys: computing them once and keeping them in the shared folder is cheaper.
     held_rows = keyed(ledger, copy_key()).select(
         *key, "transaction_id", "status", (F.col("amount_aed") < 0).alias("money_out"),
         is_narrative(F.coalesce("supplier_raw", "description")).alias("narrative")) \
         .filter(F.col("day").isNotNull())
     held_rows = cut_lineage(held_rows)
-    ours = cut_lineage(keyed(whole, supplier_key(F.col("supplier_raw"))))
+    ours = keyed(whole, supplier_key(F.col("supplier_raw")))
 
     first = counted_match(ours, held_rows, key)
     turned = held_rows.groupBy(*key).agg(F.min("transaction_id").alias("swapped_id"))
