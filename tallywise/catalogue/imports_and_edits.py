@@ -16,7 +16,7 @@ from ..operators import matching as M
 from ..operators import reports as R
 from ..operators import statistics as S
 from ..schema import ISO_CURRENCIES
-from ..session import shared_dir
+from ..session import shared_dir, state_on_disk
 from ..sources import files as files_
 from ..streaming import streams as ST
 from .chains_and_checks import BANK_ORDER, CORRECTIONS, KIND, OCCURRENCE, OPEN, corrections, order_number
@@ -705,16 +705,33 @@ def load_extraction(spark, d):
 SIG = "concat_ws('|', card_id, txn_date, kind, amount, supplier)"
 
 
-@query("suppress_double_submits", "T1", f"""
+SUPPRESS_SQL = f"""
 WITH RECURSIVE handed_in AS (SELECT {SIG} AS sig, submitted_at AS moment, allow_duplicate AS allowed FROM fx_submissions),
 accepted AS (SELECT sig, min(moment) AS moment FROM handed_in GROUP BY sig UNION ALL
   SELECT x.sig, min(y.moment) FROM accepted x JOIN handed_in y ON y.sig = x.sig AND y.moment > x.moment
     AND (y.allowed OR y.moment >= x.moment + INTERVAL 30 MINUTE) GROUP BY x.sig, x.moment)
-SELECT s.submission_id FROM fx_submissions s JOIN accepted a ON a.sig = {SIG} AND a.moment = s.submitted_at""", "submission_id")
+SELECT s.submission_id FROM fx_submissions s JOIN accepted a ON a.sig = {SIG} AND a.moment = s.submitted_at"""
+
+
+@query("suppress_double_submits", "T1", SUPPRESS_SQL, "submission_id")
 def suppress_double_submits(spark, d):
     return ST.suppress_double_submits(submissions(spark, d), seconds=1800).select("submission_id")
 
 
+@query("suppress_double_submits_stream", "T1", SUPPRESS_SQL, "submission_id")
+def suppress_double_submits_stream(spark, d):
+    """The submissions in three files, every third one in the first: most arrive behind later ones."""
+    base = shared_dir(spark, "submits")
+    rows = submissions(spark, d)
+    for part in range(3):
+        rows.filter(F.pmod("submission_id", F.lit(3)) == 2 - part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    with state_on_disk(spark):
+        ST.judge_submissions_stream(live, 1800).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out") \
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return ST.accepted_submissions(rows, spark.read.parquet(f"{base}/out")).select("submission_id")
+
+
 def _rows_as_files(df, path, parts=4):
     df.repartition(parts).write.parquet(path)
     return path
@@ -741,16 +758,32 @@ def monthly_activity_stream(spark, d):
         F.max_by("spend", "batch").alias("spend"), F.max_by("funding", "batch").alias("funding"))
 
 
-@query("ledger_events", "T3 I8", f"""
-SELECT transaction_id, coalesce(goal2, s1) AS status FROM ({DECIDED})""", "transaction_id status")
-def ledger_events(spark, d):
+def _decided(spark, d):
+    """The log after two micro-batches: the first decisions of all rows, then the second ones."""
     base = shared_dir(spark, "events")
     j = decisions(spark, d)
-    _rows_as_files(j, f"{base}/in", 2)
-    live = spark.readStream.schema(j.schema).parquet(f"{base}/in")
-    step = ST.ledger_events(f"{base}/log", lambda s: transactions(s, d), lambda s: accounts(s, d))
+    for part in range(2):
+        j.filter(F.pmod("decision_id", F.lit(2)) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    live = spark.readStream.schema(j.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    schema = ", ".join(f"{n} {t}" for n, t in ST.decision_log(ST.judge_decisions(
+        transactions(spark, d), accounts(spark, d), j)).dtypes)
+    spark.createDataFrame([], schema).write.parquet(f"{base}/log/start")
+    step = ST.ledger_events(f"{base}/log", lambda s: transactions(s, d), lambda s: accounts(s, d), schema)
     live.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return ST.current_status(transactions(spark, d), spark.read.parquet(f"{base}/log")).select("transaction_id", "status")
+    return spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(f"{base}/log")
+
+
+@query("ledger_events", "T3 I8", f"""
+SELECT transaction_id, coalesce(goal2, s1) AS status FROM ({DECIDED})""", "transaction_id status")
+def ledger_events(spark, d):
+    return ST.current_status(transactions(spark, d), _decided(spark, d)).select("transaction_id", "status")
+
+
+@query("ledger_event_log", "T3", f"""
+SELECT transaction_id * 2 AS decision_id, status AS from_status, s1 AS to_status FROM ({DECIDED}) WHERE error1 IS NULL
+UNION ALL SELECT transaction_id * 2 + 1, s1, goal2 FROM ({DECIDED}) WHERE n = 2 AND goal2 IS NOT NULL""", "decision_id from_status to_status")
+def ledger_event_log(spark, d):
+    return _decided(spark, d).select("decision_id", "from_status", "to_status")
 
 
 @query("incremental_import", "T2 I2 I6", f"""

@@ -73,9 +73,9 @@ def _columns(order: Sequence[Column | str]) -> list[Column]:
 
 
 def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], splits: int) -> DataFrame:
-    """One row for each key that has cuts: ``_k0``, ``_k1`` … and ``cuts`` in order."""
+    """One row for each key that has cuts: ``_scan_k0`` … and ``cuts`` in order."""
     at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(_columns(order))])
-    names = [f"_k{i}" for i in range(len(keys))]
+    names = [f"_scan_k{i}" for i in range(len(keys))]
     points = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], at.alias("at"))
     dealt = points.withColumn("h", F.xxhash64(*names, "at"))
     sample = dealt.groupBy(F.pmod("h", F.lit(splits)).alias("b")).agg(F.min_by(F.struct(*names, "at"), "h").alias("p"))
@@ -85,7 +85,7 @@ def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], spl
 def _same(keys: Sequence[str]) -> Column:
     same = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_scan_k{i}"))
     return same
 
 
@@ -93,27 +93,27 @@ def _reached(cuts: str, most: int) -> Column:
     """How many of the sorted ``cuts`` are at or below ``_at``; 0 without cuts."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
-        F.get(F.col(cuts), n + step - 1) <= F.col("_at"), n + step).otherwise(n))
+        F.get(F.col(cuts), n + step - 1) <= F.col("_scan_at"), n + step).otherwise(n))
 
 
 def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], splits: int = SPLITS) -> DataFrame:
     """Add the row's block along ``order`` within its key, and whether its key has more than one."""
-    names = [f"_k{i}" for i in range(len(keys))]
+    names = [f"_scan_k{i}" for i in range(len(keys))]
     cuts = _cuts(df, keys, order, splits)
     stretches = F.ceil(F.size("cuts") / F.lit(STRETCH)).cast("int")
-    part = F.col("_part") * STRETCH
-    tables = cuts.select(*names, "cuts", F.explode(F.sequence(F.lit(0), stretches - 1)).alias("_part")).select(
-        *names, part.alias("_passed"), F.when(part > 0, F.get("cuts", part)).alias("_from"),
-        F.get("cuts", part + STRETCH).alias("_to"), F.slice("cuts", part + 1, F.lit(STRETCH)).alias("_cuts"))
+    part = F.col("_scan_part") * STRETCH
+    tables = cuts.select(*names, "cuts", F.explode(F.sequence(F.lit(0), stretches - 1)).alias("_scan_part")).select(
+        *names, part.alias("_scan_passed"), F.when(part > 0, F.get("cuts", part)).alias("_scan_from"),
+        F.get("cuts", part + STRETCH).alias("_scan_to"), F.slice("cuts", part + 1, F.lit(STRETCH)).alias("_scan_cuts"))
     at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(_columns(order))])
-    within = (F.col("_from").isNull() | (F.col("_from") <= F.col("_at"))) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
-    found = df.withColumn("_at", at).join(F.broadcast(tables), _same(keys) & within, "left")
-    return found.withColumns({BLOCK: F.coalesce("_passed", F.lit(0)) + _reached("_cuts", STRETCH),
-                              EDGE: F.col("_passed").isNotNull()}).select(*df.columns, BLOCK, EDGE)
+    within = (F.col("_scan_from").isNull() | (F.col("_scan_from") <= F.col("_scan_at"))) & (F.col("_scan_to").isNull() | (F.col("_scan_at") < F.col("_scan_to")))
+    found = df.withColumn("_scan_at", at).join(F.broadcast(tables), _same(keys) & within, "left")
+    return found.withColumns({BLOCK: F.coalesce("_scan_passed", F.lit(0)) + _reached("_scan_cuts", STRETCH),
+                              EDGE: F.col("_scan_passed").isNotNull()}).select(*df.columns, BLOCK, EDGE)
 
 
 def _summary(m: Measure, order: Column) -> Column:
-    v = F.col(f"_m_{m.name}")
+    v = F.col(f"_scan_m_{m.name}")
     if m.kind in ("sum", "sum_before"):
         return F.sum(v).cast(m.dtype)
     if m.kind == "max":
@@ -158,23 +158,23 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], meas
     base = df if placed else place(df, keys, order, splits)
     outputs = [m.name for m in measures]
     names = [c for c in base.columns if c not in outputs]
-    okeys = [f"_o{i}" for i in range(len(order))]
-    base = base.withColumns({**{f"_m_{m.name}": m.value.cast(m.dtype) for m in measures},
+    okeys = [f"_scan_o{i}" for i in range(len(order))]
+    base = base.withColumns({**{f"_scan_m_{m.name}": m.value.cast(m.dtype) for m in measures},
                              **dict(zip(okeys, _columns(order)))})
 
     totals = base.filter(EDGE).groupBy(*keys, BLOCK).agg(
-        *[_summary(m, F.struct(*okeys)).alias(f"_m_{m.name}") for m in measures])
+        *[_summary(m, F.struct(*okeys)).alias(f"_scan_m_{m.name}") for m in measures])
     along = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(BLOCK).alias("_into"),
-        *[_over(m, F.col(f"_m_{m.name}"), along, False).alias(f"_c_{m.name}") for m in measures])
+        *[F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)], F.col(BLOCK).alias("_scan_into"),
+        *[_over(m, F.col(f"_scan_m_{m.name}"), along, False).alias(f"_scan_c_{m.name}") for m in measures])
 
     window = Window.partitionBy(*keys, BLOCK).orderBy(*okeys)
-    here = base.select("*", *[_over(m, F.col(f"_m_{m.name}"), window, True).alias(f"_h_{m.name}") for m in measures])
-    same = _same(keys) & (F.col(BLOCK) == F.col("_into"))
+    here = base.select("*", *[_over(m, F.col(f"_scan_m_{m.name}"), window, True).alias(f"_scan_h_{m.name}") for m in measures])
+    same = _same(keys) & (F.col(BLOCK) == F.col("_scan_into"))
     met = here.join(F.broadcast(carried), same, "left")
     return met.select(*[c for c in names if placed or c not in (BLOCK, EDGE)], *[
-        _joined(m, F.col(f"_h_{m.name}"), F.col(f"_c_{m.name}")).alias(m.name) for m in measures])
+        _joined(m, F.col(f"_scan_h_{m.name}"), F.col(f"_scan_c_{m.name}")).alias(m.name) for m in measures])
 
 
 def walk(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], measures: Sequence[Measure]) -> DataFrame:

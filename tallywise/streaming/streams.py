@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.dates import month_key
 from ..operators.balances import _sum_if
@@ -69,33 +70,63 @@ def suppress_double_submits(batch: DataFrame, seconds: int = 120) -> DataFrame:
     return judged.filter(kept).select(*batch.columns)
 
 
-def suppress_double_submits_stream(stream: DataFrame, seconds: int = 120) -> DataFrame:
-    """The same rule on a stream; state is the last accepted moment per signature.
-    It is kept for good, one number a signature: what is dropped could be asked for
-    again by a late row.  Give a long-lived stream a state store on disk.
+class _Verdicts(StatefulProcessor):
+    """All submissions of one signature in order of their moments, judged anew where a late one comes between."""
+
+    def __init__(self, window: int, remember: int | None) -> None:
+        self.window, self.remember = window, remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "at long, id long, allow boolean, accepted boolean, change long", self.remember)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.held.get()]
+        for pdf in rows:
+            held += [(int(at), int(i), bool(allow), None, 0) for at, i, allow in zip(pdf["at"], pdf["submission_id"], pdf["allow"])]
+        change, last, judged, out = max((r[4] for r in held), default=0) + 1, None, [], []
+        for at, same in groupby(sorted(held, key=lambda r: r[:2]), key=lambda r: r[0]):
+            same = list(same)
+            open_ = last is None or at - last >= self.window
+            first = min((r[1] for r in same if not r[2]), default=None)
+            for _, i, allow, was, since in same:
+                accepted = allow or (open_ and i == first)
+                if accepted is not was:
+                    out.append((i, accepted, change))
+                judged.append((at, i, allow, accepted, since if accepted is was else change))
+            if open_ or any(r[2] for r in same):
+                last = at
+        self.held.put(judged)
+        yield pd.DataFrame(out, columns=["submission_id", "accepted", "change"])
+
+    def close(self) -> None:
+        pass
+
 
-    No submission is discarded for being late: one that arrives behind its equals is
-    left out only if an accepted one lies within the window on either side of it.
+def judge_submissions_stream(stream: DataFrame, seconds: int = 120, remember_ms: int | None = None) -> DataFrame:
+    """The rule of ``suppress_double_submits`` on a stream, as a log of verdicts: ``submission_id, accepted, change``.
+
+    A verdict is given as soon as a submission arrives.  One that arrives late may turn
+    verdicts behind it, and those are then given again with a higher ``change``: the last
+    verdict of each submission (``accepted_submissions``) is what the batch says, in
+    whatever order the submissions came.  None is discarded for being late.
+
+    State lives in RocksDB (the session must name that provider): the moments of a
+    signature, for ``remember_ms`` after it was last written, or for good.  A signature is
+    judged in one task, and each batch walks those that it touches.
     """
-    window = seconds * 1_000_000
-    columns = stream.columns
-    rows = _signed(stream)
-    schema = stream.schema
-
-    def guard(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["submitted_at", "submission_id"])
-        keep = []
-        for at, allow in zip(pdf["submitted_at"].astype("datetime64[us]").astype("int64"), pdf["allow_duplicate"]):
-            ok = bool(allow) or last is None or abs(at - last) >= window
-            keep.append(ok)
-            if ok:
-                last = at if last is None else max(at, last)
-        state.update((last,))
-        yield pdf[keep][columns]
-
-    return rows.groupBy("_sig").applyInPandasWithState(
-        guard, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    allow = F.coalesce(F.col("allow_duplicate"), F.lit(False))
+    # The names reach Python as fields of a tuple, which cannot begin with an underscore.
+    rows = _signed(stream).select(F.col("_sig").alias("sig"), "submission_id", allow.alias("allow"),
+                                  F.unix_micros(F.col("submitted_at").cast("timestamp")).alias("at"))
+    return rows.groupBy("sig").transformWithStateInPandas(
+        _Verdicts(seconds * 1_000_000, remember_ms), "submission_id long, accepted boolean, change long", "Append",
+        "None" if remember_ms is None else "ProcessingTime")
+
+
+def accepted_submissions(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The submissions whose last verdict accepts them."""
+    last = verdicts.groupBy("submission_id").agg(F.max_by("accepted", "change").alias("_accepted"))
+    return rows.join(last.filter("_accepted").select("submission_id"), "submission_id", "left_semi")
 
 
 # ------------------------------------------------------------- foreachBatch
@@ -127,11 +158,23 @@ def incremental_import(ledger_path: str, to_batch: Callable[[DataFrame], DataFra
     return step
 
 
-def ledger_events(log_path: str, ledger: Callable[[SparkSession], DataFrame], acct: Callable[[SparkSession], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function folding review decisions into an append-only log."""
+def ledger_events(log_path: str, ledger: Callable[[SparkSession], DataFrame],
+                  acct: Callable[[SparkSession], DataFrame], log_schema: Any) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function folding review decisions into an append-only log.
+
+    Each batch sees the status that the decisions of earlier batches left, so
+    ``from_status`` is right from the second batch on.  Only the rows it decides on are
+    looked up, in the ledger and in the log.  A repeated batch replaces its own folder
+    and does not see what it wrote before.
+    """
     def step(decisions: DataFrame, batch_id: int) -> None:
         spark = decisions.sparkSession
-        judged = judge_decisions(ledger(spark), acct(spark), decisions)
+        named = decisions.select("transaction_id").distinct()
+        log = _parts(spark, log_path, log_schema).filter(
+            ~F.contains(F.col("_metadata.file_path"), F.lit(f"/batch={batch_id:010d}/")))
+        asked = lambda df: df.join(named, "transaction_id", "left_semi")
+        now = current_status(asked(ledger(spark)), asked(log))
+        judged = judge_decisions(now, acct(spark), decisions)
         decision_log(judged).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id:010d}")
     return step
 

@@ -13,6 +13,7 @@ from tallywise.operators import checks as Q
 from tallywise.operators import edits as E
 from tallywise.operators import imports as I
 from tallywise.operators import matching as M
+from tallywise.session import state_on_disk
 from tallywise.streaming import streams as ST
 
 D0 = dt.date(2026, 1, 1)
@@ -210,35 +211,34 @@ def test_double_submits_equal_the_plain_loop(spark):
     assert got - odd == want - odd
 
 
-def test_stream_and_batch_suppress_the_same(spark, tmp_path):
+def streamed(spark, df, parts, tmp_path):
+    """The ids accepted when the rows of ``parts`` arrive one list after another."""
+    for ids in parts:
+        df.filter(F.col("submission_id").isin(ids)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with state_on_disk(spark):
+        ST.judge_submissions_stream(live).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append") \
+            .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    return {r.submission_id for r in ST.accepted_submissions(df, spark.read.parquet(f"{tmp_path}/out")).collect()}
+
+
+def test_stream_and_batch_suppress_the_same_in_any_order(spark, tmp_path):
     rnd = random.Random(2)
     t0 = dt.datetime(2026, 1, 1, 9)
-    rows = [(i, rnd.randrange(3), D0, "purchase", Decimal("5"), "X", t0 + dt.timedelta(seconds=i * 17), i % 13 == 0) for i in range(150)]
-    schema = ("submission_id long, card_id long, txn_date date, kind string, amount decimal(18,2), supplier string, "
-              "submitted_at timestamp, allow_duplicate boolean")
-    df = spark.createDataFrame(rows, schema)
-    for k in range(3):
-        df.filter(F.floor(F.col("submission_id") / 50) == k).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
-    live = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = ST.suppress_double_submits_stream(live).writeStream.format("memory").queryName("kept").outputMode("append") \
-        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.submission_id for r in spark.table("kept").collect()}
-    assert got == {r.submission_id for r in ST.suppress_double_submits(df).collect()}
-
-
-def test_a_late_submission_is_kept(spark, tmp_path):
-    days = ["2026-01-05 10:00:00", "2026-01-05 10:01:00", "2026-01-09 10:00:00", "2026-01-01 10:00:00"]
-    df = spark.createDataFrame([(k, "X", False, d) for k, d in enumerate(days)],
+    rows = [(i, rnd.randrange(3), D0, "purchase", Decimal("5"), "X", t0 + dt.timedelta(seconds=rnd.randrange(150) * 17), i % 13 == 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "submission_id long, card_id long, txn_date date, kind string, amount decimal(18,2), supplier string, "
+                                     "submitted_at timestamp, allow_duplicate boolean")
+    ids = rnd.sample(range(150), 150)
+    assert streamed(spark, df, [ids[k::3] for k in range(3)], tmp_path) == \
+        {r.submission_id for r in ST.suppress_double_submits(df).collect()}
+
+
+def test_a_late_submission_is_judged_by_all_accepted_ones(spark, tmp_path):
+    moments = ["2026-01-05 10:00:00", "2026-01-05 11:00:00", "2026-01-05 10:00:30", "2026-01-01 10:00:00", "2026-01-05 09:59:00"]
+    df = spark.createDataFrame([(k, "X", False, d) for k, d in enumerate(moments)],
                                "submission_id long, supplier string, allow_duplicate boolean, at string") \
         .select("submission_id", "supplier", "allow_duplicate", F.col("at").cast("timestamp").alias("submitted_at"))
-    for k in range(len(days)):
-        df.filter(F.col("submission_id") == k).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
-    live = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = ST.suppress_double_submits_stream(live).writeStream.format("memory").queryName("late").outputMode("append") \
-        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.submission_id for r in spark.table("late").collect()} == {0, 2, 3}
+    assert streamed(spark, df, [[0], [1], [2], [3], [4]], tmp_path) == {1, 3, 4}
 
 
 # ---------------------------------------------------------------- changes
