@@ -8,7 +8,8 @@ best fit is the lowest bit at or above the piece's length, found by one shift.
 nothing fits, a bin is opened; beyond ``open_bins`` the fullest open bin closes.
 
 A tokenizer cuts at white space, so the ids of a text are those of its chunks
-between white space; each task remembers the chunks it has met.
+between white space; each task remembers the chunks it has met, and the runs of
+letters, digits or marks that they consist of.
 
 Nulls and edge cases: a null or empty text is the closing id alone; repeated rows
 are packed one by one; a null id is carried along; an empty table gives no rows.
@@ -17,16 +18,19 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +51,10 @@ CODED = 2_000
 _OPEN = "".join(x for x in map(chr, range(sys.maxunicode + 1))
                 if x.isalnum() and not unicodedata.normalize("NFC", x.lower())[-1].isalnum())
 #: Marks at the end of a chunk, behind any other letter or digit: a token of their own wherever they stand.
-_MARKS = re.compile(rf"(?<=[^\W_{_OPEN}])[.,;:!?]+(?=[\s]|$)")
-#: Controls that ``str.split`` takes for white space and tokenizers do not.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_MARKS = re.compile(rf"(?<=[^\W_{_OPEN}])[.,;:!?]+(?=\s|$)")
+_LAST = frozenset(".,;:!?")
+#: Controls that splitting takes for white space and tokenizers do not.
+_SEPARATORS = r"[\x1c-\x1f]"
 
 _CODERS: dict[str, "Coder"] = {}
 
@@ -66,10 +71,20 @@ class Coder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
+        # The pattern by which the tokenizer itself cuts, if that is all it does before merging bytes.
+        match json.loads(self.tokenizer.to_str()):
+            case {"model": {"type": "BPE"}, "normalizer": {}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+                    {"type": "Split", "pattern": {"Regex": str(pattern)}, "behavior": "Removed", "invert": True},
+                    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]}}:
+                self.pattern = regex.compile(pattern)
+            case _:
+                self.pattern = None
         # Special tokens may hold white space or span it; texts with one, in any case, are coded whole.
         added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content.encode().lower().decode() for t in added.values()]
+        special = [t.content.encode().lower().decode() for t in added.values()]
+        self.odd = "|".join([_SEPARATORS, *map(re.escape, special)])
         # A token cut out of the text as it stands parts chunks that are coded in one call.
         self.between = next(((i, t.content) for i, t in added.items() if t.special and not (
             t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
@@ -87,28 +102,58 @@ class Coder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [x for x in chunks if x not in self.known]
+    def learn(self, stems: set[str]) -> None:
+        new = [x for x in stems if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(chunks)
+            self.known = {"": b""}
+            new = list(stems)
+        plain = [x for x in new if x.isascii()] if self.pattern else []
+        # Where normalising changes nothing, a chunk's ids are those of the runs it is cut into.
+        joined = "\0".join(plain)
+        if plain and self.tokenizer.normalizer.normalize_str(joined) == joined:
+            runs = [self.pattern.findall(x) for x in plain]
+            if len(self.runs) > REMEMBERED:
+                self.runs = {}
+            self.meet({y for x in runs for y in x}, self.runs)
+            get = self.runs.__getitem__
+            self.known.update((x, b"".join(map(get, y))) for x, y in zip(plain, runs, strict=True))
+            new = [x for x in new if not x.isascii()]
+        self.meet(new, self.known)
+
+    def meet(self, texts: Iterable[str], known: dict[str, bytes]) -> None:
+        new = [x for x in texts if x not in known]
         for at in range(0, len(new), CODED):
             part = new[at:at + CODED]
-            self.known.update(zip(part, self.code(part), strict=True))
+            known.update(zip(part, self.code(part), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text.  Arrow cuts the texts and tells the chunks apart, so each
+        distinct chunk is looked up once and its ids are copied by position."""
         # The tokenizer lowers A-Z itself; done before, fewer chunks differ.
-        split: list[list[str] | None] = []
-        for x in texts:
-            low = x.encode().lower().decode()
-            odd = any(s in low for s in self.special) or _SEPARATORS.search(low)
-            split.append(None if odd else _MARKS.sub(r" \g<0>", low).split())
-        chunks: set[str] = set()
-        for s in split:
-            chunks.update(s or ())
-        self.learn(chunks)
-        get = self.known.__getitem__
-        return [self.whole(x) if s is None else b"".join(map(get, s)) for x, s in zip(texts, split, strict=True)]
+        # A fresh array: the splitting below misreads slices that start inside their buffer.
+        texts = pa.array(texts if isinstance(texts, list) else texts.to_pylist(), pa.large_string())
+        low = pc.ascii_lower(pc.fill_null(texts, ""))
+        odd = pc.match_substring_regex(low, self.odd)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", low))
+        met = split.flatten().dictionary_encode()
+        chunks = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # Marks are few, so chunks that end in some are put together of two.
+        tails = {i: m[0] for i, x in enumerate(chunks) if x[-1:] in _LAST and (m := _MARKS.search(x))}
+        for i, x in tails.items():
+            chunks[i] = chunks[i][:-len(x)]
+        self.learn({*chunks, *tails.values()})
+        coded = list(map(self.known.__getitem__, chunks))
+        for i, x in tails.items():
+            coded[i] += self.known[x]
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        chunk = met.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(length[chunk])])
+        starts = (np.cumsum(length) - length)[chunk]
+        raw = ids[np.repeat(starts - ends[:-1], length[chunk]) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        return [self.whole(texts[i].as_py()) if strange else raw[a:b] for i, (strange, a, b) in enumerate(
+            zip(odd.to_pylist(), bounds[:-1], bounds[1:], strict=True))]
 
 
 def coder(path: str) -> Coder:
@@ -125,10 +170,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in slices(batches):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+        for batch in slices(batches, 1024):
             rows = []
-            for i, ids in enumerate(code.encode(texts)):
+            for i, ids in enumerate(code.encode(batch.column("text"))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
