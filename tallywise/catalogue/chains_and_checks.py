@@ -334,6 +334,16 @@ def row_violations(spark, d):
     return Q.row_violations(damaged)
 
 
+STRAY = "CASE WHEN transaction_id % 1700 = 0 THEN NULL WHEN transaction_id % 1300 = 0 THEN card_id + 1000000000 ELSE card_id END"
+
+
+@query("rows_of_unknown_accounts", "Q1 J1", f"""
+SELECT transaction_id, card_id, 'account_exists' AS rule FROM (SELECT transaction_id, {STRAY} AS card_id FROM fx_transactions) t
+WHERE NOT EXISTS (SELECT 1 FROM fx_accounts a WHERE a.card_id = t.card_id)""", "transaction_id card_id rule")
+def rows_of_unknown_accounts(spark, d):
+    return Q.rows_of_unknown_accounts(transactions(spark, d).withColumn("card_id", F.expr(STRAY)), accounts(spark, d))
+
+
 GROUPS = """
 SELECT t.card_id, a.card_name, t.txn_date, t.amount_aed, coalesce(supplier_raw, description, '') AS supplier, coalesce(payment_ref, '') AS payment_ref,
   count(*) AS copies, count(DISTINCT coalesce(source_sheet, 'manual entry')) AS distinct_sources, min(created_at) AS first_entered,

@@ -21,7 +21,7 @@ from ..sources import files as files_
 from ..streaming import streams as ST
 from .chains_and_checks import BANK_ORDER, CORRECTIONS, KIND, OCCURRENCE, OPEN, corrections, order_number
 from .filters_and_totals import MONTHS
-from .matching_and_values import BLANKED, CLASSIFY_SQL, HELD, VOUCHED, blanked
+from .matching_and_values import BLANKED, CLASSIFY_SQL, HELD, VOUCHED, blanked, suppliers
 from .registry import query
 from .sql_parts import BALANCES, SIGNATURE, SPEND, voucher
 
@@ -180,15 +180,38 @@ SELECT transaction_id AS line, CASE WHEN {OK} % 43 = 0 THEN NULL ELSE txn_date E
     CASE WHEN currency IS NULL AND {OK} % 53 = 0 THEN 'does not cost itself' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM (SELECT * FROM fx_transactions)""", "line @txn_date $amount_aed currency $original_amount exchange_rate problems")
 def import_payments(spark, d):
+    return I.import_payments(payment_rows(spark, d)).select(
+        "line", "txn_date", "amount_aed", "currency", "original_amount", "exchange_rate", "problems")
+
+
+PAID = f"""SELECT transaction_id, status, CASE WHEN {OK} % 43 = 0 THEN NULL ELSE txn_date END AS paid_on, txn_date, -abs(amount_aed) AS cost, amount_aed,
+  upper(trim(regexp_replace(coalesce(supplier_raw, ''), '\\s+', ' ', 'g'))) AS who, upper(trim(regexp_replace(coalesce(req_number, ''), '\\s+', ' ', 'g'))) AS asked
+FROM fx_transactions"""
+
+
+@query("recognise_payments", "I19 J10", f"""
+SELECT p.line, p.copy, CASE WHEN p.paid_on IS NULL THEN 0 ELSE coalesce(c.held, 0) END AS held, h.held_id FROM (
+SELECT *, transaction_id AS line, row_number() OVER (PARTITION BY paid_on, cost, who, asked ORDER BY transaction_id) AS copy FROM ({PAID})) p
+LEFT JOIN (SELECT txn_date, amount_aed, who, asked, count(*) AS held FROM ({PAID}) WHERE status <> 'voided' GROUP BY ALL) c
+  ON c.txn_date = p.paid_on AND c.amount_aed = p.cost AND c.who = p.who AND c.asked = p.asked
+LEFT JOIN (SELECT *, transaction_id AS held_id, row_number() OVER (PARTITION BY txn_date, amount_aed, who, asked ORDER BY transaction_id) AS copy
+  FROM ({PAID}) WHERE status <> 'voided') h
+  ON h.txn_date = p.paid_on AND h.amount_aed = p.cost AND h.who = p.who AND h.asked = p.asked AND h.copy = p.copy""", "line #copy #held held_id")
+def recognise_payments(spark, d):
+    paid = I.import_payments(payment_rows(spark, d))
+    return I.recognise_payments(paid, transactions(spark, d)).select("line", "copy", "held", "held_id")
+
+
+def payment_rows(spark, d):
+    """The ledger written out as the list of payments of a bank."""
     size = F.abs("amount_aed")
     local = F.col("currency").isNull()
-    rows = transactions(spark, d).select(
+    return transactions(spark, d).select(
         F.col("transaction_id").alias("line"), F.when(ok() % 43 == 0, "yesterday").otherwise(F.date_format("txn_date", "dd-MM-yyyy")).alias("date"),
         F.col("supplier_raw").alias("beneficiary"), F.coalesce("currency", F.lit("aed")).alias("currency"),
         F.when(local, (size + F.when(ok() % 53 == 0, 1).otherwise(0)).cast("string")).otherwise(F.col("original_amount").cast("string")).alias("amount"),
         F.col("req_number").alias("reference"), F.when(ok() % 47 == 0, "SAR").otherwise("AED").alias("local_currency"),
         F.format_number(size.cast("double"), 2).alias("local_amount"))
-    return I.import_payments(rows).select("line", "txn_date", "amount_aed", "currency", "original_amount", "exchange_rate", "problems")
 
 
 CANDIDATES = f"""SELECT *, encode_hex AS dedup_key FROM ({OCCURRENCE})"""
@@ -328,6 +351,13 @@ def refused_submissions(spark, d):
     return E.refused_submissions(entries(spark, d), currency_table(spark))
 
 
+@query("submitted_suppliers", "I6 J9 X7", f"""
+SELECT DISTINCT trim(supplier_raw) AS name, CAST(NULL AS VARCHAR) AS country_code FROM ({ENTRIES}) WHERE error IS NULL
+EXCEPT SELECT 'SUPPLIER ' || CAST(s_suppkey % 50 AS VARCHAR), CASE WHEN s_suppkey % 2 = 0 THEN '840' END FROM supplier""", "name country_code")
+def submitted_suppliers(spark, d):
+    return E.submitted_suppliers(suppliers(spark, d), entries(spark, d), currency_table(spark))
+
+
 NEW_SIGNATURE = """concat_ws('|', CAST(card_id AS VARCHAR), CAST(txn_date AS VARCHAR), CAST(amt AS VARCHAR), upper(trim(supplier_raw)),
   upper(trim(coalesce(payment_ref, ''))), upper(trim(coalesce(req_number, ''))))"""
 
@@ -468,6 +498,10 @@ def mark_bank_charges(spark, d):
     return E.mark_bank_charges(blanked(spark, d), accounts(spark, d)).select("transaction_id", "req_number")
 
 
+#: Accounts that opened amid their rows.
+OPENED = "SELECT card_id, max(txn_date) - CAST((max(txn_date) - min(txn_date)) // 2 AS INTEGER) AS opening_date FROM fx_transactions GROUP BY 1"
+
+
 @query("repair_statement_dates", "I15 J15", f"""
 WITH stated AS (SELECT line, card_id, amount_aed, txn_date AS bank_date, {voucher("coalesce(supplier_raw, '')")} AS voucher FROM fx_file),
 span AS (SELECT card_id, min(bank_date) AS lo, max(bank_date) AS hi FROM stated GROUP BY 1)
@@ -478,6 +512,20 @@ def repair_statement_dates(spark, d):
     return E.repair_statement_dates(transactions(spark, d), statement).select("transaction_id", "txn_date", "date_repaired")
 
 
+@query("moved_balances", "I15", f"""
+WITH stated AS (SELECT line, card_id, amount_aed, txn_date AS bank_date, {voucher("coalesce(supplier_raw, '')")} AS voucher FROM fx_file),
+span AS (SELECT card_id, min(bank_date) AS lo, max(bank_date) AS hi FROM stated GROUP BY 1)
+SELECT t.transaction_id, t.card_id, t.txn_date AS old_date, w.bank_date AS new_date, a.opening_date,
+  CASE WHEN w.bank_date >= a.opening_date THEN t.amount_aed ELSE -t.amount_aed END AS effect
+FROM fx_transactions t JOIN ({VOUCHED}) w ON w.transaction_id = t.transaction_id AND w.outcome = 'date_differs' JOIN ({OPENED}) a ON a.card_id = t.card_id
+WHERE (t.txn_date >= a.opening_date) <> (w.bank_date >= a.opening_date)""", "transaction_id card_id @old_date @new_date @opening_date $effect")
+def moved_balances(spark, d):
+    t = transactions(spark, d)
+    opened = t.groupBy("card_id").agg(F.expr("date_sub(max(txn_date), CAST(datediff(max(txn_date), min(txn_date)) DIV 2 AS INT))").alias("opening_date"))
+    repaired = E.repair_statement_dates(t, upload_lines(spark, d).withColumnRenamed("txn_date", "bank_date"))
+    return E.moved_balances(t, repaired, opened)
+
+
 @query("build_update_rows_by_id", "I9 J14", """
 SELECT line, held_id, error, unchanged FROM (SELECT *, coalesce(error IS NULL AND value = coalesce(payment_ref, ''), FALSE) AS unchanged FROM (
 SELECT transaction_id AS line, card_id, payment_ref, CASE WHEN transaction_id % 19 = 0 THEN NULL ELSE transaction_id END AS held_id, value,

@@ -185,6 +185,18 @@ def canonical_suppliers(spark, d):
     return M.canonical_suppliers(suppliers(spark, d)).select("supplier_id", "name", "country_code", "keep_id")
 
 
+SUPPLIED = "CASE WHEN transaction_id % 11 > 0 THEN 1 + transaction_id % 97 END"
+
+
+@query("repoint_suppliers", "W7", f"""
+SELECT transaction_id, coalesce(keep_id, t.supplier_id) AS supplier_id FROM (SELECT transaction_id, {SUPPLIED} AS supplier_id FROM fx_transactions) t
+LEFT JOIN (SELECT supplier_id, first_value(supplier_id) OVER (PARTITION BY name, coalesce(country_code, '') ORDER BY created_at, supplier_id) AS keep_id
+  FROM ({SUPPLIERS_SQL})) s ON s.supplier_id = t.supplier_id""", "transaction_id supplier_id")
+def repoint_suppliers(spark, d):
+    rows = transactions(spark, d).withColumn("supplier_id", F.expr(SUPPLIED))
+    return M.repoint_suppliers(rows, suppliers(spark, d)).select("transaction_id", "supplier_id")
+
+
 NAME_SQL = r"trim(regexp_replace(supplier_raw, '\s\d{3}\s*$', ''))"
 CODE_SQL = r"nullif(regexp_extract(supplier_raw, '\s(\d{3})\s*$', 1), '')"
 

@@ -54,6 +54,18 @@ def row_violations(txn: DataFrame) -> DataFrame:
     return txn.select("transaction_id", "card_id", F.explode(broken).alias("rule"))
 
 
+def rows_of_unknown_accounts(txn: DataFrame, acct: DataFrame) -> DataFrame:
+    """Rows whose account is missing or not in ``acct``, as violations of ``account_exists``.
+
+    Operators that join accounts leave such rows out.  The accounts that occur are
+    compared, not the rows, so a crowded account is one row of the join.
+    """
+    used = txn.select("card_id").distinct()
+    unknown = used.join(acct.select("card_id"), "card_id", "left_anti").withColumnRenamed("card_id", "_unknown")
+    return txn.join(unknown, F.col("card_id").eqNullSafe(F.col("_unknown")), "left_semi").select(
+        "transaction_id", "card_id", F.lit("account_exists").alias("rule"))
+
+
 def duplicate_keys(txn: DataFrame) -> DataFrame:
     """Dedup keys held by more than one row."""
     return txn.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")

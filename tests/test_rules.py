@@ -352,3 +352,35 @@ def test_scratch_needs_a_shared_folder():
     far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: conf))
     with pytest.raises(ValueError):
         shared_dir(far, "x")
+
+
+def test_payments_are_recognised_by_count(spark):
+    from tallywise.operators.imports import recognise_payments
+    day = dt.date(2024, 5, 6)
+    paid = spark.createDataFrame([(1, day, "Acme Ltd", Decimal("-10.00"), "REQ 1"), (2, day, "ACME  ltd", Decimal("-10.00"), "req 1"),
+                                  (3, day, "Acme Ltd", Decimal("-10.00"), "REQ 1"), (4, None, "Acme Ltd", Decimal("-10.00"), "REQ 1")],
+                                 "line bigint, txn_date date, supplier_raw string, amount_aed decimal(18,2), req_number string")
+    held = spark.createDataFrame([(7, day, "acme ltd", Decimal("-10.00"), "REQ 1", "confirmed"), (8, day, "Acme Ltd", Decimal("-10.00"), "REQ 1", "voided"),
+                                  (9, day, "Acme Ltd", Decimal("-10.00"), "REQ 1", "needs_review")],
+                                 "transaction_id bigint, txn_date date, supplier_raw string, amount_aed decimal(18,2), req_number string, status string")
+    assert sorted((r.line, r.held_id) for r in recognise_payments(paid, held).collect()) == [(1, 7), (2, 9), (3, None), (4, None)]
+
+
+def test_a_date_moved_across_the_opening_moves_the_balance(spark):
+    from tallywise.operators.edits import moved_balances
+    a, b, c = dt.date(2024, 1, 31), dt.date(2024, 2, 1), dt.date(2024, 2, 2)
+    cols = "transaction_id bigint, card_id bigint, txn_date date, amount_aed decimal(18,2), status string"
+    was = [(1, 1, a, Decimal("-5.00"), "confirmed"), (2, 1, b, Decimal("7.00"), "confirmed"), (3, 1, b, Decimal("9.00"), "confirmed"),
+           (4, 1, a, Decimal("-5.00"), "voided"), (5, 2, a, Decimal("3.00"), "confirmed")]
+    now = [(1, 1, b), (2, 1, a), (3, 1, c), (4, 1, b), (5, 2, c)]
+    acct = spark.createDataFrame([(1, b), (2, None)], "card_id bigint, opening_date date")
+    moved = moved_balances(spark.createDataFrame(was, cols), spark.createDataFrame(now, "transaction_id bigint, card_id bigint, txn_date date"), acct)
+    assert sorted((r.transaction_id, r.effect) for r in moved.collect()) == [(1, Decimal("-5.00")), (2, Decimal("-7.00"))]
+
+
+def test_rows_of_unknown_accounts(spark):
+    from tallywise.operators.checks import rows_of_unknown_accounts
+    t = spark.createDataFrame([(1, 1), (2, 5), (3, None)], "transaction_id bigint, card_id bigint")
+    acct = spark.createDataFrame([(1,)], "card_id bigint")
+    assert sorted(r.transaction_id for r in rows_of_unknown_accounts(t, acct).collect()) == [2, 3]
+    assert rows_of_unknown_accounts(t.limit(0), acct).count() == 0
