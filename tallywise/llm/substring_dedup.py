@@ -7,19 +7,21 @@ into stretches of windows, each owned by one run:
 
 1. Runs that own windows are counted over all documents; those that occur once
    cannot belong to a repeated window and go.
-2. Equal stretches are counted by hash, and one of each is sent to its shard in words.
-3. A shard indexes its stretches and streams them through the index: backward search
+2. Equal stretches are counted by hash.  A stretch with copies is repeated throughout;
+   where its run owns no other stretch, that settles the run.  Of the rest one of each
+   is sent to its shard in words.
+3. A shard indexes its stretches and streams those without copies through the index: backward search
    over the wavelet matrix gives the matching statistics, and every window of full
    length that occurs twice is reported.
 4. The reported windows go back to the documents, which drop the words they cover.
 
 A run with more than ``most`` different stretches would burden one shard.  All places of
-a window have the same run, so its windows need no index: they are counted by their
-words, added up before they are shuffled, and those that occur twice go back to their
-stretches by hash.
+a window have the same run, so its windows need no index: they are counted by a hash of
+128 bits, added up before they are shuffled, and those that occur twice go back to their
+stretches.
 
-Hashes only route and compare runs and rows (64 and 96 bits) and bring back the windows
-that were counted (128 bits); windows are compared by their words.
+Hashes compare runs and rows (64 and 96 bits), whole stretches (128 bits with the run's)
+and the windows of crowded runs (128 bits); all other windows are compared by their words.
 
 Nulls and edge cases: a null or blank text has no words and nothing is removed;
 texts shorter than a window keep all; long texts are handled whole; rows that repeat
@@ -34,9 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, slices
 from .fm_index import FMIndex, repeated_windows
@@ -121,20 +125,19 @@ def _texts(window: int):
     return each
 
 
-def _windows(window: int, with_words: bool):
-    """The windows of stretches one by one: their words and copies, or their places."""
+def _windows(window: int, places: bool):
+    """The windows of stretches one by one, by hash, with their copies or their places."""
+    names = ["low", "high", *(["run", "content", "at"] if places else ["copies"])]
+    kinds = [pa.int64()] * 4 + [pa.int32()] if places else [pa.int64()] * 3
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for x in batch.to_pylist():
                 words = x["words"].encode().split()
                 for at in range(len(words) - window + 1):
-                    cut = b" ".join(words[at:at + window])
-                    low, high = struct.unpack("<qq", xxhash.xxh3_128_digest(cut))
-                    rows.append((low, high, cut.decode(), x["copies"]) if with_words else
-                                (low, high, x["run"], x["content"], at))
-            names = ["low", "high", "words", "copies"] if with_words else ["low", "high", "run", "content", "at"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()] if with_words else [pa.int64()] * 4 + [pa.int32()]
+                    pair = struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words[at:at + window])))
+                    rows.append((*pair, x["run"], x["content"], at) if places else (*pair, x["copies"]))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
     return each
@@ -145,21 +148,23 @@ def _search(window: int):
         ids: dict[str, int] = {}
         # 0 ends the text, 1 stands between stretches.
         flat, begin, end = [], [], []
-        for text, copies in zip(table["words"].to_pylist(), table["copies"].to_pylist(), strict=True):
-            symbols = [ids.setdefault(x, len(ids) + 2) for x in text.split(" ")]
-            begin.append(len(flat))
-            flat += symbols
-            end.append(len(flat))
-            flat.append(1)
-            if copies > 1:
-                # A second copy in the index stands for all others.
-                flat += symbols
+        # Stretches with copies are known to repeat: they are searched in, not searched for.
+        asked = table.filter(pc.equal(table["copies"], 1))
+        for part, copied in ((asked, False), (table.filter(pc.greater(table["copies"], 1)), True)):
+            for text in part["words"].to_pylist():
+                if not copied:
+                    begin.append(len(flat))
+                flat += [ids.setdefault(x, len(ids) + 2) for x in text.split(" ")]
+                if not copied:
+                    end.append(len(flat))
                 flat.append(1)
+        if not begin:
+            return pa.table([asked["run"], asked["content"], pa.array([], pa.int64())], names=["run", "content", "mask"])
         flat.append(0)
         text, begin, end = np.array(flat, np.int64), np.array(begin), np.array(end)
         found = repeated_windows(FMIndex(text), text, begin, end, window)
         masks = [sum(1 << int(i) for i in np.flatnonzero(found[a:b - window + 1])) for a, b in zip(begin, end, strict=True)]
-        return pa.table([table["run"], table["content"], pa.array(masks, pa.int64())], names=["run", "content", "mask"])
+        return pa.table([asked["run"], asked["content"], pa.array(masks, pa.int64())], names=["run", "content", "mask"])
     return search
 
 
@@ -199,33 +204,37 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
                         F.crc32(whole.cast("binary")).alias("check"))
     texts = keyed.select("key", "check", "text")
 
-    runs = texts.mapInArrow(_runs(window, gram), "run long, content long, key long, check long, first int, n int")
+    runs = materialise(texts.mapInArrow(_runs(window, gram), "run long, content long, key long, check long, first int, n int"),
+                       "stretches")
     often = runs.select("run").groupBy("run").agg(F.count("*").alias("times")).filter("times > 1").select("run")
     candidates = materialise(runs.join(often, "run"), "runs")
 
     contents = materialise(candidates.groupBy("run", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "check", "first", "n")).alias("x"))
         .select("run", "content", "copies", "x.*"), "contents")
-    crowded = materialise(contents.groupBy("run").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most)
-                          .select("run"), "crowded")
+    mixed = materialise(contents.groupBy("run").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed-runs")
+    crowded = mixed.filter(F.col("kinds") > most).select("run")
     any_crowded = bool(crowded.take(1))
-    single = contents.join(crowded, "run", "left_anti") if any_crowded else contents
+    single = materialise(contents.join(mixed.filter(F.col("kinds") <= most).select("run"), "run", "left_semi"), "single")
     size = single.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = max(1, -(-size // shard_words))
 
     def in_words(stretches: DataFrame) -> DataFrame:
         # Stretches of one text: as many as it is long.
         own = stretches.groupBy("key", "check").agg(F.collect_list(F.struct("first", "n", "run", "content", "copies")).alias("own"))
-        # Rows that repeat an id and text send their stretches again.
-        return texts.join(own, ["key", "check"]).mapInArrow(_texts(window), "run long, content long, words string, copies long")
+        # Rows that repeat an id and text send their stretches once.
+        return texts.join(own, ["key", "check"]).groupBy("key", "check").agg(F.first("text").alias("text"), F.first("own").alias("own")) \
+            .select("text", "own").mapInArrow(_texts(window), "run long, content long, words string, copies long")
 
+    copied = contents.filter("copies > 1").select("run", "content", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     verdict = in_words(single).withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int")).groupBy("shard") \
         .applyInArrow(_search(window), "run long, content long, mask long").filter("mask <> 0")
+    verdict = verdict.unionByName(copied)
     if any_crowded:
         wide = materialise(in_words(contents.join(crowded, "run", "left_semi")), "crowded-words")
-        often = wide.mapInArrow(_windows(window, True), "low long, high long, words string, copies long") \
-            .groupBy("low", "high", "words").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("low", "high")
-        places = wide.mapInArrow(_windows(window, False), "low long, high long, run long, content long, at int")
+        often = wide.mapInArrow(_windows(window, False), "low long, high long, copies long") \
+            .groupBy("low", "high").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("low", "high")
+        places = wide.mapInArrow(_windows(window, True), "low long, high long, run long, content long, at int")
         found = places.join(often, ["low", "high"], "left_semi").select("run", "content", F.expr("shiftleft(1L, at)").alias("mask"))
         verdict = verdict.unionByName(found)
     verdict = verdict.groupBy("run", "content").agg(F.bit_or("mask").alias("mask"))
@@ -233,9 +242,9 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
     marks = candidates.select("key", "check", "first", "run", "content").join(verdict, ["run", "content"]) \
         .groupBy("key", "check").agg(F.collect_set(F.struct("first", "mask")).alias("own"))
     names = ["row", "n_words", "n_removed", "kept_text"]
-    row_type = keyed.schema["row"].dataType.simpleString()
+    kinds = [keyed.schema["row"].dataType, T.LongType(), T.LongType(), T.StringType()]
     return keyed.join(marks, ["key", "check"], "left").select("row", "text", "own").mapInArrow(
-        _kept(window, names), f"row {row_type}, n_words long, n_removed long, kept_text string")
+        _kept(window, names), T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
