@@ -152,7 +152,7 @@ FROM ({BOOK}) b JOIN fx_accounts a USING (card_id)) WHERE ok % 19 <> 0)) WHERE o
 def inject_adjustments(spark, d):
     rows = book_rows(spark, d)
     x = I.extract_rows(rows)
-    chain = C.chain_breaks_resync(x, I.opening_balances(rows), ["row"], [F.floor(F.col("row") / 1_000_000)], keys=["sheet"])
+    chain = C.chain_breaks_resync(x, I.opening_balances(rows), ["row"], keys=["sheet"])
     return I.inject_adjustments(x, chain).filter("entry_type = 'reconciliation_adjustment'").select("sheet", "row", "amount_aed")
 
 

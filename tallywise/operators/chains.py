@@ -112,7 +112,7 @@ def chain_check(txn: DataFrame, acct: DataFrame) -> DataFrame:
         F.min_by("statement_balance", broken).alias("bank_says"))
 
 
-def chain_breaks_resync(rows: DataFrame, opening: DataFrame, order: Sequence[str],
+def chain_breaks_resync(rows: DataFrame, opening: DataFrame, order: Sequence[str], blocks: Sequence[Column] = (),
                         keys: Sequence[str] = ("card_id",)) -> DataFrame:
     """Printed balances checked from the figure printed before them.
 
@@ -120,7 +120,8 @@ def chain_breaks_resync(rows: DataFrame, opening: DataFrame, order: Sequence[str
     A ``reseed_balance`` is taken over without being checked.  Rows without an
     amount, or outside the sheet's own balance, are not part of the chain.
     Returns every printed or reseeded row with ``computed``, ``printed``,
-    ``delta`` and ``kind`` (``ok``, ``mismatch``, ``reseed``).
+    ``delta`` and ``kind`` (``ok``, ``mismatch``, ``reseed``).  ``blocks``, which once
+    cut crowded keys, changes nothing: scans find their own cuts.
     """
     keys = list(keys)
     if "reseed_balance" not in rows.columns:

@@ -105,6 +105,15 @@ def test_an_overwritten_balance_becomes_a_labelled_adjustment(spark):
     assert added.amount_aed == Decimal("1718.02") and added.direction is None and added.supplier_raw is None
 
 
+def test_a_sheet_keeps_its_own_key_with_and_without_blocks(spark):
+    t = txn(spark, [{"amount": -10}, {"amount": -10}]).withColumn("statement_balance", F.lit(90).cast("decimal(18,2)"))
+    opening = acct(spark, {"opening": "100"}).withColumnRenamed("card_id", "sheet")
+    t = t.withColumnRenamed("card_id", "sheet")
+    kinds = lambda df: [r.kind for r in df.orderBy("transaction_id").collect()]
+    plain = C.chain_breaks_resync(t, opening, ["transaction_id"], keys=["sheet"])
+    assert kinds(plain) == kinds(C.chain_breaks_resync(t, opening, ["transaction_id"], [F.col("transaction_id")], keys=["sheet"])) == ["ok", "mismatch"]
+
+
 # --------------------------------------------------------------- matching
 
 def lines(spark, rows):
