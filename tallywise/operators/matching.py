@@ -351,17 +351,25 @@ def match_sheet_accounts(sheets: DataFrame, acct: DataFrame) -> DataFrame:
     """The account whose name (without its bracket) is the longest one found in
     a sheet's or file's name.
 
-    Every stretch of the name is looked up by equality, so no account is
-    compared with a sheet it has nothing in common with.
+    Stretches of the name are looked up by equality, so no account is compared with
+    a sheet it has nothing in common with.  A key is met by its head, the first 1, 2,
+    4 … 64 characters, as many as it has: only where the head of some key begins is a
+    stretch of that key's length cut out.
     """
     name = F.upper(F.trim(F.regexp_replace("card_name", r"\s*\(.*$", "")))
     keys = acct.select(name.alias("_key"), "card_id").filter("_key <> ''").groupBy("_key").agg(
         F.min("card_id").alias("card_id"))
+    steps = F.array(*[F.lit(1 << i) for i in range(7)])
+    head = F.array_max(F.filter(steps, lambda n: n <= F.length("_key")))
+    heads = keys.select(F.substring("_key", F.lit(1), head).alias("_head"), head.alias("_n"), F.length("_key").alias("_len")).distinct()
     hay = F.upper(F.concat_ws(" ", "sheet", "file"))
-    starts = sheets.select("file", "sheet", hay.alias("_hay")).withColumn(
-        "_at", F.explode(F.sequence(F.lit(1), F.length("_hay"))))
-    parts = starts.withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_hay") - F.col("_at") + 1))) \
-        .select("file", "sheet", F.substring("_hay", F.col("_at"), F.col("_len")).alias("_key")).distinct()
+    # Seven head lengths at most.
+    named = sheets.select("file", "sheet", hay.alias("_hay")).distinct().join(
+        F.broadcast(heads.select("_n").distinct()), F.col("_n") <= F.length("_hay"))
+    starts = named.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_hay") - F.col("_n") + 1))) \
+        .withColumn("_head", F.substring("_hay", F.col("_at"), F.col("_n")))
+    parts = starts.join(heads.drop("_n"), "_head").filter(F.col("_at") + F.col("_len") <= F.length("_hay") + 1) \
+        .select("file", "sheet", F.substring("_hay", F.col("_at"), F.col("_len")).alias("_key"))
     best = parts.join(keys, "_key").groupBy("file", "sheet").agg(
         F.max_by("card_id", F.struct(F.length("_key"), -F.col("card_id"))).alias("card_id"))
     return sheets.join(best, ["file", "sheet"], "left")

@@ -393,3 +393,14 @@ def test_rows_of_unknown_accounts(spark):
     acct = spark.createDataFrame([(1,)], "card_id bigint")
     assert sorted(r.transaction_id for r in rows_of_unknown_accounts(t, acct).collect()) == [2, 3]
     assert rows_of_unknown_accounts(t.limit(0), acct).count() == 0
+
+
+def test_the_longest_account_name_in_a_sheet_is_found_among_many_stretches(spark):
+    names = ["A", "AB", "ABC (AED)", "ABCDEFGHI", "X" * 70, "X" * 69 + "Y", "", "( only a bracket)"]
+    a = spark.createDataFrame(list(enumerate(names, 1)) + [(9, "abc")], "card_id long, card_name string")
+    sheets = spark.createDataFrame([("f", "zz abcd"), ("f", "abcdefghi"), ("f", "-" * 3000 + "x" * 69 + "y"), ("f", "Q"), ("", "")], "file string, sheet string")
+    got = {r.sheet[-9:]: r.card_id for r in M.match_sheet_accounts(sheets, a).collect()}
+    assert got == {"zz abcd": 3, "abcdefghi": 4, "xxxxxxxxy": 6, "Q": None, "": None}
+    # A name of 3000 characters has 4.5 million stretches; those looked at are as many as its characters.
+    plan = M.match_sheet_accounts(sheets, a)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 1
