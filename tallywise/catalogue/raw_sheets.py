@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..fixtures import accounts, transactions
 from ..operators import sheets as H
 from ..plans.scan import cut_lineage, position, walk
+from ..session import shared_dir
 from ..sources import files as files_
 from .registry import query
 
@@ -60,8 +61,7 @@ def cells(spark, d):
                   cell(5, F.lit("1")), cell(6, F.col("payment_ref")), cell(7, F.col("req_number")))
     two = F.array(cell(1, _s("pos")), cell(2, day), cell(3, F.col("supplier_raw")), cell(4, F.when(out, "Debit").otherwise("Credit")),
                   cell(5, size), cell(6, F.lit("1")))
-    parts = [p.filter(layout() == k).select("card_id", r.alias("row"), F.explode(x).alias("c")) for k, x in enumerate((zero, one, two))]
-    body = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    body = p.select("card_id", r.alias("row"), F.explode(F.when(layout() == 0, zero).when(layout() == 1, one).otherwise(two)).alias("c"))
 
     sums = p.groupBy("card_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(~out, F.col("amount_aed")).otherwise(0)).alias("credit"),
@@ -80,9 +80,11 @@ def cells(spark, d):
         F.when(layout() == 0, heads[0]).when(layout() == 1, heads[1]).otherwise(heads[2]),
         F.when(layout() == 2, facts).otherwise(none))).alias("c")).select("card_id", "c.row", "c.col", "c.text", "c.formula")
     every = body.select("card_id", "row", "c.col", "c.text", "c.formula").unionByName(top)
-    # Cells are read many times below, as a reader's stored output would be.
-    return cut_lineage(every.select(_s("card_id").alias("file"), F.lit("S").alias("sheet"), "row", "col", "text", "formula")
-                       .filter("text IS NOT NULL OR formula IS NOT NULL"))
+    # Cells are read many times below, as a reader's stored output would be, a few columns each time.
+    path = shared_dir(spark, "cells")
+    every.select(_s("card_id").alias("file"), F.lit("S").alias("sheet"), "row", "col", "text", "formula") \
+        .filter("text IS NOT NULL OR formula IS NOT NULL").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 PLACED = """(SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY txn_date, transaction_id) AS pos, ((card_id % 3) + 3) % 3 AS lay FROM fx_transactions WHERE status <> 'voided')"""
@@ -102,7 +104,8 @@ FIELDS = "(VALUES " + ", ".join(f"({k}, '{f}', {c})" for k, fields in enumerate(
 
 def _mapped(spark, d):
     c = cells(spark, d)
-    headers = H.detect_header(c)
+    # One row a sheet, used several times below.
+    headers = cut_lineage(H.detect_header(c))
     headings = H.header_cells(c, headers)
     return c, headers, headings, H.map_columns(headings)
 
@@ -168,13 +171,13 @@ UNION ALL SELECT file, card_id, 9, 'I', n, CASE WHEN n >= 3 THEN 'secondary' ELS
 @query("find_balance_column", "H8", BALANCE_FOUND, "file #col letter #formulas role opening_in_formula")
 def find_balance_column(spark, d):
     c = cells(spark, d)
-    return H.find_balance_column(c, H.detect_header(c)).select("file", "col", "letter", "formulas", "role", "opening_in_formula")
+    return H.find_balance_column(c, cut_lineage(H.detect_header(c))).select("file", "col", "letter", "formulas", "role", "opening_in_formula")
 
 
 @query("money_columns", "H10", f"SELECT file, letter, n FROM {SIZES} s JOIN (VALUES ('C'), ('D')) AS l(letter) ON TRUE WHERE lay = 0", "file letter #n")
 def money_columns(spark, d):
     c = cells(spark, d)
-    return H.money_columns(c, H.find_balance_column(c, H.detect_header(c))).select("file", "letter", "n")
+    return H.money_columns(c, H.find_balance_column(c, cut_lineage(H.detect_header(c)))).select("file", "letter", "n")
 
 
 @query("statement_header", "H9", f"""

@@ -58,8 +58,20 @@ FIELD_NAMES = [
 ]
 
 
+#: For each hint, letters that every text it fits contains; looking for those is much cheaper.
+HINT_CORES = ["date", "detail", "supplier", "debit", "credit", "balance", "currency", "description", "amount", "req", "lpo", "invoice",
+              "payment", "conversion", "sr", "particular", "transaction", "date", "narration"]
+
+
+def _plain_first(text: Column) -> Column:
+    return F.ascii(text).between(33, 126)
+
+
 def _filled(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("_t", squeeze(F.coalesce("text", F.lit("")))).filter("_t <> ''")
+    text = F.col("text")
+    # Most cells begin and end in plain characters and have nothing to trim.
+    trimmed = F.when(_plain_first(text) & _plain_first(F.right(text, F.lit(1))), text).otherwise(squeeze(F.coalesce(text, F.lit(""))))
+    return cells.withColumn("_t", trimmed).filter("_t <> ''")
 
 
 def detect_header(cells: DataFrame) -> DataFrame:
@@ -68,16 +80,17 @@ def detect_header(cells: DataFrame) -> DataFrame:
     A header has at least three cells and a score of three; the earliest wins a
     tie.  All rows are scored, so a header may stand anywhere.
     """
-    def points(t: Column) -> Column:
-        words = F.lit(0)
-        for hint in HEADER_HINTS:
-            words = words + t.rlike("(?i)" + hint).cast("int")
-        # A row full of numbers is data, whatever words it holds.
-        number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-        return words - number.cast("int")
-
-    scored = _filled(cells).groupBy(*SHEET, "row").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(let(F.col("_t"), points)).alias("score"))
+    t = F.col("_t")
+    low = F.lower(t)
+    words = F.lit(0)
+    for hint, core in zip(HEADER_HINTS, HINT_CORES):
+        words = words + F.when(low.contains(core) & t.rlike("(?i)" + hint), 1).otherwise(0)
+    # A row full of numbers is data, whatever words it holds.
+    number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    # A number has no letters for a hint to fit.
+    points = F.when(number, -1).when(t.rlike("[A-Za-z]{2}"), words).otherwise(0)
+
+    scored = _filled(cells).groupBy(*SHEET, "row").agg(F.count(F.lit(1)).alias("n"), F.sum(points).alias("score"))
     good = scored.filter("n >= 3 AND score >= 3")
     return good.groupBy(*SHEET).agg(
         F.max_by("row", F.struct(F.col("score"), -F.col("row"))).alias("header_row"), F.max("score").alias("score"))
@@ -86,7 +99,9 @@ def detect_header(cells: DataFrame) -> DataFrame:
 def header_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """The headings: ``file, sheet, col, heading`` with white space flattened."""
     top = cells.join(headers.select(*SHEET, F.col("header_row").alias("row")), SHEET + ["row"])
-    return top.select(*SHEET, "col", one_line(F.col("text")).alias("heading")).filter("heading IS NOT NULL")
+    heading = one_line(F.col("text"))
+    # Spark tests this on all cells before it looks for the header's, so the cheap half comes first.
+    return top.filter(_plain_first(F.col("text")) | heading.isNotNull()).select(*SHEET, "col", heading.alias("heading"))
 
 
 def map_columns(headings: DataFrame) -> DataFrame:
@@ -103,8 +118,9 @@ def map_columns(headings: DataFrame) -> DataFrame:
                 .when(h.rlike(r"(?i)\bdebit\b") & ~h.rlike("(?i)notes?"), "debit")
                 .when(h.rlike(r"(?i)\bcredit\b"), "credit").otherwise(alias))
 
-    field = let(F.col("heading"), meaning)
-    named = headings.withColumn("field", field).filter("field IS NOT NULL")
+    # As an aggregate, or Spark would work it out for every cell to filter on it before the header is looked up.
+    field = F.min(let(F.col("heading"), meaning))
+    named = headings.groupBy(*SHEET, "col", "heading").agg(field.alias("field")).filter("field IS NOT NULL")
     return named.groupBy(*SHEET, "field").agg(F.min("col").alias("col"), F.min_by("heading", "col").alias("heading"))
 
 
@@ -249,8 +265,8 @@ def statement_header(cells: DataFrame) -> DataFrame:
     """
     t = _filled(cells).select(*SHEET, "row", "col", "_t")
     low = F.lower(F.col("_t"))
-    fact = (F.when(low.startswith("account number"), "account_number").when(low.rlike("^currency"), "currency"))
-    figure = (F.when(low.rlike("^number of transactions?$"), "transactions").when(low == "credit value", "credit_value")
+    fact = (F.when(low.startswith("account number"), "account_number").when(low.startswith("currency"), "currency"))
+    figure = (F.when(low.isin("number of transaction", "number of transactions"), "transactions").when(low == "credit value", "credit_value")
               .when(low == "debit value", "debit_value").when(low == "opening balance", "opening")
               .when(low == "closing balance", "closing"))
     labels = t.withColumns({"fact": fact, "figure": figure}).filter("fact IS NOT NULL OR figure IS NOT NULL")
@@ -264,7 +280,7 @@ def statement_header(cells: DataFrame) -> DataFrame:
         *[parse_amount(first("figure", n)).cast("decimal(18,2)").alias(n)
           for n in ("transactions", "credit_value", "debit_value", "opening", "closing")])
     from_re = r"From:\s*(\d{2})/(\d{2})/(\d{4})"
-    began = t.filter(F.col("_t").rlike(from_re)).groupBy(*SHEET).agg(F.min_by(
+    began = t.filter(F.col("_t").contains("From:") & F.col("_t").rlike(from_re)).groupBy(*SHEET).agg(F.min_by(
         F.concat_ws("-", F.regexp_extract("_t", from_re, 3), F.regexp_extract("_t", from_re, 2), F.regexp_extract("_t", from_re, 1)),
         F.struct("row", "col")).alias("_from"))
     gap = F.col("opening") + F.col("credit_value") - F.col("debit_value") - F.col("closing")

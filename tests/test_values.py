@@ -1,6 +1,7 @@
 """Cell values: the literals the rules were written against."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -93,3 +94,29 @@ def test_rate_formulas(spark, formula, want):
 
 def test_search_terms():
     assert X.query_terms('  Hotel "SA 993"  req') == ["hotel", "sa 993", "req"]
+
+
+def test_every_header_hint_needs_its_letters():
+    from tallywise.operators.sheets import HEADER_HINTS, HINT_CORES
+    texts = {r"\bsr\.?\s*no\b": "Sr. No", r"\btransaction\s*type\b": "Transaction Type", r"\bvalue\s*date\b": "Value Date", r"\breq": "REQ 5",
+             r"\bdetails?\b": "Detail", r"\bparticulars?\b": "Particular"}
+    assert len(HEADER_HINTS) == len(HINT_CORES)
+    for hint, core in zip(HEADER_HINTS, HINT_CORES):
+        text = texts.get(hint, hint.replace(r"\b", "").replace("\\", ""))
+        assert re.search("(?i)" + hint, text) and core in text.lower()
+
+
+def test_headings_are_read_without_looking_at_every_cell(spark):
+    from tallywise.operators import sheets as H
+    cells = spark.createDataFrame(
+        [("f", "s", 3, i, t) for i, t in enumerate([" Date ", "  ", "Debit", "CREDIT  (AED)", "Balance", "1e5", "REQ"], 1)]
+        + [("f", "s", 4, 1, " 1.5"), ("f", "s", 4, 2, "x")], "file string, sheet string, row long, col int, text string")
+    headers = H.detect_header(cells)
+    assert [(r.header_row, r.score) for r in headers.collect()] == [(3, 4)]
+    headings = H.header_cells(cells, headers)
+    assert {r.col: r.heading for r in headings.collect()} == {1: "Date", 3: "Debit", 4: "CREDIT (AED)", 5: "Balance", 6: "1e5", 7: "REQ"}
+    mapping = H.map_columns(headings)
+    assert {r.field: r.col for r in mapping.collect()} == {"date": 1, "debit": 3, "credit": 4, "statement_balance": 5, "req_number": 7}
+    # The patterns of the fields stand above the join with the header, never in a filter of the cells.
+    plan = mapping._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "beneficiary" in line]
