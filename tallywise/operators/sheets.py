@@ -269,7 +269,9 @@ def statement_header(cells: DataFrame) -> DataFrame:
     figure = (F.when(low.isin("number of transaction", "number of transactions"), "transactions").when(low == "credit value", "credit_value")
               .when(low == "debit value", "debit_value").when(low == "opening balance", "opening")
               .when(low == "closing balance", "closing"))
-    labels = t.withColumns({"fact": fact, "figure": figure}).filter("fact IS NOT NULL OR figure IS NOT NULL")
+    # One look at how a cell begins spares all others the comparisons.
+    begins = F.col("_t").rlike("(?i)^(account number|currency|number of|credit value|debit value|opening balance|closing balance)")
+    labels = t.filter(begins).withColumns({"fact": fact, "figure": figure}).filter("fact IS NOT NULL OR figure IS NOT NULL")
     value = t.select(*SHEET, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("_t").alias("value"))
     at_row = F.when(F.col("fact").isNotNull(), F.col("row")).otherwise(F.col("row") + 1)
     at_col = F.when(F.col("fact").isNotNull(), F.col("col") + 1).otherwise(F.col("col"))

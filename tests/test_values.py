@@ -120,3 +120,15 @@ def test_headings_are_read_without_looking_at_every_cell(spark):
     # The patterns of the fields stand above the join with the header, never in a filter of the cells.
     plan = mapping._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "beneficiary" in line]
+
+
+def test_labels_of_a_statement_are_found_in_any_case_and_with_blanks(spark):
+    from tallywise.operators import sheets as H
+    rows = [(1, 2, " ACCOUNT number: "), (1, 3, "77"), (1, 5, "x From: 01/09/1996 To"), (2, 2, "Number of Transaction"), (2, 3, "credit VALUE"),
+            (2, 4, "Debit Value"), (2, 5, "Opening Balance "), (2, 6, "closing balance"), (2, 7, "my currency"), (3, 2, "2"), (3, 3, "5"),
+            (3, 4, "3"), (3, 5, "100"), (3, 6, "102")]
+    cells = spark.createDataFrame([("f", "s", *r) for r in rows], "file string, sheet string, row long, col int, text string")
+    got = H.statement_header(cells)
+    r = got.first()
+    assert (r.account_number, r.currency, int(r.transactions), r.adds_up, str(r.period_start)) == ("77", None, 2, True, "1996-09-01")
+    assert "account number|currency" in got._jdf.queryExecution().optimizedPlan().toString()
