@@ -35,7 +35,7 @@ LEFT JOIN (SELECT card_id, day, cents, skey, count(*) AS held FROM ({HELD}) GROU
 def counted_match(spark, d):
     key = {"day": F.col("txn_date"), "cents": M.cents(F.col("amount_aed"))}
     lines = upload_lines(spark, d).withColumns({**key, "skey": X.supplier_key(F.col("supplier_raw"))})
-    ledger = transactions(spark, d).withColumns({**key, "skey": K.copy_key()})
+    ledger = M.cut_lineage(transactions(spark, d).select("transaction_id", "card_id", *[v.alias(k) for k, v in key.items()], K.copy_key().alias("skey")))
     return M.counted_match(lines, ledger, ["card_id", "day", "cents", "skey"]).select(
         "line", "copy", "held", "repeat_of", "held_id")
 

@@ -72,8 +72,11 @@ def counted_match(lines: DataFrame, ledger: DataFrame, keys: Sequence[str], line
     walks the ledger's copies of a key and then the file's, so a line finds all
     held copies counted; joining on key *and* copy number spreads a charge listed
     a million times over a million keys.
+
+    The scan reads both sides three times.  The lines are written first, so their keys
+    are worked out once; hand in a written ledger where its keys are dear.
     """
-    keys = list(keys)
+    keys, lines = list(keys), cut_lineage(lines)
     both = lines.select(*keys, F.lit(1).alias("_side"), F.col(line).alias("_id")).unionByName(
         ledger.select(*keys, F.lit(0).alias("_side"), F.col(row_id).alias("_id")))
     ours, one = F.col("_side") == 1, F.lit(1)
@@ -220,7 +223,7 @@ def classify_duplicates(lines: DataFrame, ledger: DataFrame, with_reference: boo
         is_narrative(F.coalesce("supplier_raw", "description")).alias("narrative")) \
         .filter(F.col("day").isNotNull())
     held_rows = cut_lineage(held_rows)
-    ours = keyed(whole, supplier_key(F.col("supplier_raw")))
+    ours = keyed(whole, supplier_key(F.col("supplier_raw"))).withColumn("_narrative", is_narrative(F.col("supplier_raw")))
 
     first = counted_match(ours, held_rows, key)
     turned = held_rows.groupBy(*key).agg(F.min("transaction_id").alias("swapped_id"))
@@ -235,7 +238,7 @@ def classify_duplicates(lines: DataFrame, ledger: DataFrame, with_reference: boo
     spoken_for = second.filter(matched.isNotNull()).select(matched.alias("transaction_id")).distinct()
     pool = held_rows.filter("status <> 'voided' AND narrative").join(spoken_for, "transaction_id", "left_anti") \
         .select("card_id", "cents", "money_out", "skey", "day", F.col("transaction_id").alias("held_id"))
-    open_lines = second.filter(matched.isNull() & is_narrative(F.col("supplier_raw"))).select(
+    open_lines = second.filter(matched.isNull() & F.col("_narrative")).select(
         "line", "card_id", "cents", (F.col("amount_aed") < 0).alias("money_out"), "skey", "day")
     near = match_other_date(open_lines, pool).select("line", "fits", "claimed_id")
 

@@ -61,11 +61,14 @@ def position(name: str) -> Measure:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder; a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back, so what follows computes nothing of ``df`` again.
+
+    Parquet, where a checkpoint would hold whole rows uncompressed; later steps read only
+    the columns they name.  A lost executor costs no recomputation.
+    """
+    path = shared_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _columns(order: Sequence[Column | str]) -> list[Column]:

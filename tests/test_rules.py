@@ -412,3 +412,19 @@ def test_a_line_in_conflict_is_not_also_unchanged(spark):
                                   "line long, card_id long, ledger_id string, value string, sheet_amount decimal(18,2)")
     got = {r.line: (r.error is None, r.unchanged) for r in E.build_update_rows(lines, t, "payment_ref").collect()}
     assert got == {1: (False, False), 2: (True, True)}
+
+
+def test_counting_copies_works_out_the_keys_of_a_line_once(spark):
+    from pyspark.sql.functions import udf
+    from tallywise.operators.matching import counted_match
+    seen = spark.sparkContext.accumulator(0)
+
+    def key(x):
+        seen.add(1)
+        return x // 2
+
+    lines = spark.range(0, 10, 1, 1).select(F.col("id").alias("line"), udf(key, "bigint")("id").alias("k"))
+    ledger = spark.createDataFrame([(100, 0), (101, 0), (102, 3)], "transaction_id bigint, k bigint")
+    got = {r.line: (r.copy, r.held, r.held_id) for r in counted_match(lines, ledger, ["k"]).collect()}
+    assert got[0] == (1, 2, 100) and got[1] == (2, 2, 101) and got[6] == (1, 1, 102) and got[7] == (2, 1, None) and got[9] == (2, 0, None)
+    assert seen.value == 10
