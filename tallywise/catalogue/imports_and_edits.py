@@ -768,12 +768,14 @@ def suppress_double_submits(spark, d):
 
 @query("suppress_double_submits_stream", "T1", SUPPRESS_SQL, "submission_id")
 def suppress_double_submits_stream(spark, d):
-    """The submissions in three files, every third one in the first: most arrive behind later ones."""
+    """The submissions in three deliveries, every third one in the first: most arrive behind later ones."""
     base = shared_dir(spark, "submits")
     rows = submissions(spark, d)
+    # A delivery is as many files as there are cores to write and read them.
+    files = spark.sparkContext.defaultParallelism
     for part in range(3):
-        rows.filter(F.pmod("submission_id", F.lit(3)) == 2 - part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        rows.filter(F.pmod("submission_id", F.lit(3)) == 2 - part).repartition(files, "submission_id").write.mode("append").parquet(f"{base}/in")
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     with state_on_disk(spark):
         ST.judge_submissions_stream(live, 1800).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out") \
             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
