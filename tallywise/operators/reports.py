@@ -165,6 +165,9 @@ SAMPLE_FIELDS = ["entry_type", "status", "review_reason", "rate_review_note", "d
                  "invoice", "payment_ref", "account", "crm", "client", "sales_operation", "event_end", "notes"]
 
 
+EXTRACT_PARTS = ("transactions", "cards", "spendByCurrency")
+
+
 def sample_extract(txn: DataFrame, balances: DataFrame, spend: DataFrame) -> DataFrame:
     """The published extract as JSON lines: ``part`` and ``json``, empty fields left out."""
     full = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))

@@ -472,3 +472,12 @@ def test_the_moments_of_a_signature_are_kept_packed():
     again = give([1])
     assert {(i, a) for i, a in zip(again.submission_id, again.accepted) if i < 30} == {(1, True), (2, False)}
     assert set(again.change) == {2}
+
+
+def test_every_part_of_the_extract_is_named(spark):
+    from tallywise.operators import reports as R
+    t, a = txn(spark, [{"amount": -1, "day": D0, "currency": "EUR", "original_amount": 2}]), acct(spark)
+    for c in ("date_repaired",):
+        t = t.withColumn(c, F.lit(False))
+    parts = {r.part for r in R.sample_extract(t, B.account_balances(t, a), B.spend_by_currency(t, a)).select("part").distinct().collect()}
+    assert parts == set(R.EXTRACT_PARTS)
