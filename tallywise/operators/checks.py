@@ -139,24 +139,39 @@ def _cell(x: Column, factor: int) -> Column:
     return F.floor(F.log(x) / F.lit(width)).cast("bigint")
 
 
-def _amount_pairs(amounts: DataFrame) -> DataFrame:
-    """Amounts of one account and supplier that are 10, 100 or 1000 times another.
+def _amount_cells(amounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells in which an amount looks for its partners, and cells in which it is found.
 
     A band join with a grid for each factor: the partners of an amount lie in a band
     two cells wide, so three cells are looked up, of which the band fills two thirds
-    or more.
+    or more.  Only a factor that leads to an amount inside the span of the same account
+    and supplier is dealt out.
     """
-    a = F.col("big").cast("double")
+    span = amounts.filter("cents > 0").groupBy("card_id", "supplier").agg(F.min("cents").alias("_least"), F.max("cents").alias("_most"))
+    within = amounts.filter("cents > 0").join(span.filter("_most > 9 * _least"), ["card_id", "supplier"])
+    a = F.col("cents").cast("double")
 
     def band(f: int) -> Column:
         cells = F.sequence(_cell(a / (f + SLIP) * (1 - 1e-12), f), _cell(a / (f - SLIP) * (1 + 1e-12), f))
         return F.transform(cells, lambda c: F.struct(F.lit(f).alias("factor"), c.alias("cell")))
 
-    bands = F.flatten(F.array(*[band(f) for f in FACTORS]))
-    big = amounts.filter(F.col("cents") >= 50_000).select("card_id", "supplier", F.col("cents").alias("big")) \
-        .select("*", F.inline(bands))
-    own = F.array(*[F.struct(F.lit(f).alias("factor"), _cell(F.col("cents").cast("double"), f).alias("cell")) for f in FACTORS])
-    small = amounts.filter(F.col("cents") > 0).select("card_id", "supplier", F.col("cents").alias("small"), F.inline(own))
+    def own(f: int) -> Column:
+        return F.array(F.struct(F.lit(f).alias("factor"), _cell(a, f).alias("cell")))
+
+    def dealt(cells, reaches) -> Column:
+        parts = F.array(*[F.when(reaches(f - 1), cells(f)) for f in FACTORS])
+        return F.inline(F.flatten(F.filter(parts, lambda p: p.isNotNull())))
+
+    big = within.filter("cents >= 50000").select(
+        "card_id", "supplier", F.col("cents").alias("big"), dealt(band, lambda f: F.col("cents") > f * F.col("_least")))
+    small = within.select(
+        "card_id", "supplier", F.col("cents").alias("small"), dealt(own, lambda f: F.col("_most") > f * F.col("cents")))
+    return big, small
+
+
+def _amount_pairs(amounts: DataFrame) -> DataFrame:
+    """Amounts of one account and supplier that are 10, 100 or 1000 times another."""
+    big, small = _amount_cells(amounts)
     met = big.join(small, ["card_id", "supplier", "factor", "cell"])
     # The ratio is compared in whole cents: |big / small − f| < 0.005.
     close = F.abs(F.col("big") - F.col("factor") * F.col("small")).cast("decimal(38,3)") < \

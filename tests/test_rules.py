@@ -481,3 +481,12 @@ def test_every_part_of_the_extract_is_named(spark):
         t = t.withColumn(c, F.lit(False))
     parts = {r.part for r in R.sample_extract(t, B.account_balances(t, a), B.spend_by_currency(t, a)).select("part").distinct().collect()}
     assert parts == set(R.EXTRACT_PARTS)
+
+
+def test_amounts_without_a_slip_in_reach_are_not_dealt_into_cells(spark):
+    amounts = spark.createDataFrame([(1, "X", 100_000), (1, "X", 800_000), (2, "X", 60_000), (2, "X", 600_000), (2, "X", 250_000)],
+                                    "card_id long, supplier string, cents long")
+    big, small = Q._amount_cells(amounts)
+    assert {tuple(r) for r in big.select("card_id", "big", "factor").collect()} == {(2, 600_000, 10)}
+    assert {tuple(r) for r in small.select("card_id", "small", "factor").collect()} == {(2, 60_000, 10)}
+    assert [tuple(r) for r in Q._amount_pairs(amounts).collect()] == [(2, "X", 600_000, 60_000, 10)]
