@@ -328,6 +328,34 @@ def test_minhash(spark, docs, rows, block):
         assert (r.component_id, r.n_shingles, r.kept) == (expected[r.doc_id], len(sets[r.doc_id]), expected[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("block", [512, 64])
+def test_minhash_lists_no_pairs_of_a_group(spark, monkeypatch, block):
+    # Most pairs of the group lie just below a link, others just above it.
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        words = base[:]
+        for k in rng.sample(range(120), rng.choice((2, 3, 3, 3))):
+            words[k] = f"n{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k:k + 4]) for k in range(117)} for i, t in rows}
+    written, write = [], minhash.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append((out.count(), name))
+        return out
+    monkeypatch.setattr(minhash, "materialise", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.components(frame, shingle=4, block=block).collect()}
+    assert got == _components(sets, 80)
+    # A node stands in 40 buckets, and there once for each block it meets, or leader.
+    shared = dict((name, count) for count, name in written)["shared"]
+    most = {"star": minhash.LEADERS, "near": -(-len(rows) // block)}
+    assert not [x for x in written if x[0] > shared * most.get(x[1], 1)]
+
+
 def test_one_row_of_each_group_stays(spark):
     rng = random.Random(4)
     long = lambda: [f"v{rng.randrange(10 ** 6)}" for _ in range(200)]
