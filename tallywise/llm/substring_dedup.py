@@ -168,11 +168,13 @@ def _search(window: int):
     return search
 
 
-def _kept(window: int, names: list[str]):
+def _kept(window: int, names: list[str], text_col: str):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             total, removed, texts = [], [], []
-            for words, own in zip(_split(batch.column("text")), batch.column("own").to_pylist(), strict=True):
+            # The text is read off the row, so the join before sends it once.
+            text = batch.column("row").field(text_col)
+            for words, own in zip(_split(text), batch.column("own").to_pylist(), strict=True):
                 change = np.zeros(len(words) + 1, np.int64)
                 for x in own or ():
                     mask, at = x["mask"], x["first"]
@@ -207,7 +209,8 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
     runs = materialise(texts.mapInArrow(_runs(window, gram), "run long, content long, key long, check long, first int, n int"),
                        "stretches")
     often = runs.select("run").groupBy("run").agg(F.count("*").alias("times")).filter("times > 1").select("run")
-    candidates = materialise(runs.join(often, "run"), "runs")
+    # The same plan at every size: the runs are not broadcast while they are few.
+    candidates = materialise(runs.join(often.hint("merge"), "run"), "runs")
 
     contents = materialise(candidates.groupBy("run", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "check", "first", "n")).alias("x"))
@@ -243,8 +246,8 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
         .groupBy("key", "check").agg(F.collect_set(F.struct("first", "mask")).alias("own"))
     names = ["row", "n_words", "n_removed", "kept_text"]
     kinds = [keyed.schema["row"].dataType, T.LongType(), T.LongType(), T.StringType()]
-    return keyed.join(marks, ["key", "check"], "left").select("row", "text", "own").mapInArrow(
-        _kept(window, names), T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
+    return keyed.join(marks, ["key", "check"], "left").select("row", "own").mapInArrow(
+        _kept(window, names, text_col), T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,

@@ -470,6 +470,27 @@ def test_windows_of_crowded_runs_meet_counted(spark, monkeypatch):
         assert r.kept_text == (texts[r.doc_id].replace(f" {passage} ", " ") if r.doc_id < 300 else texts[r.doc_id])
 
 
+def test_texts_go_to_the_last_step_once(spark, docs, rows, monkeypatch):
+    kept, write, plans = substring_dedup._kept, substring_dedup.materialise, {}
+
+    def once(*args):
+        def each(batches):
+            for batch in batches:
+                assert batch.schema.names == ["row", "own"]
+                yield from own(iter([batch]))
+        own = kept(*args)
+        return each
+
+    def planned(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+    monkeypatch.setattr(substring_dedup, "_kept", once)
+    monkeypatch.setattr(substring_dedup, "materialise", planned)
+    assert substring_dedup.remove_repeats(docs).count() == len(rows)
+    # Runs are joined by one plan at every size.
+    assert "SortMergeJoin" in plans["runs"] and "Broadcast" not in plans["runs"]
+
+
 def test_fm_index_counts():
     import numpy as np
     rng = np.random.default_rng(3)
