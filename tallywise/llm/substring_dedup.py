@@ -9,7 +9,7 @@ into stretches of windows, each owned by one run:
    cannot belong to a repeated window and go.
 2. Equal stretches are counted by hash.  A stretch with copies is repeated throughout;
    where its run owns no other stretch, that settles the run.  Of the rest one of each
-   is sent to its shard in words.
+   is written in words, by one pass over the texts whatever its run, and sent to its shard.
 3. A shard indexes its stretches and streams those without copies through the index: backward search
    over the wavelet matrix gives the matching statistics, and every window of full
    length that occurs twice is reported.
@@ -117,11 +117,11 @@ def _texts(window: int):
             for words, own in zip(_split(batch.column("text")), batch.column("own").to_pylist(), strict=True):
                 for x in own:
                     a, n = x["first"], x["n"]
-                    rows.append((x["run"], x["content"], b" ".join(words[a:a + n + window - 1]).decode(), x["copies"]))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+                    rows.append((x["run"], x["content"], b" ".join(words[a:a + n + window - 1]).decode(), x["copies"], x["crowded"]))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
-                                             names=["run", "content", "words", "copies"])
+                                             names=["run", "content", "words", "copies", "crowded"])
     return each
 
 
@@ -216,25 +216,25 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
         F.count("*").alias("copies"), F.min(F.struct("key", "check", "first", "n")).alias("x"))
         .select("run", "content", "copies", "x.*"), "contents")
     mixed = materialise(contents.groupBy("run").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed-runs")
-    crowded = mixed.filter(F.col("kinds") > most).select("run")
-    any_crowded = bool(crowded.take(1))
-    single = materialise(contents.join(mixed.filter(F.col("kinds") <= most).select("run"), "run", "left_semi"), "single")
-    size = single.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    shards = max(1, -(-size // shard_words))
-
-    def in_words(stretches: DataFrame) -> DataFrame:
-        # Stretches of one text: as many as it is long.
-        own = stretches.groupBy("key", "check").agg(F.collect_list(F.struct("first", "n", "run", "content", "copies")).alias("own"))
-        # Rows that repeat an id and text send their stretches once.
-        return texts.join(own, ["key", "check"]).groupBy("key", "check").agg(F.first("text").alias("text"), F.first("own").alias("own")) \
-            .select("text", "own").mapInArrow(_texts(window), "run long, content long, words string, copies long")
+    asked = materialise(contents.join(mixed, "run").withColumn("crowded", F.col("kinds") > most).drop("kinds"), "asked")
+    size, any_crowded = asked.agg(F.sum(F.when(~F.col("crowded"), F.col("n") + window)), F.max("crowded")).first()
+    shards = max(1, -(-(size or 0) // shard_words))
+
+    # Stretches of one text: as many as it is long.
+    own = asked.groupBy("key", "check").agg(F.collect_list(F.struct("first", "n", "run", "content", "copies", "crowded")).alias("own"))
+    # Rows that repeat an id and text send their stretches once.
+    worded = materialise(
+        texts.join(own, ["key", "check"]).groupBy("key", "check").agg(F.first("text").alias("text"), F.first("own").alias("own"))
+        .select("text", "own").mapInArrow(_texts(window), "run long, content long, words string, copies long, crowded boolean"),
+        "words")
 
     copied = contents.filter("copies > 1").select("run", "content", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    verdict = in_words(single).withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int")).groupBy("shard") \
+    verdict = worded.filter("NOT crowded").drop("crowded") \
+        .withColumn("shard", F.pmod(F.xxhash64("run"), F.lit(shards)).cast("int")).groupBy("shard") \
         .applyInArrow(_search(window), "run long, content long, mask long").filter("mask <> 0")
     verdict = verdict.unionByName(copied)
     if any_crowded:
-        wide = materialise(in_words(contents.join(crowded, "run", "left_semi")), "crowded-words")
+        wide = worded.filter("crowded")
         often = wide.mapInArrow(_windows(window, False), "low long, high long, copies long") \
             .groupBy("low", "high").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("low", "high")
         places = wide.mapInArrow(_windows(window, True), "low long, high long, run long, content long, at int")

@@ -470,6 +470,27 @@ def test_windows_of_crowded_runs_meet_counted(spark, monkeypatch):
         assert r.kept_text == (texts[r.doc_id].replace(f" {passage} ", " ") if r.doc_id < 300 else texts[r.doc_id])
 
 
+def test_crowded_runs_read_no_text_again(spark):
+    # Two passages with other words around them, one in many documents, one in a few.
+    rng = random.Random(9)
+    other = lambda n: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+    often, seldom = other(60), other(60)
+    texts = [f"{other(30)} {often if i < 100 else seldom} {other(30)}" for i in range(104)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def reads(most):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        found = substring_dedup.remove_repeats(frame.mapInArrow(counted, frame.schema), most=most).collect()
+        assert {r.n_removed for r in found} == {60}
+        return seen.value
+    assert reads(20) == reads(4096)
+
+
 def test_texts_go_to_the_last_step_once(spark, docs, rows, monkeypatch):
     kept, write, plans = substring_dedup._kept, substring_dedup.materialise, {}
 
