@@ -208,7 +208,9 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
 
     runs = materialise(texts.mapInArrow(_runs(window, gram), "run long, content long, key long, check long, first int, n int"),
                        "stretches")
-    often = runs.select("run").groupBy("run").agg(F.count("*").alias("times")).filter("times > 1").select("run")
+    # What is counted by a key is written before the join by that key: adaptive execution splits a frequent key
+    # only in a join of two shuffles.
+    often = materialise(runs.groupBy("run").agg(F.count("*").alias("times")).filter("times > 1").select("run"), "often")
     # The same plan at every size: the runs are not broadcast while they are few.
     candidates = materialise(runs.join(often.hint("merge"), "run"), "runs")
 
@@ -235,12 +237,14 @@ def _cleaned(docs: DataFrame, text_col: str, window: int, gram: int, shard_words
     verdict = verdict.unionByName(copied)
     if any_crowded:
         wide = worded.filter("crowded")
-        often = wide.mapInArrow(_windows(window, False), "low long, high long, copies long") \
-            .groupBy("low", "high").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("low", "high")
+        often = materialise(
+            wide.mapInArrow(_windows(window, False), "low long, high long, copies long")
+            .groupBy("low", "high").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("low", "high"),
+            "often-windows")
         places = wide.mapInArrow(_windows(window, True), "low long, high long, run long, content long, at int")
         found = places.join(often, ["low", "high"], "left_semi").select("run", "content", F.expr("shiftleft(1L, at)").alias("mask"))
         verdict = verdict.unionByName(found)
-    verdict = verdict.groupBy("run", "content").agg(F.bit_or("mask").alias("mask"))
+    verdict = materialise(verdict.groupBy("run", "content").agg(F.bit_or("mask").alias("mask")), "verdict")
 
     marks = candidates.select("key", "check", "first", "run", "content").join(verdict, ["run", "content"]) \
         .groupBy("key", "check").agg(F.collect_set(F.struct("first", "mask")).alias("own"))

@@ -491,6 +491,35 @@ def test_crowded_runs_read_no_text_again(spark):
     assert reads(20) == reads(4096)
 
 
+def test_a_frequent_run_is_split(spark, monkeypatch):
+    # Adaptive execution splits a crowded key in a join of two shuffles, and in no other.
+    rng = random.Random(10)
+    other = lambda n: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+    passage = other(45)
+    frame = spark.createDataFrame([(i, f"{other(30)} {passage}") for i in range(800)], "doc_id long, text string").repartition(8)
+    write, plans, before = substring_dedup.materialise, {}, {}
+
+    def planned(df, name):
+        if name == "runs":
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+    monkeypatch.setattr(substring_dedup, "materialise", planned)
+    skew = "spark.sql.adaptive.skewJoin.skewedPartition"
+    settings = {f"{skew}ThresholdInBytes": "2k", f"{skew}Factor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+                "spark.sql.shuffle.partitions": "64"}
+    try:
+        for k, v in settings.items():
+            before[k] = spark.conf.get(k)
+            spark.conf.set(k, v)
+        found = substring_dedup.remove_repeats(frame).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.n_removed for r in found} == {45}
+    assert "SortMergeJoin(skew=true)" in plans["runs"]
+
+
 def test_texts_go_to_the_last_step_once(spark, docs, rows, monkeypatch):
     kept, write, plans = substring_dedup._kept, substring_dedup.materialise, {}
 
